@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnflow.llm import exact_dedup, packing, token_orc, url_filter
+from tarnflow.llm import decontam, exact_dedup, jaccard, licenses, packing, suffix_dedup, token_orc, url_filter
 from tarnflow.llm.shared import table
 from tarnflow.llm.tokens import tokenizer_path
 
@@ -15,6 +16,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.size("findings").cast("long").alias("n_findings"), "n_sentences")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenise_to_orc(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -27,11 +33,46 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_token_orc, op4_exact_dedup, op5_url_filter)}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op8_suffix_dedup, op9_jaccard_join)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_NUMBER = {name: str(i) for i, name in enumerate(licenses.SENTENCES, 1)}
+_RUNS = sorted({",".join(_NUMBER[s] for s in run): name for name, run in licenses.RULES}.items(), key=lambda r: (-r[0].count(","), r[0]))
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": f"""
+        WITH known(body, n) AS (
+            VALUES {', '.join(f"('{licenses.plain(text)}', '{_NUMBER[name]}')" for name, text in licenses.SENTENCES.items())}
+        ), rules(run, licence) AS (
+            VALUES {', '.join(str(r) for r in _RUNS)}
+        ), parts AS (
+            SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \\t\\r]+|[.!?;]*[\\r\\n]+'),
+                   lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s
+            FROM documents
+        ), ids AS (
+            SELECT doc_id, coalesce(string_agg(coalesce(n, '0'), ',' ORDER BY i), '') AS ids
+            FROM (SELECT doc_id, unnest(CASE WHEN len(s) = 0 THEN [''] ELSE s END) AS body, unnest(range(greatest(len(s), 1))) AS i FROM parts) LEFT JOIN known USING (body) GROUP BY doc_id
+        ), found AS (
+            SELECT doc_id, unnest(regexp_extract_all(ids, '\\b({'|'.join(r for r, _ in _RUNS)})\\b', 1)) AS run FROM ids
+        ), named AS (
+            SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n FROM found JOIN rules USING (run) GROUP BY doc_id
+        )
+        SELECT ids.doc_id, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_findings, CAST(len(regexp_extract_all(ids, '\\b[1-9][0-9]*')) AS BIGINT) AS n_sentences
+        FROM ids LEFT JOIN named ON ids.doc_id = named.doc_id
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
@@ -54,4 +95,49 @@ ORACLE_SQL: dict[str, str] = {
         SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parts LEFT JOIN (SELECT * FROM fits WHERE nth = 1) AS best ON parts.page_id = best.page_id
     """,
+    "op6_decontamination": f"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark
+        ), sized AS (
+            SELECT item_id, w, least(10, len(w)) AS t FROM items WHERE len(w) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, t, array_to_string(w[i:i + t - 1], ' ') AS body
+            FROM (SELECT item_id, w, t, unnest(range(1, len(w) - t + 2)) AS i FROM sized)
+        ), places AS (
+            SELECT doc_id, t, i, array_to_string(w[i:i + t - 1], ' ') AS body
+            FROM (SELECT doc_id, w, t, unnest(range(1, len(w) - t + 2)) AS i FROM docs, (SELECT DISTINCT t FROM sized) WHERE len(w) >= t)
+        ), found AS (
+            SELECT doc_id, i, places.t, item_id FROM places JOIN windows ON places.body = windows.body AND places.t = windows.t
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + t)) AS j FROM (SELECT DISTINCT doc_id, i, t FROM found)) GROUP BY doc_id
+        ), named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+        )
+        SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN named ON docs.doc_id = named.doc_id
+    """,
+    "op9_jaccard_join": f"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \\x09-\\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), reached(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM docs
+            UNION
+            SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a
+        )
+        SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM docs LEFT JOIN sizes ON docs.doc_id = sizes.doc_id
+        JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r ON docs.doc_id = r.doc_id
+    """,
 }
