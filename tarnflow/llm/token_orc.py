@@ -20,13 +20,14 @@ from tarnflow.llm.tokens import encoder
 
 END_ID = 2
 STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1000
-FILE_SCHEMA = "doc_id long, part int, ids array<int>"
+FILE_SCHEMA = "doc_id long, part int, n long, ids array<int>"
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id`` and write ORC files under ``path``, ascending by id.
 
-    Column ``part`` numbers the files' ranges in id order.  Null texts are empty
+    Column ``part`` numbers the files' ranges in id order, ``n`` counts a
+    document's ids.  Null texts are empty
     (one id, the end).  Rows with a null id come first; repeated ids stay, in
     the order of their texts.  An empty table writes no rows.
     """
@@ -45,7 +46,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = EN
                     flat = np.insert(np.concatenate(some), np.cumsum([len(x) for x in some]), end_id).astype(np.int32)
                     offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in some])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([docs.slice(at, n - at), pa.array(np.full(n - at, part, np.int32)), lists], ["doc_id", "part", "ids"])
+                    yield pa.RecordBatch.from_arrays([docs.slice(at, n - at), pa.array(np.full(n - at, part, np.int32)), pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "part", "n", "ids"])
                     some, size, at = [], 0, n
 
     ordered = id_and_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -74,9 +75,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
 
-    rows = read_token_files(spark, path).mapInArrow(measured, "doc_id long, part int, n_tokens long, ids_crc32 long")
-    lengths = read_token_files(spark, path).select("part", F.size("ids").cast("long").alias("n"))
-    sums = lengths.groupBy("part").agg(F.sum("n").alias("n"))
+    files = read_token_files(spark, path)
+    rows = files.select("doc_id", "part", "ids").mapInArrow(measured, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    sums = files.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)

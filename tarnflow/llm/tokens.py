@@ -5,6 +5,8 @@ piece reaches over an ASCII space or line feed that stands alone between two
 other characters.  So the ids of a text are the ids of its space-separated
 chunks, one after the other.  Natural text repeats its chunks: the library
 encodes each distinct chunk once for a worker and the ids are gathered by index.
+A chunk that is one word, perhaps with a comma or full stop, goes to the library
+already cut, which spares it the search for pieces.
 Texts for which the split is not safe go to the library as a whole.
 """
 
@@ -16,13 +18,20 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a worker keeps; beyond it starts anew (bounds its memory).
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 500_000
 #: Characters of text that the library encodes at once.
 LIBRARY_CHARS = 200_000
 #: Characters of text that are held as ids at once.
 STEP_CHARS = 1_000_000
 
 
+def _byte_alphabet() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class _Index(dict):
     """Chunk -> number; a chunk that is new gets the next number and waits to be encoded."""
 
@@ -41,13 +50,21 @@ class Encoder:
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import Split
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
-        self.mark = "\n" if keeps_space else "~"
-        got = self.lib.encode(self.mark, add_special_tokens=False).ids
-        self.mark_id = got[0] if len(got) == 1 else None
+        # the same vocabulary for words that are cut and spelt in its byte alphabet already
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = Sequence([]), Split("\n", "isolated")
+        vocabulary = self.lib.get_vocab()
+        self.spans = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
+        for piece, i in vocabulary.items():
+            self.spans[i] = len(piece.removesuffix("</w>"))
+        self.letters = {b: c for b, c in enumerate(_byte_alphabet())}
+        self.point = {p: got[0] for p in ",." if len(got := self.lib.encode(p, add_special_tokens=False).ids) == 1}
         self._clear()
 
     def _clear(self) -> None:
@@ -66,15 +83,28 @@ class Encoder:
             i = j
         return out
 
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, count for each chunk); chunks go in one text with a mark between that is a piece of its own."""
-        if self.mark_id is not None and len(chunks) > 1 and not any(not c or self.mark in c for c in chunks):
-            ids = np.array(self._library([(self.mark if self.keeps_space else f" {self.mark} ").join(chunks)])[0], np.uint32)
-            marks = np.flatnonzero(ids == self.mark_id)
-            if len(marks) == len(chunks) - 1:
-                return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
-        got = self._library(chunks)
-        return np.fromiter((x for ids in got for x in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+    def _spelt(self, word: str) -> str | None:
+        """A word of Latin-1 letters, perhaps after a space, in the byte alphabet; else None.
+
+        Such a word is one piece of either vocabulary.
+        """
+        core = word[1:] if self.keeps_space and word[:1] == " " else word
+        if not core.isalpha() or not core.isascii() and max(core) > "\xff":
+            return None
+        if not self.keeps_space:
+            word = word.lower()
+        return word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count for each) of spelt words."""
+        groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
+        ids, sizes = [], []
+        for k in range(0, len(groups), 8):
+            for group, got in zip(groups[k : k + 8], self.words.encode_batch_fast(groups[k : k + 8], is_pretokenized=True, add_special_tokens=False)):
+                ids.append(np.array(got.ids, np.uint32))
+                ends = np.searchsorted(np.cumsum(self.spans[ids[-1]]), np.cumsum([len(w) for w in group]))
+                sizes.append(np.diff(ends, prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _chunks(self, text: str) -> list[str] | None:
         if not self.keeps_space:
@@ -89,12 +119,28 @@ class Encoder:
         n = len(self.index) - len(chunks)
         while len(self.index) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        plain = [i for i, c in enumerate(chunks) if c and self.mark not in c]
-        rest = sorted(set(range(len(chunks))) - set(plain)) if len(plain) < len(chunks) else []
-        for some in (plain[i : i + 20_000] for i in range(0, len(plain), 20_000)):
-            self._store(n + np.array(some), *self._encoded([chunks[i] for i in some]))
+        words, word_at, points, rest = [], [], [], []
+        for i, chunk in enumerate(chunks):
+            point = self.point.get(chunk[-1:], 0)
+            spelt = self._spelt(chunk[:-1] if point else chunk)
+            if spelt is None:
+                rest.append(i)
+            else:
+                words.append(spelt)
+                word_at.append(n + i)
+                points.append(point)
+        if words:
+            flat, size = self._encoded(words)
+            points = np.array(points, np.uint32)
+            ends = np.cumsum(size + (points > 0))
+            out, last = np.zeros(int(ends[-1]), np.uint32), (ends - 1)[points > 0]
+            inner = np.ones(len(out), bool)
+            inner[last] = False
+            out[inner], out[last] = flat, points[points > 0]
+            self._store(np.array(word_at), out, size + (points > 0))
         if rest:
-            self._store(n + np.array(rest), *self._encoded([chunks[i] for i in rest]))
+            got = self._library([chunks[i] for i in rest])
+            self._store(n + np.array(rest), np.fromiter((x for ids in got for x in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _store(self, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
