@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import SPACED, grams, id_and_text, mix, text_steps, written
+from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, mix, text_steps, written
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Shingles that are counted together when frequent ones are sought, the least count that a block reports, and how many frequent ones are put last.
@@ -111,12 +111,20 @@ def _may_link(n: Column, m: Column) -> Column:
     return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n)
 
 
+def _may_reach(rest: Column, other: Column, sizes: Column) -> Column:
+    """The overlap is large enough even if the first common shingle has only so many from it on in either set."""
+    return (100 + PERCENT) * F.least(rest, other) >= PERCENT * sizes
+
+
+def _packed(n: Column, at: Column, many: bool) -> Column:
+    """Set size, place of the shingle and whether the row stands for a group, as one number (rows are many)."""
+    return F.shiftleft(n, 32) + at.cast("long") * 2 + int(many)
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose documents link, by comparing their whole sets."""
     pairs = written(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _sent(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,12 +152,15 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t"))
     near = pairs.join(one, "a").join(two, "b").where(_may_link(F.length("s"), F.length("t")))
-    return written(near.select("a", "b", "s", "t").mapInArrow(compared, "a long, b long"))
+    out = written(near.select("a", "b", "s", "t").mapInArrow(compared, "a long, b long"))
+    dropped(sets)
+    return out
 
 
-def _grouped(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes with the group they are in by now; a node without links is a group of its own."""
-    return nodes.join(labels.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+def _sent(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if a count shows that it is small."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,33 +183,36 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         near = nodes.select("node", "n", g).join(leader, g).where(F.col("node") != F.col("lead.node")).where(_may_link(F.col("n"), F.col("lead.n")))
         stars.append(near.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
     links = verified(stars[0].union(stars[1]), docs)
-    labels = components(links)
-
-    # matrix: which group has which prefix shingle
-    placed = _grouped(nodes.select("node", "n", "prefix"), labels)
-    members = labels.select("node")
-    alone = placed.join(members, "node", "left_anti").select("node", "group", "n", F.posexplode("prefix").alias("at", "token"))
-    together = placed.join(members, "node", "left_semi").select("node", "group", "n", F.posexplode("prefix").alias("at", "token"))
-    unions = together.groupBy("token", "group").agg(F.min(F.struct("node", "n")).alias("x")).select("token", "group", "x.node", "x.n", F.lit(True).alias("many"), F.lit(0).alias("at"))
-    matrix = alone.select("token", "group", "node", "n", F.lit(False).alias("many"), "at").union(unions)
+    labels = written(components(links))
+
+    # matrix: which group has which prefix shingle; a row names the group by one of its nodes
+    later = sets.join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    alone = sets.where("n > 0").join(_sent(later.union(labels.select("node")).distinct()), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "prefix")
+    together = written(sets.join(_sent(labels.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix"))
+    info = _packed(F.col("n"), F.col("at"), False)
+    rows = together.join(labels, "node").select("component", "node", "n", F.explode("prefix").alias("token"))
+    unions = rows.groupBy("token", "component").agg(F.min(F.struct("node", "n")).alias("x")).select("token", "x.node", _packed(F.col("x.n"), F.lit(0), True).alias("info"))
+    matrix = alone.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", info.alias("info")).union(unions)
     shared = written(matrix.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("groups > 1").drop("groups"))
+    shared = shared.select("token", "node", F.shiftright("info", 32).alias("n"), F.shiftright("info", 1).bitwiseAND(0x7FFFFFFF).alias("at"), (F.col("info") % 2 == 1).alias("many"))
 
     # one node of each group that qualifies
-    first = shared.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lead"))
-    ones = shared.join(first, "token").where(F.col("node") != F.col("lead.node")).where(_may_link(F.col("n"), F.col("lead.n")))
+    first = shared.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("lead"))
+    ones = shared.join(first, "token").where(F.col("node") != F.col("lead.node"))
+    ones = ones.where(_may_link(F.col("n"), F.col("lead.n")) & _may_reach(F.col("n") - F.col("at"), F.col("lead.n") - F.col("lead.at"), F.col("n") + F.col("lead.n")))
     links = links.union(verified(ones.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), docs))
-    labels = components(links)
+    labels = written(components(links))
 
     # all nodes of groups that share a shingle and are still apart
     by_node = labels.withColumnRenamed("component", "now")
-    still = shared.join(by_node, "node", "left").withColumn("now", F.coalesce("now", "group"))
-    apart = still.groupBy("token").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x <> y").select("token")
-    tokens = written(apart)
-    rows = shared.where(~F.col("many")).select("token", "node", "n", "at").union(together.select("token", "node", "n", "at")).join(tokens, "token", "left_semi")
+    still = shared.join(by_node, "node", "left").withColumn("now", F.coalesce("now", "node"))
+    apart = written(still.groupBy("token").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x <> y").select("token"))
+    members = together.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", "at")
+    rows = shared.where(~F.col("many")).select("token", "node", "n", "at").union(members).join(apart, "token", "left_semi")
     rows = written(rows.join(by_node, "node", "left").select("token", "node", "n", "at", F.coalesce("now", "node").alias("now")))
     other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "now")])
-    bound = 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
-    open_ = rows.join(other, "token").where((F.col("now") < F.col("now2")) & _may_link(F.col("n"), F.col("n2")) & (175 * bound >= 75 * (F.col("n") + F.col("n2"))))
+    near = _may_link(F.col("n"), F.col("n2")) & _may_reach(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"), F.col("n") + F.col("n2"))
+    open_ = rows.join(other, "token").where((F.col("now") < F.col("now2")) & near)
     links = links.union(verified(open_.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), docs))
 
     ends = copies.join(components(links), "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
