@@ -117,6 +117,14 @@ def _against(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(matched, SCHEMA)
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
+    """The items in blocks of bounded size (at least one block), read one after the other."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()] for b in range(blocks)]
+
+
 def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans of hit words and the items with occurring windows, for every row.
 
@@ -126,10 +134,8 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and an empty benchmark hit nothing.  Repeated rows stay repeated.
     """
     docs = id_and_text(df, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    parts = [_against(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]) for b in range(blocks)]
+    parts = [_against(docs, items) for items in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    blocks = len(parts)
     if blocks == 1:
         return parts[0].drop("text_hash")
     whole = parts[0]
@@ -148,3 +154,20 @@ def contamination(hits: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, from :func:`benchmark_hits`."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``df`` without any window of the benchmark, with all their columns; filtered inside the scan, block after block."""
+    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(items))
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for i, _, data, ends in text_steps(batch, text_col):
+                    for r, _, spans, _ in sent.value.hits(data, ends):
+                        keep[i + r] = not spans
+                yield batch.filter(pa.array(keep))
+
+        df = df.mapInArrow(clean, df.schema)
+    return df

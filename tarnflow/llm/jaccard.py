@@ -217,3 +217,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ends = copies.join(components(links), "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return sets.select("doc_id", "n", "sig").join(ends, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` (with a doc_id and text) but those that link, over any path, with a document of smaller id.
+
+    Rows with a null id stay.
+    """
+    found = jaccard_components(df.where("doc_id IS NOT NULL"))
+    drop = _sent(found.where("component_id <> doc_id").select("doc_id").distinct())
+    return df.join(drop, "doc_id", "left_anti").select(df.columns)
