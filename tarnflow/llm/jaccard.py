@@ -37,6 +37,8 @@ SHINGLE_WORDS, PERCENT = 5, 75
 #: Shingles that are counted together when frequent ones are sought, the least count that a block reports, and how many frequent ones are put last.
 BLOCK_SHINGLES, BLOCK_LEAST, MAX_FREQUENT = 4_000_000, 4, 200_000
 LEAST_FREQUENT = 24
+#: Buckets of a profile at least and at most (a power of two each).
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 14
 #: Ids up to which a table of them is broadcast (8 MB of longs); beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -78,20 +80,37 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
+def profile(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by bucket; none (no bound) where a bucket has more than a byte can count."""
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (max(len(s) // 2, 1) - 1).bit_length()))
+    counts = np.bincount((mix(s) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def overlap_bound(one: bytes, two: bytes) -> int:
+    """No two sets of these profiles have more shingles in common."""
+    if not one or not two:
+        return 1 << 62
+    a, b = np.frombuffer(one, np.uint8).astype(np.int64), np.frombuffer(two, np.uint8).astype(np.int64)
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum())
+
+
 def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), sig (of the whole set), g1, g2 (least hashes), prefix (shingles in the global order)."""
+    """doc_id, n (set size), sig (of the whole set), g1, g2 (least hashes), profile, prefix (shingles in the global order)."""
     at = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[at], at))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in batches:
-            n, sig, g1, g2, prefix = [], [], [], [], []
+            n, sig, g1, g2, profiles, prefix = [], [], [], [], [], []
             for _, s in shingle_sets(batch):
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 g1.append(int(mix(s ^ np.uint64(11)).min().view(np.int64)) if len(s) else 0)
                 g2.append(int(mix(s ^ np.uint64(23)).min().view(np.int64)) if len(s) else 0)
+                profiles.append(profile(s))
                 keep = len(s) - -(-PERCENT * len(s) // 100) + 1 if len(s) else 0
                 if len(known) and len(s):
                     where = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -101,9 +120,9 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 prefix.append(s[:keep].view(np.int64))
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), flat)], ["doc_id", "n", "sig", "g1", "g2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(profiles, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), flat)], ["doc_id", "n", "sig", "g1", "g2", "profile", "prefix"])
 
-    return written(docs.mapInArrow(described, "doc_id long, n long, sig binary, g1 long, g2 long, prefix array<long>"))
+    return written(docs.mapInArrow(described, "doc_id long, n long, sig binary, g1 long, g2 long, profile binary, prefix array<long>"))
 
 
 def _may_link(n: Column, m: Column) -> Column:
@@ -121,10 +140,29 @@ def _packed(n: Column, at: Column, many: bool) -> Column:
     return F.shiftleft(n, 32) + at.cast("long") * 2 + int(many)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose documents link, by comparing their whole sets."""
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of ids that may link by their profiles, written."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [(100 + PERCENT) * overlap_bound(x, y) >= PERCENT * (n + m) for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
     pairs = written(pairs.distinct())
     ids = _sent(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    known = sets.select("doc_id", "n", "profile").join(ids, "doc_id", "left_semi")
+    one = known.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("profile").alias("p1"))
+    two = known.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("profile").alias("p2"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "p1", "p2")
+    out = written(both.mapInArrow(bounded, "a long, b long").distinct())
+    dropped(pairs)
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose documents link, by comparing the whole sets of those that may."""
+    pairs = _possible(pairs, sets)
+    ids = _sent(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([names.slice(at, len(rows)), pa.array(rows, pa.binary())], ["doc_id", "tokens"])
                     rows, size, at = [], 0, r + 1
 
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(as_bytes, "doc_id long, tokens binary"))
+    whole = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(as_bytes, "doc_id long, tokens binary"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,10 +188,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(both) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t"))
+    one, two = whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t"))
     near = pairs.join(one, "a").join(two, "b").where(_may_link(F.length("s"), F.length("t")))
     out = written(near.select("a", "b", "s", "t").mapInArrow(compared, "a long, b long"))
-    dropped(sets)
+    dropped(whole)
+    dropped(pairs)
     return out
 
 
@@ -182,7 +221,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         leader = nodes.groupBy(g).agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
         near = nodes.select("node", "n", g).join(leader, g).where(F.col("node") != F.col("lead.node")).where(_may_link(F.col("n"), F.col("lead.n")))
         stars.append(near.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
-    links = verified(stars[0].union(stars[1]), docs)
+    links = verified(stars[0].union(stars[1]), docs, sets)
     labels = written(components(links))
 
     # matrix: which group has which prefix shingle; a row names the group by one of its nodes
@@ -200,7 +239,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = shared.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("lead"))
     ones = shared.join(first, "token").where(F.col("node") != F.col("lead.node"))
     ones = ones.where(_may_link(F.col("n"), F.col("lead.n")) & _may_reach(F.col("n") - F.col("at"), F.col("lead.n") - F.col("lead.at"), F.col("n") + F.col("lead.n")))
-    links = links.union(verified(ones.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), docs))
+    links = links.union(verified(ones.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), docs, sets))
     labels = written(components(links))
 
     # all nodes of groups that share a shingle and are still apart
@@ -213,7 +252,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "now")])
     near = _may_link(F.col("n"), F.col("n2")) & _may_reach(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"), F.col("n") + F.col("n2"))
     open_ = rows.join(other, "token").where((F.col("now") < F.col("now2")) & near)
-    links = links.union(verified(open_.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), docs))
+    links = links.union(verified(open_.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), docs, sets))
 
     ends = copies.join(components(links), "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return sets.select("doc_id", "n", "sig").join(ends, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
