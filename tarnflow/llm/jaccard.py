@@ -16,7 +16,7 @@ reaches the threshold.  Documents with the same set are one node.
   reachability is asked for.
 
 The global order puts shingles that many documents share last.  Which these are
-is counted over all documents in blocks; the order decides how many groups
+is counted over all documents' prefixes; the order decides how many groups
 qualify, never the result.
 """
 
@@ -34,9 +34,8 @@ from tarnflow.llm.components import components
 from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, mix, text_steps, written
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: Shingles that are counted together when frequent ones are sought, the least count that a block reports, and how many frequent ones are put last.
-BLOCK_SHINGLES, BLOCK_LEAST, MAX_FREQUENT = 4_000_000, 4, 200_000
-LEAST_FREQUENT = 24
+#: A shingle is frequent from so many counted sets on, one in COUNT_EVERY of those that have it; at most MAX_FREQUENT are put last (others may open more groups, no link is lost).
+LEAST_FREQUENT, COUNT_EVERY, MAX_FREQUENT = 3, 4, 400_000
 #: Buckets of a profile at least and at most (a power of two each).
 LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 14
 #: Ids up to which a table of them is broadcast (8 MB of longs); beyond, a shuffle join.
@@ -55,31 +54,30 @@ def shingle_sets(batch: pa.RecordBatch, k: int = SHINGLE_WORDS) -> Iterator[tupl
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of many documents, the more frequent the later; at most MAX_FREQUENT."""
+    """Shingles of many different sets, the more frequent the later; at most MAX_FREQUENT.
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def counted() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            token, n = token[n >= BLOCK_LEAST], n[n >= BLOCK_LEAST]
-            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
-
-        for batch in batches:
-            for _, tokens in shingle_sets(batch):
-                held.append(tokens)
-                size += len(tokens)
-                if size >= BLOCK_SHINGLES:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    found = docs.select("text").mapInArrow(blocks, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
+    They are counted over all documents; of each different set those shingles
+    count that a hash of shingle and set picks, one in COUNT_EVERY, so a
+    shingle's count is that share of the sets that have it.
+    """
+    sets = _sets(docs, None)
+    nodes = sets.join(_sent(_later(sets, _first_of_copies(sets))), "doc_id", "left_anti")
+    found = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
     rows = found.orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toPandas()
+    dropped(sets)
     return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
+def _first_of_copies(sets: DataFrame) -> DataFrame:
+    """(sig, node): the least id of each set of shingles, written."""
+    return written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node")))
+
+
+def _later(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """Ids of documents that are no node: copies of a node, and such without shingles."""
+    return sets.join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+
+
 def profile(s: np.ndarray) -> bytes:
     """Counts of a set's shingles by bucket; none (no bound) where a bucket has more than a byte can count."""
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (max(len(s) // 2, 1) - 1).bit_length()))
@@ -96,13 +94,16 @@ def overlap_bound(one: bytes, two: bytes) -> int:
     return int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum())
 
 
-def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), sig (of the whole set), g1, g2 (least hashes), profile, prefix (shingles in the global order)."""
-    at = np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[at], at))
+def _sets(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
+    """doc_id, n (set size), sig (of the whole set), g1, g2 (least hashes), profile, prefix (shingles in the global order).
+
+    Without the frequent ones ``prefix`` holds the shingles that are counted.
+    """
+    at = None if frequent is None else np.argsort(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(None if frequent is None else (frequent[at], at))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
+        known, rank = sent.value or (None, None)
         for batch in batches:
             n, sig, g1, g2, profiles, prefix = [], [], [], [], [], []
             for _, s in shingle_sets(batch):
@@ -111,6 +112,10 @@ def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 g1.append(int(mix(s ^ np.uint64(11)).min().view(np.int64)) if len(s) else 0)
                 g2.append(int(mix(s ^ np.uint64(23)).min().view(np.int64)) if len(s) else 0)
                 profiles.append(profile(s))
+                if known is None:
+                    of_set = np.frombuffer(sig[-1], np.uint64)[0]
+                    prefix.append(s[mix(s ^ of_set) % np.uint64(COUNT_EVERY) == 0].view(np.int64))
+                    continue
                 keep = len(s) - -(-PERCENT * len(s) // 100) + 1 if len(s) else 0
                 if len(known) and len(s):
                     where = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -212,7 +217,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = id_and_text(df, id_col, text_col)
     sets = _sets(docs, _frequent(docs))
-    copies = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node")))
+    copies = _first_of_copies(sets)
     nodes = sets.where("n > 0").join(copies.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
 
     # groups: each node against the leader of the nodes with the same least hash
@@ -225,7 +230,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = written(components(links))
 
     # matrix: which group has which prefix shingle; a row names the group by one of its nodes
-    later = sets.join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    later = _later(sets, copies)
     alone = sets.where("n > 0").join(_sent(later.union(labels.select("node")).distinct()), "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "n", "prefix")
     together = written(sets.join(_sent(labels.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "prefix"))
     info = _packed(F.col("n"), F.col("at"), False)
