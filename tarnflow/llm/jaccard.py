@@ -63,9 +63,9 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     sets = _sets(docs, None)
     nodes = sets.join(_sent(_later(sets, _first_of_copies(sets))), "doc_id", "left_anti")
     found = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    rows = found.orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toPandas()
+    rows = found.orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toArrow()
     dropped(sets)
-    return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    return rows["token"].to_numpy().view(np.uint64)[::-1].copy()
 
 
 def _first_of_copies(sets: DataFrame) -> DataFrame:
