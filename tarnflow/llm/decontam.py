@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import ALNUM, grams, id_and_text, text_steps
+from tarnflow.llm.shared import ALNUM, bounded_batches, grams, id_and_text, text_steps
 
 WINDOW_WORDS, GRAM_WORDS = 10, 5
 #: Benchmark text that one block holds (the bound of what is broadcast).
@@ -158,6 +158,7 @@ def contamination(hits: DataFrame) -> DataFrame:
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``df`` without any window of the benchmark, with all their columns; filtered inside the scan, block after block."""
+    df = bounded_batches(df)
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(items))
 
