@@ -32,6 +32,11 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+#: UTF-8 of Latin-1 letters: bytes that are one; for the lead bytes C2 and C3 the second bytes that make one.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_LETTER_PAIR = np.array([[0x80 <= b < 0xC0 and chr(b + 64 * lead).isalpha() for b in range(256)] for lead in (0, 1)])
+
+
 class _Index(dict):
     """Chunk -> number; a chunk that is new gets the next number and waits to be encoded."""
 
@@ -64,13 +69,21 @@ class Encoder:
         for piece, i in vocabulary.items():
             self.spans[i] = len(piece.removesuffix("</w>"))
         self.letters = {b: c for b, c in enumerate(_byte_alphabet())}
-        self.point = {p: got[0] for p in ",." if len(got := self.lib.encode(p, add_special_tokens=False).ids) == 1}
+        self.point = np.zeros(256, np.uint32)  # id of a comma or full stop by its byte
+        for p in ",.":
+            if len(got := self.lib.encode(p, add_special_tokens=False).ids) == 1:
+                self.point[ord(p)] = got[0]
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Index()
         self.start, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.unsafe = np.zeros(1 << 16, bool)  # chunks whose texts go to the library as a whole
         self.ids = np.zeros(1 << 18, np.uint32)
+        if self.keeps_space:
+            line = np.array(self.lib.encode("\n", add_special_tokens=False).ids, np.uint32)
+            self._store(np.array([self.index["\n"]]), line, np.array([len(line)]))
+            self.index.new.clear()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         out, i = [], 0
@@ -83,64 +96,81 @@ class Encoder:
             i = j
         return out
 
-    def _spelt(self, word: str) -> str | None:
-        """A word of Latin-1 letters, perhaps after a space, in the byte alphabet; else None.
+    def _spelt(self, chunks: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(number, spelling, its length, id of the point after it or 0) of the chunks that are words of Latin-1 letters.
 
-        Such a word is one piece of either vocabulary.
+        Such a word is one piece of either vocabulary; its spelling is in the byte alphabet.
         """
-        core = word[1:] if self.keeps_space and word[:1] == " " else word
-        if not core.isalpha() or not core.isascii() and max(core) > "\xff":
-            return None
-        if not self.keeps_space:
-            word = word.lower()
-        return word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        gap = "\n " if self.keeps_space else "\n"
+        lines = gap + gap.join(chunks) + "\n"
+        lines = lines.replace(" \0", "") if self.keeps_space else lines.lower()
+        raw = lines.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        breaks = np.flatnonzero(data == 10)
+        start, stop = breaks[:-1] + 1, breaks[1:]
+        point = self.point[data[stop - 1]]
+        end = stop - (point > 0)
+        first = start + (data[start] == 32) if self.keeps_space else start
+        letter = _LETTER[data]
+        pair = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+        pair = pair[_LETTER_PAIR[data[pair] & 1, data[pair + 1]]]
+        letter[pair] = letter[pair + 1] = True
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        good = (end > first) & (others[np.maximum(end, first)] == others[first])
+        keep = np.zeros(len(data) + 1, np.int8)
+        keep[start[good]] += 1
+        keep[end[good]] -= 1
+        keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
+        keep[stop[good]] = True  # the line's end
+        spelt = data[keep].tobytes().decode("latin-1").translate(self.letters).split(self.letters[10])[:-1]
+        return np.flatnonzero(good), spelt, (end - start)[good], point[good]
+
+    def _encoded(self, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count for each) of spelt words."""
         groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
         ids, sizes = [], []
         for k in range(0, len(groups), 8):
-            for group, got in zip(groups[k : k + 8], self.words.encode_batch_fast(groups[k : k + 8], is_pretokenized=True, add_special_tokens=False)):
+            for n, got in enumerate(self.words.encode_batch_fast(groups[k : k + 8], is_pretokenized=True, add_special_tokens=False), k):
                 ids.append(np.array(got.ids, np.uint32))
-                ends = np.searchsorted(np.cumsum(self.spans[ids[-1]]), np.cumsum([len(w) for w in group]))
+                ends = np.searchsorted(np.cumsum(self.spans[ids[-1]]), np.cumsum(lengths[2000 * n : 2000 * (n + 1)]))
                 sizes.append(np.diff(ends, prepend=-1))
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _chunks(self, text: str) -> list[str] | None:
+        """The text cut at spaces and line feeds; None if it holds the sign that marks chunks.
+
+        Where spaces belong to pieces, a chunk stands for itself after a space,
+        and one that follows no space is marked by a leading NUL.
+        """
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        if "\0" in text or len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps:
-            return None  # there is other white space than one space or line feed between two words
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return None if "\0" in text else ("\0" + text.replace("\n", " \n \0")).split(" ")
 
     def _learn(self) -> None:
         chunks, self.index.new = self.index.new, []
         n = len(self.index) - len(chunks)
         while len(self.index) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        words, word_at, points, rest = [], [], [], []
-        for i, chunk in enumerate(chunks):
-            point = self.point.get(chunk[-1:], 0)
-            spelt = self._spelt(chunk[:-1] if point else chunk)
-            if spelt is None:
-                rest.append(i)
-            else:
-                words.append(spelt)
-                word_at.append(n + i)
-                points.append(point)
+            self.start, self.size, self.unsafe = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.unsafe))
+        at, words, lengths, points = self._spelt(chunks)
         if words:
-            flat, size = self._encoded(words)
-            points = np.array(points, np.uint32)
+            flat, size = self._encoded(words, lengths)
             ends = np.cumsum(size + (points > 0))
             out, last = np.zeros(int(ends[-1]), np.uint32), (ends - 1)[points > 0]
             inner = np.ones(len(out), bool)
             inner[last] = False
             out[inner], out[last] = flat, points[points > 0]
-            self._store(np.array(word_at), out, size + (points > 0))
-        if rest:
-            got = self._library([chunks[i] for i in rest])
-            self._store(n + np.array(rest), np.fromiter((x for ids in got for x in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            self._store(n + at, out, size + (points > 0))
+        others = np.ones(len(chunks), bool)
+        others[at] = False
+        others = np.flatnonzero(others)
+        if self.keeps_space and len(others):  # chunks with white space beside or inside them
+            unsafe = np.array([(body := chunks[i].removeprefix("\0")).split() != [body] for i in others.tolist()])
+            self.unsafe[n + others[unsafe]] = True
+            others = others[~unsafe]
+        if len(others):
+            rest = [chunks[i] for i in others.tolist()]
+            got = self._library([c[1:] if c[:1] == "\0" else f" {c}" for c in rest] if self.keeps_space else rest)
+            self._store(n + others, np.fromiter((x for ids in got for x in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _store(self, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
@@ -161,7 +191,7 @@ class Encoder:
             self._learn()
         out = []
         for text, at in zip(texts, found):
-            if at is None:
+            if at is None or self.unsafe[at].any():
                 out.append(np.array(self._library([text])[0], np.uint32))
                 continue
             size = self.size[at]
