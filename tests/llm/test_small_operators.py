@@ -255,3 +255,19 @@ def test_quality_edges(spark, docs, none):
     kept = quality.good_documents(docs, labels)
     assert kept.columns == docs.columns and kept.count() == out.where("keep").count()
     assert quality.classify(none, labels).count() == 0 and quality.classify(docs, labels.where("false")).where("keep").count() == len(corpus())
+
+
+def test_quality_limits_are_of_all_trusted_documents_not_trained_on(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRUSTED_WORDS", 6000)
+    monkeypatch.setattr(quality, "FEW_WORDS", 0.0)
+    monkeypatch.setattr(quality, "MARGIN", 0.0)
+    rows = [(i, words(i, 20 + i % 50), "en" if i % 3 else "de") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    trained = {r.doc_id for r in quality.training_documents(df, labels).collect()}
+    assert 0 < len(trained) < 300
+    got = quality.classify(df, labels).toPandas()
+    unseen = got[~got["doc_id"].isin(trained)]
+    want = unseen.groupby("lang")["log_perplexity"].quantile(quality.QUANTILE)
+    for lang, limit in got.groupby("lang")["threshold"].first().items():
+        assert limit == pytest.approx(want[lang], abs=1e-3)
