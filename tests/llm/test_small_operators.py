@@ -271,3 +271,16 @@ def test_quality_limits_are_of_all_trusted_documents_not_trained_on(spark, monke
     want = unseen.groupby("lang")["log_perplexity"].quantile(quality.QUANTILE)
     for lang, limit in got.groupby("lang")["threshold"].first().items():
         assert limit == pytest.approx(want[lang], abs=1e-3)
+
+
+def test_quality_long_document_neither_ends_nor_empties_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRUSTED_WORDS", 6000)
+    rows = [(i, words(i, 60) if i % 4 else words(i, 9000), "en") for i in range(80)] + [(100, words(100, 9000), "de"), (101, words(101, 9000), "de"), (102, words(102, 50), "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    trained = quality.training_documents(df, labels).collect()
+    size = {x: sum(len(r.text) for r in trained if r.lang == x) for x in ("de", "en", "fr")}
+    assert sum(r.lang == "en" for r in trained) > 20 and 0.5 * 36_000 < size["en"] <= 36_000 and size["de"] and size["fr"]
+    with pytest.warns(UserWarning, match="'fr'"):
+        got = quality.classify(df, labels).toPandas()
+    assert got.groupby("lang")["threshold"].count().to_dict() == {"de": 2, "en": 80, "fr": 0}
