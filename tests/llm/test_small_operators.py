@@ -284,3 +284,18 @@ def test_quality_long_document_neither_ends_nor_empties_the_sample(spark, monkey
     with pytest.warns(UserWarning, match="'fr'"):
         got = quality.classify(df, labels).toPandas()
     assert got.groupby("lang")["threshold"].count().to_dict() == {"de": 2, "en": 80, "fr": 0}
+
+
+def test_vocabulary_is_of_exact_counts(spark):
+    rare = [f"{a}{b}" for a in WORDS for b in WORDS][:1500]
+    rows = [(i, "often " * 1000 + " ".join(rare[:1000] if i < 3 else rare[i : 1000 + i])) for i in range(150)]  # each rare word is less than one in 1/8192 of all or near it
+    df = spark.createDataFrame(rows + [(1000 + i, "often " * 4000) for i in range(400)], "doc_id long, text string").coalesce(1)
+    exact = {}
+    for r in df.collect():
+        for w in r.text.split():
+            exact[w] = exact.get(w, 0) + 1
+    assert sum(n * 8192 < sum(exact.values()) for n in exact.values()) > 1000 and len(exact) < pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES
+    got = pseudo_likelihood.count_vocabulary(df)
+    counts = got.counts[: pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES]
+    assert len(got.known) == len(exact) and sorted(counts[counts > 0]) == sorted(exact.values())
+    assert got.counts[pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES :].sum() == sum(exact.values())
