@@ -1,23 +1,29 @@
 """Exact n-gram Jaccard self-join with a token-group matrix.
 
 Documents are sets of word shingles; two link when their Jaccard similarity
-reaches the threshold.  Documents with the same set are one node.
-
-* Groups: nodes with the same least shingle hash are compared with one leader
-  each; verified nodes form groups of similar, connected documents.
-* Matrix: for each group the union of its nodes' prefix shingles is stored as
-  (shingle, group) rows.  A prefix holds a set's first ``n - ceil(t n) + 1``
-  shingles in one global order; sets that link share a shingle of both
-  prefixes.  So a group whose union has none of a query's prefix shingles holds
-  no partner: its overlap is bounded below the threshold, and it stays closed.
-* Opening: a query is compared with the nodes of the groups that qualify, first
-  with one node of each, which merges most groups, then with all nodes of groups
-  that are still apart.  Pairs inside a group need no comparison, as only
-  reachability is asked for.
-
-The global order puts shingles that many documents share last.  Which these are
-is counted over all documents' prefixes; the order decides how many groups
-qualify, never the result.
+reaches the threshold.  Documents with the same set are one node.  Only
+reachability is asked for, so pairs of nodes that are connected already are
+never compared.
+
+* Prefixes: a prefix holds a set's first ``n - ceil(t n) + 1`` shingles in one
+  global order; sets that link share a shingle of both prefixes.  The order puts
+  shingles that many documents have last.  It comes from a table of SKETCH
+  counters into which the shingles of all documents fall: its size is fixed, and
+  its counts decide how many groups qualify, never the result.
+* Leaders: nodes with the same least shingle hash, and then nodes with the same
+  prefix shingle, are compared with one leader each.  That connects most copies.
+* Groups: nodes that share a shingle with something they are not connected with
+  are partitioned into groups of similar ones, each with the most frequent of its
+  such shingles; a large group is cut into blocks of bounded size.
+* Matrix: for each group the union of its prefix shingles is stored as (shingle,
+  group) rows, with the least size and the furthest reach of the sets behind it.
+  A query's overlap with any member of a group is bounded by these; only where
+  the bound meets the threshold, and query and group are not connected as a
+  whole, does the group qualify.
+* Opening: the queries that qualify for a pair of blocks meet in one task.  A
+  query that shares too few shingles with the union of the others is closed at
+  once; else its overlaps with all of them are counted from posting lists.  Only
+  links that connect two components leave the task, fewer than it has rows.
 """
 
 from __future__ import annotations
@@ -27,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.components import components
 from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, mix, text_steps, written
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: A shingle is frequent from so many counted sets on, one in COUNT_EVERY of those that have it; at most MAX_FREQUENT are put last (others may open more groups, no link is lost).
-LEAST_FREQUENT, COUNT_EVERY, MAX_FREQUENT = 3, 4, 400_000
+#: Counters of shingles, in rows of CHUNK.
+SKETCH, CHUNK = 1 << 22, 1 << 12
+#: Sets, and shingles of them, in a block of a group.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Buckets of a profile at least and at most (a power of two each).
 LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 14
 #: Ids up to which a table of them is broadcast (8 MB of longs); beyond, a shuffle join.
@@ -53,19 +61,43 @@ def shingle_sets(batch: pa.RecordBatch, k: int = SHINGLE_WORDS) -> Iterator[tupl
             yield i + r, np.unique(all_grams[a : b - k + 1]) if b - a >= k else grams(words[a:b], b - a) if b > a else words[:0]
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of many different sets, the more frequent the later; at most MAX_FREQUENT.
+def _levels(docs: DataFrame) -> np.ndarray:
+    """For each counter the level (eight to a doubling) of the number of shingles that fall into it, over all documents."""
 
-    They are counted over all documents; of each different set those shingles
-    count that a hash of shingle and set picks, one in COUNT_EVERY, so a
-    shingle's count is that share of the sets that have it.
-    """
-    sets = _sets(docs, None)
-    nodes = sets.join(_sent(_later(sets, _first_of_copies(sets))), "doc_id", "left_anti")
-    found = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    rows = found.orderBy(F.col("n").desc(), "token").limit(MAX_FREQUENT).toArrow()
-    dropped(sets)
-    return rows["token"].to_numpy().view(np.uint64)[::-1].copy()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.uint32)
+        for batch in batches:
+            for _, _, data, ends in text_steps(batch):
+                words, _, _, doc = SPACED.hashed(data, ends)
+                found = grams(words, SHINGLE_WORDS)[doc[: max(len(doc) - SHINGLE_WORDS + 1, 0)] == doc[SHINGLE_WORDS - 1 :]]
+                counts += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+        if counts.any():
+            yield _chunks(np.minimum(counts, 65_535).astype(np.uint16))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[at] = sums.get(at, 0) + np.frombuffer(part.as_buffer(), np.uint16).astype(np.int64)
+        levels = [np.minimum(8 * np.log2(1.0 + x), 255).astype(np.uint8) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in levels], pa.binary())], ["at", "part"])
+
+    rows = docs.select("text").mapInArrow(counted, "at int, part binary").repartition("at").mapInArrow(summed, "at int, part binary").toArrow()  # SKETCH bytes
+    out = np.zeros(SKETCH, np.uint8)
+    for at, part in zip(rows["at"].to_pylist(), rows["part"].to_pylist()):
+        out[at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _chunks(counts: np.ndarray) -> pa.RecordBatch:
+    rows = counts.reshape(-1, CHUNK)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["at", "part"])
+
+
+def in_order(s: np.ndarray, levels: np.ndarray, most: int) -> np.ndarray:
+    """The first shingles of a set in the global order: by level, then by hash."""
+    key = (levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    return s[np.argsort(key, kind="stable")[:most]]
 
 
 def _first_of_copies(sets: DataFrame) -> DataFrame:
@@ -94,16 +126,11 @@ def overlap_bound(one: bytes, two: bytes) -> int:
     return int(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum())
 
 
-def _sets(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """doc_id, n (set size), sig (of the whole set), g1, g2 (least hashes), profile, prefix (shingles in the global order).
-
-    Without the frequent ones ``prefix`` holds the shingles that are counted.
-    """
-    at = None if frequent is None else np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast(None if frequent is None else (frequent[at], at))
+def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), sig (of the whole set), g1, g2 (least hashes), profile, prefix (its first shingles in the global order)."""
+    sent = docs.sparkSession.sparkContext.broadcast(_levels(docs))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value or (None, None)
         for batch in batches:
             n, sig, g1, g2, profiles, prefix = [], [], [], [], [], []
             for _, s in shingle_sets(batch):
@@ -112,17 +139,7 @@ def _sets(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                 g1.append(int(mix(s ^ np.uint64(11)).min().view(np.int64)) if len(s) else 0)
                 g2.append(int(mix(s ^ np.uint64(23)).min().view(np.int64)) if len(s) else 0)
                 profiles.append(profile(s))
-                if known is None:
-                    of_set = np.frombuffer(sig[-1], np.uint64)[0]
-                    prefix.append(s[mix(s ^ of_set) % np.uint64(COUNT_EVERY) == 0].view(np.int64))
-                    continue
-                keep = len(s) - -(-PERCENT * len(s) // 100) + 1 if len(s) else 0
-                if len(known) and len(s):
-                    where = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[where] == s
-                    light = s[~often]
-                    s = light[:keep] if len(light) >= keep else np.concatenate([light, s[often][np.argsort(rank[where[often]])]])[:keep]
-                prefix.append(s[:keep].view(np.int64))
+                prefix.append(in_order(s, sent.value, len(s) - -(-PERCENT * len(s) // 100) + 1).view(np.int64) if len(s) else s.view(np.int64))
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(profiles, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), flat)], ["doc_id", "n", "sig", "g1", "g2", "profile", "prefix"])
@@ -145,6 +162,11 @@ def _packed(n: Column, at: Column, many: bool) -> Column:
     return F.shiftleft(n, 32) + at.cast("long") * 2 + int(many)
 
 
+def _unpacked(info: str) -> tuple[Column, Column]:
+    """Set size and place of :func:`_packed`."""
+    return F.shiftright(info, 32).alias("n"), F.shiftright(info, 1).bitwiseAND(0x7FFFFFFF).alias("at")
+
+
 def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) of ids that may link by their profiles, written."""
 
@@ -154,8 +176,7 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     pairs = written(pairs.distinct())
-    ids = _sent(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    known = sets.select("doc_id", "n", "profile").join(ids, "doc_id", "left_semi")
+    known = sets.select("doc_id", "n", "profile").join(_sent(_ends(pairs)), "doc_id", "left_semi")
     one = known.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("profile").alias("p1"))
     two = known.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("profile").alias("p2"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "p1", "p2")
@@ -164,10 +185,8 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose documents link, by comparing the whole sets of those that may."""
-    pairs = _possible(pairs, sets)
-    ids = _sent(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, tokens) of the documents with these ids, written."""
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +199,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([names.slice(at, len(rows)), pa.array(rows, pa.binary())], ["doc_id", "tokens"])
                     rows, size, at = [], 0, r + 1
 
-    whole = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(as_bytes, "doc_id long, tokens binary"))
+    return written(docs.join(_sent(ids), "doc_id", "left_semi").mapInArrow(as_bytes, "doc_id long, tokens binary"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose documents link, by comparing the whole sets of those that may."""
+    pairs = _possible(pairs, sets)
+    whole = _whole_sets(docs, _ends(pairs))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,6 +226,87 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of pairs."""
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def connecting(now: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that connect components; ``now``: the component of each set so far."""
+    _, comp = np.unique(now, return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+    many = np.diff(first, append=len(flat))
+    run = np.empty(len(flat), np.int64)  # of each shingle of each set, in order
+    run[order] = np.repeat(np.arange(len(first)), many)
+    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    links = []
+    for q in range(len(sets)):
+        others = (comp != comp[q]) & (100 * sizes >= PERCENT * sizes[q]) & (100 * sizes[q] >= PERCENT * sizes)
+        if not others.any():
+            continue
+        shared = run[cuts[q] : cuts[q + 1]]
+        shared = shared[many[shared] > 1]
+        if (100 + PERCENT) * len(shared) < PERCENT * (sizes[q] + sizes[others].min()):
+            continue  # the union of all others has too few of its shingles
+        size = many[shared]
+        ends = np.cumsum(size)
+        overlap = np.bincount(owners[np.repeat(first[shared] - (ends - size), size) + np.arange(ends[-1])], minlength=len(sets))
+        for y in np.flatnonzero(others & (100 * overlap >= PERCENT * (sizes[q] + sizes - overlap))).tolist():
+            if comp[y] != comp[q]:
+                links.append((q, y))
+                comp[comp == comp[y]] = comp[q]
+    return links
+
+
+def _opened(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what shares a prefix shingle and is still apart; ``rows``: token, node, n, at, now."""
+    weight = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("shingles"))
+    home = rows.select("token", "node").join(weight, "token").groupBy("node").agg(F.max(F.struct("many", "token", "shingles")).alias("home"))
+    parts = F.ceil(F.greatest(F.col("home.many") / BLOCK_SETS, F.col("home.shingles") / BLOCK_SHINGLES))
+    home = home.select("node", F.xxhash64("home.token", F.pmod(F.xxhash64("node"), parts)).alias("block"))
+    cells = written(rows.join(home, "node"))
+
+    matrix = cells.groupBy("token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("reach"), F.min("now").alias("lo"), F.max("now").alias("hi"))
+    matrix = matrix.withColumnRenamed("block", "group")
+    sizes = (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n"))
+    apart = (F.col("now") != F.col("lo")) | (F.col("now") != F.col("hi"))
+    queries = cells.join(matrix, "token").where(apart & sizes & _may_reach(F.col("n") - F.col("at"), F.col("reach"), F.col("n") + F.col("least")))
+    queries = queries.select(F.least("block", "group").alias("one"), F.greatest("block", "group").alias("two"), "node", "now").distinct()
+    queries = written(queries)
+    whole = _whole_sets(docs, queries.select(F.col("node").alias("doc_id")).distinct())
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, node, now, sets = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = connecting(np.array(now), sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *at, x, y, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != unit:
+                    if sets:
+                        yield links()
+                    unit, node, now, sets = at, [], [], []
+                node.append(x)
+                now.append(y)
+                sets.append(np.frombuffer(tokens, np.uint64))
+        if sets:
+            yield links()
+
+    met = queries.join(whole.withColumnRenamed("doc_id", "node"), "node").select("one", "two", "node", "now", "tokens")
+    met = met.repartition("one", "two").sortWithinPartitions("one", "two", "node", F.length("tokens"))
+    out = written(met.mapInArrow(compared, "a long, b long"))
+    dropped(whole)
+    dropped(queries)
+    dropped(cells)
+    return out
+
+
 def _sent(ids: DataFrame) -> DataFrame:
     """A table of ids, to be broadcast if a count shows that it is small."""
     ids = written(ids)
@@ -216,7 +322,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as one document for links.  No link is lost; an empty table works.
     """
     docs = id_and_text(df, id_col, text_col)
-    sets = _sets(docs, _frequent(docs))
+    sets = _sets(docs)
     copies = _first_of_copies(sets)
     nodes = sets.where("n > 0").join(copies.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
 
@@ -237,27 +343,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = together.join(labels, "node").select("component", "node", "n", F.explode("prefix").alias("token"))
     unions = rows.groupBy("token", "component").agg(F.min(F.struct("node", "n")).alias("x")).select("token", "x.node", _packed(F.col("x.n"), F.lit(0), True).alias("info"))
     matrix = alone.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", info.alias("info")).union(unions)
-    shared = written(matrix.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("groups > 1").drop("groups"))
-    shared = shared.select("token", "node", F.shiftright("info", 32).alias("n"), F.shiftright("info", 1).bitwiseAND(0x7FFFFFFF).alias("at"), (F.col("info") % 2 == 1).alias("many"))
+    first = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("node", "info")).alias("lead")).where("groups > 1").select("token", "lead")
+    shared = written(matrix.join(first, "token"))
+    shared = shared.select("token", "node", *_unpacked("info"), (F.col("info") % 2 == 1).alias("many"), F.struct("lead.node", *_unpacked("lead.info")).alias("lead"))
 
     # one node of each group that qualifies
-    first = shared.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("lead"))
-    ones = shared.join(first, "token").where(F.col("node") != F.col("lead.node"))
+    ones = shared.where(F.col("node") != F.col("lead.node"))
     ones = ones.where(_may_link(F.col("n"), F.col("lead.n")) & _may_reach(F.col("n") - F.col("at"), F.col("lead.n") - F.col("lead.at"), F.col("n") + F.col("lead.n")))
     links = links.union(verified(ones.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), docs, sets))
     labels = written(components(links))
 
-    # all nodes of groups that share a shingle and are still apart
+    # what shares a shingle and is still apart
     by_node = labels.withColumnRenamed("component", "now")
     still = shared.join(by_node, "node", "left").withColumn("now", F.coalesce("now", "node"))
     apart = written(still.groupBy("token").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x <> y").select("token"))
     members = together.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", "at")
     rows = shared.where(~F.col("many")).select("token", "node", "n", "at").union(members).join(apart, "token", "left_semi")
     rows = written(rows.join(by_node, "node", "left").select("token", "node", "n", "at", F.coalesce("now", "node").alias("now")))
-    other = rows.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "now")])
-    near = _may_link(F.col("n"), F.col("n2")) & _may_reach(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"), F.col("n") + F.col("n2"))
-    open_ = rows.join(other, "token").where((F.col("now") < F.col("now2")) & near)
-    links = links.union(verified(open_.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")), docs, sets))
+    links = links.union(_opened(rows, docs))
 
     ends = copies.join(components(links), "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return sets.select("doc_id", "n", "sig").join(ends, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
