@@ -342,7 +342,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     info = _packed(F.col("n"), F.col("at"), False)
     rows = together.join(labels, "node").select("component", "node", "n", F.explode("prefix").alias("token"))
     unions = rows.groupBy("token", "component").agg(F.min(F.struct("node", "n")).alias("x")).select("token", "x.node", _packed(F.col("x.n"), F.lit(0), True).alias("info"))
-    matrix = alone.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", info.alias("info")).union(unions)
+    matrix = alone.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", info.alias("info")).union(unions).repartition("token")  # both uses below read this one shuffle
     first = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("node", "info")).alias("lead")).where("groups > 1").select("token", "lead")
     shared = written(matrix.join(first, "token"))
     shared = shared.select("token", "node", *_unpacked("info"), (F.col("info") % 2 == 1).alias("many"), F.struct("lead.node", *_unpacked("lead.info")).alias("lead"))
