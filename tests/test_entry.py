@@ -1,5 +1,9 @@
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -36,3 +40,16 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["event_id", "value"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_training_data_operators(tmp_path, pipeline):
+    """The rest imports and lists its queries when the subpackage is gone, with or without the pipeline's file."""
+    repo = Path(entry.__file__).parent
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    shutil.copytree(repo / "tarnflow", tmp_path / "tarnflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    if pipeline and (repo / "corpus_pipeline.py").exists():
+        shutil.copy(repo / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == sorted(queries.QUERIES), said.stderr
