@@ -7,7 +7,8 @@ chunks, one after the other.  Natural text repeats its chunks: the library
 encodes each distinct chunk once for a worker and the ids are gathered by index.
 A chunk that is one word, perhaps with a comma or full stop, goes to the library
 already cut, which spares it the search for pieces.
-Texts for which the split is not safe go to the library as a whole.
+Texts for which the split is not safe, such as those that hold the string of an
+added token, go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import Split
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.lib.get_added_tokens_decoder().values()]  # strings that the library finds before it cuts pieces
         self.keeps_space = keeps_space
         # the same vocabulary for words that are cut and spelt in its byte alphabet already
         self.words = Tokenizer.from_file(path)
@@ -137,11 +138,13 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _chunks(self, text: str) -> list[str] | None:
-        """The text cut at spaces and line feeds; None if it holds the sign that marks chunks.
+        """The text cut at spaces and line feeds; None if it holds the sign that marks chunks or an added token's string.
 
         Where spaces belong to pieces, a chunk stands for itself after a space,
         and one that follows no space is marked by a leading NUL.
         """
+        if any(t[:2] in text and t in text.lower() for t in self.added):
+            return None
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
         return None if "\0" in text else ("\0" + text.replace("\n", " \n \0")).split(" ")

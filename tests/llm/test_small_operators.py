@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tarnflow.llm import decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
-from tarnflow.llm.tokens import encoder, tokenizer_path
+from tarnflow.llm.tokens import Encoder, tokenizer_path
 
 WORDS = [a + b for a in "ka lo mi re su ta ven dor".split() for b in "ra ne lis mo ti gan".split()]
 
@@ -27,7 +28,7 @@ def changed(text, seed, share):
 
 def corpus():
     base = [words(i, 60 + 7 * i) for i in range(12)]
-    texts = base + [changed(base[i % 4], i, 0.02) for i in range(12)] + [base[0]] * 6 + [None, "", "  ", None, "one", "one", "One two", "Ünïcode é 漢字 \u00a0 x", words(99, 6000), words(99, 6000) + " end", "a\nb\n\n c\t d  e"]
+    texts = base + [changed(base[i % 4], i, 0.02) for i in range(12)] + [base[0]] * 6 + [None, "", "  ", None, "one", "one", "One two", "Ünïcode é 漢字 \u00a0 x", words(99, 6000), words(99, 6000) + " end", "a\nb\n\n c\t d  e", "<|endoftext|>", "a<|endoftext|>b <|startoftext|><|endoftext|> c", "x <|ENDOFTEXT|> <|endoftext|"]
     return list(enumerate(texts)) + [(5, texts[5]), (None, "no id"), (None, base[1])]
 
 
@@ -123,7 +124,7 @@ def test_decontamination(spark, docs, none):
 
 def test_packing(docs, none):
     path = tokenizer_path("word_bpe_49k.json")
-    lib = encoder(path, False).lib
+    lib = Tokenizer.from_file(path)
     rows = packing.pack(docs, path).collect()
     want = {}
     for i, t in corpus():
@@ -140,6 +141,16 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+@pytest.mark.parametrize("name, keeps_space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_are_the_librarys(name, keeps_space):
+    """Random texts with strings of added tokens inside words, at ends, repeated and cut short."""
+    lib, rng = Tokenizer.from_file(tokenizer_path(name)), random.Random(17)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "<|", "word", "Wörter", "don't", "漢字", "1234", ",", ".", " ", "  ", "\n", "\t", "\0", "\u00a0", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)] + parts
+    got = list(Encoder(tokenizer_path(name), keeps_space).stream(texts))
+    assert [x.tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_is_balanced():
     lengths = np.random.RandomState(3).lognormal(6, 1, 2000).astype(np.int64) + 1
     cost, size = {}, {}
@@ -153,7 +164,7 @@ def test_token_files(spark, docs, none, tmp_path):
     import pyarrow.orc as orc
 
     path = tokenizer_path("byte_bpe_50k.json")
-    lib = encoder(path, True).lib
+    lib = Tokenizer.from_file(path)
     here = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = token_orc.tokenise_to_orc(here, path, f"file://{tmp_path}/orc").orderBy("doc_id").collect()
     start, seen = 0, dict((i, t) for i, t in corpus() if i is not None)
