@@ -60,26 +60,47 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NUMBER = {name: str(i) for i, name in enumerate(licenses.SENTENCES, 1)}
 _RUNS = sorted({",".join(_NUMBER[s] for s in run): name for name, run in licenses.RULES}.items(), key=lambda r: (-r[0].count(","), r[0]))
 
+
+def _normal(x: str) -> str:
+    return f"trim(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": f"""
         WITH known(body, n) AS (
             VALUES {', '.join(f"('{licenses.plain(text)}', '{_NUMBER[name]}')" for name, text in licenses.SENTENCES.items())}
         ), rules(run, licence) AS (
             VALUES {', '.join(str(r) for r in _RUNS)}
+        ), texts AS (
+            SELECT doc_id, replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), 'Identifier: ', 'Identifier:') AS t FROM documents
+        ), cut AS (
+            SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '\\n[ \\t]*\\n', chr(1), 'g'), '[.!?;:]\\s+', chr(1), 'g'), chr(1)) AS p FROM texts
         ), parts AS (
-            SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?;]+[ \\t\\r]+|[.!?;]*[\\r\\n]+'),
-                   lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s
-            FROM documents
+            SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM cut
+        ), below AS (
+            SELECT *, CASE WHEN contains(part, chr(10)) THEN substr(part, strpos(part, chr(10)) + 1) END AS b FROM parts
+        ), named AS (
+            SELECT doc_id, i, part, k.n AS whole, coalesce(k1.n, k2.n) AS under FROM below
+            LEFT JOIN known k ON length(part) <= 1500 AND k.body = {_normal("part")}
+            LEFT JOIN known k1 ON length(part) <= 1500 AND k1.body = {_normal("b")}
+            LEFT JOIN known k2 ON length(part) <= 1500 AND k2.body = {_normal("CASE WHEN contains(b, chr(10)) THEN substr(b, strpos(b, chr(10)) + 1) ELSE b END")}
+        ), lines AS (
+            SELECT doc_id, i, unnest(string_split(part, chr(10))) AS line, generate_subscripts(string_split(part, chr(10)), 1) AS j
+            FROM named WHERE whole IS NULL AND under IS NULL
+        ), each_ AS (
+            SELECT doc_id, i, 1 AS j, whole AS n FROM named WHERE whole IS NOT NULL
+            UNION ALL SELECT doc_id, i, 0, 'x' FROM named WHERE whole IS NULL AND under IS NOT NULL
+            UNION ALL SELECT doc_id, i, 1, under FROM named WHERE whole IS NULL AND under IS NOT NULL
+            UNION ALL SELECT doc_id, i, j, coalesce(n, 'x') FROM lines LEFT JOIN known ON body = {_normal("line")} WHERE length({_normal("line")}) > 2
         ), ids AS (
-            SELECT doc_id, coalesce(string_agg(coalesce(n, '0'), ',' ORDER BY i), '') AS ids
-            FROM (SELECT doc_id, unnest(CASE WHEN len(s) = 0 THEN [''] ELSE s END) AS body, unnest(range(greatest(len(s), 1))) AS i FROM parts) LEFT JOIN known USING (body) GROUP BY doc_id
+            SELECT doc_id, string_agg(n, ',' ORDER BY i, j) AS ids, count(*) FILTER (n <> 'x') AS known_ones FROM each_ GROUP BY doc_id
         ), found AS (
-            SELECT doc_id, unnest(regexp_extract_all(ids, '\\b({'|'.join(r for r, _ in _RUNS)})\\b', 1)) AS run FROM ids
-        ), named AS (
+            SELECT doc_id, replace(unnest(regexp_extract_all(ids, '\\b({'|'.join(r.replace(",", "(?:,x){0,2},") for r, _ in _RUNS)})\\b', 1)), ',x', '') AS run FROM ids
+        ), findings AS (
             SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n FROM found JOIN rules USING (run) GROUP BY doc_id
         )
-        SELECT ids.doc_id, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_findings, CAST(len(regexp_extract_all(ids, '\\b[1-9][0-9]*')) AS BIGINT) AS n_sentences
-        FROM ids LEFT JOIN named ON ids.doc_id = named.doc_id
+        SELECT d.doc_id, coalesce(licences, '') AS licences, coalesce(f.n, 0) AS n_findings, coalesce(known_ones, 0) AS n_sentences
+        FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id LEFT JOIN findings f ON d.doc_id = f.doc_id
     """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -127,6 +148,23 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit ON docs.doc_id = hit.doc_id LEFT JOIN named ON docs.doc_id = named.doc_id
     """,
+    "op8_suffix_dedup": f"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS body FROM docs, unnest(range(1, len(w) - 48)) AS places(i)
+        ), shared AS (
+            SELECT body, min(doc_id) AS least, list_sort(list_distinct(list(doc_id)))[2] AS second FROM windows GROUP BY body HAVING min(doc_id) <> max(doc_id)
+        ), hits AS (
+            SELECT doc_id, i, CASE WHEN doc_id = least THEN second ELSE least END AS partner FROM windows JOIN shared USING (body)
+        ), marked AS (
+            SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hits
+        ), islands AS (
+            SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked
+        )
+        SELECT doc_id, min(i) - 1 AS start_word, max(i) + 49 AS end_word, max(i) + 50 - min(i) AS n_words, min(partner) AS partner_id, min(partner) < doc_id AS is_later
+        FROM islands GROUP BY doc_id, island
+    """,
     "op9_jaccard_join": f"""
         WITH RECURSIVE docs AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \\x09-\\x0D]+') AS w FROM documents

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnflow.llm import decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
+from tarnflow.llm import decontam, exact_dedup, jaccard, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
 from tarnflow.llm.tokens import Encoder, tokenizer_path
 
 WORDS = [a + b for a in "ka lo mi re su ta ven dor".split() for b in "ra ne lis mo ti gan".split()]
@@ -207,15 +207,6 @@ def test_cascade_is_exact(spark):
     assert (url_filter.cascade_has(levels, keys) == np.isin(keys, listed)).all() and len(levels) > 1
 
 
-def test_licenses(spark, none):
-    s = licenses.SENTENCES
-    rows = [(1, f"x. {s['mit-grant']}.\n{s['mit-notice']}.\n\n{s['as-is']}."), (2, f"{s['mit-notice']}. {s['mit-grant']}"), (3, f"hello  {s['apache-short']}"), (4, f"hello.\n{s['apache-short'].upper()}!\n{s['ccby4-short']}"), (5, None), (6, "")]
-    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.findings for r in got] == [["MIT"], ["MIT"], [], ["Apache-2.0", "CC-BY-4.0"], [], []]
-    assert [r.n_sentences for r in got] == [3, 2, 0, 2, 0, 0]
-    assert licenses.license_scan(none).count() == 0
-
-
 def test_repeated_passages(spark, docs, none):
     shared = words(500, 80)
     rows = [(i, f"{words(600 + i, 30 + i)} {shared} {words(700 + i, 20)}") for i in range(6)] + [(6, words(800, 300)), (7, None), (8, ""), (9, "w " * 400), (10, shared[:200])]
