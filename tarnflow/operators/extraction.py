@@ -94,7 +94,7 @@ def field_statistics(raw: DataFrame, fields: dict[str, FieldType], base: Column
     for name, ft in fields.items():
         col = F.col(name)
         empty = F.size(col) == 0 if ft.is_list else col.isNull()
-        failed = F.lit(False) if ft.is_list else col.isNotNull() & cast_failed(col, cast_column(col, ft, base), ft)
+        failed = cast_failed(col, cast_column(col, ft, base), ft)  # a blank value where one is required counts
         length = F.length(F.array_join(col, "")) if ft.is_list else F.length(col)
         aggs.append(F.struct(F.lit(name).alias("field"), F.count(F.lit(1)).alias("items"), F.sum(f"{name}__nodes").alias("match_count"), F.count(F.when(empty, 1)).alias("null_count"), F.count(F.when(failed, 1)).alias("cast_fail"), F.avg(length).alias("len_mean")))
     return raw.agg(F.array(*aggs).alias("s")).select(F.explode("s").alias("s")).select("s.*")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOCKS = "source string, field string, field_order int, css string, attr string, fallbacks array<struct<css:string,attr:string>>, status string, confirm_runs int, heal_count int, value_shape string, samples array<string>, match_count_ema double, null_rate_ema double, len_mean double"
+LOCKS = "source string, field string, field_order int, css string, attr string, fallbacks array<struct<css:string,attr:string>>, status string, confirm_runs int, heal_count int, value_shape string, samples array<string>, match_count_ema double, null_rate_ema double, len_mean double, tag string, class_tokens array<string>, ancestor_sig string"
 RING = 5
 
 
@@ -14,9 +15,44 @@ def save_last_good(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
-def last_good(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """The stored items of a source, marked as stale."""
-    return spark.read.parquet(path).where(F.col("source") == source).withColumn("stale", F.lit(True))
+def last_good(spark: SparkSession, path: str, source: str) -> DataFrame | None:
+    """The stored items of a source, marked as stale; None where there are none or they cannot be read."""
+    try:
+        return spark.read.parquet(path).where(F.col("source") == source).withColumn("stale", F.lit(True))
+    except AnalysisException:  # no such path, or no Parquet in it
+        return None
+
+
+def has_last_good(spark: SparkSession, path: str, source: str) -> bool:
+    found = last_good(spark, path, source)
+    return found is not None and not found.isEmpty()
+
+
+def save_locks(locks: list[dict], path: str, spark: SparkSession, item: str | None = None, content_len: float | None = None) -> None:
+    """Overwrite the locks of the sources in ``locks`` and no others; each row carries its source's item selector and mean length."""
+    rows = spark.createDataFrame(locks, LOCKS).withColumns({"item_selector": F.lit(item).cast("string"), "content_len_ema": F.lit(content_len).cast("double"), "source_name": F.col("source")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_name").parquet(path)
+
+
+def load_locks(spark: SparkSession, path: str, source: str) -> tuple[list[dict], str | None, float | None]:
+    """(locks in the fields' order, item selector, mean length) of a source; no locks where it is not compiled."""
+    try:
+        found = spark.read.parquet(path).where(F.col("source_name") == source).orderBy("field_order").collect()
+    except AnalysisException:
+        found = []
+    locks = [{k: v for k, v in r.asDict(recursive=True).items() if k not in ("item_selector", "content_len_ema", "source_name")} for r in found]
+    return locks, found[0]["item_selector"] if found else None, found[0]["content_len_ema"] if found else None
+
+
+def save_snapshots(pages: DataFrame, path: str, run: str) -> None:
+    """The pages of a good run as one folder ``run=RUN``; only the newest RING runs stay."""
+    pages.write.mode("overwrite").parquet(f"{path}/run={run}")
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("run="))
+    for old in kept[:-RING]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
 
 
 def append_history(events: DataFrame, path: str) -> None:

@@ -83,7 +83,7 @@ def test_drift_and_gates(spark):
 def test_ladder(spark):
     kinds = "source string, field string, field_order int, rung int, rank int, css string, attr string, passed boolean"
     able = spark.createDataFrame([("s", "a", 0, 1, 1, ".old", "text", False), ("s", "a", 0, 2, 1, ".x", "text", True), ("s", "b", 1, 2, 1, ".x", "text", True), ("s", "b", 1, 2, 2, ".y", "text", True), ("s", "c", 2, 2, 1, ".held", "text", True)], kinds)
-    lock = lambda f, css, status: ("s", f, 0, css, "text", [], status, 0, 0, None, [], 1.0, 0.0, 1.0)
+    lock = lambda f, css, status: ("s", f, 0, css, "text", [], status, 0, 0, None, [], 1.0, 0.0, 1.0, "", [], "")
     locks = spark.createDataFrame([lock("a", ".a", "verified"), lock("b", ".b", heal.UNCONFIRMED), lock("c", ".c", "verified"), lock("d", ".held", heal.UNCONFIRMED)], state.LOCKS)
     chosen = heal.choose(able, locks)
     assert {r.field: r.css for r in chosen.collect()} == {"a": ".x", "b": ".y"}
