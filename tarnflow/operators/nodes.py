@@ -8,6 +8,7 @@ the path; no page is parsed twice and no selector needs a join.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +36,7 @@ class _Tree(HTMLParser):
         self.open: list[int] = []
         self.children: list[list[str]] = []
         self.top: list[str] = []
+        self.counts: dict[int, Counter] = defaultdict(Counter)  # of each parent: children by tag
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         for at in range(len(self.open) - 1, -1, -1):
@@ -51,8 +53,10 @@ class _Tree(HTMLParser):
             self._close({"p"}, BLOCKS - {"p"})
         above = self.children[self.open[-1]] if self.open else self.top
         above.append(tag)
+        counts = self.counts[self.open[-1] if self.open else -1]
+        counts[tag] += 1
         given = {k: v or "" for k, v in reversed(attrs)}
-        self.steps.append({"ix": len(self.steps), "tag": tag, "id": given.get("id"), "classes": given.get("class", "").split(), "attrs": list(given.items()), "nth": len(above), "nth_type": above.count(tag)})
+        self.steps.append({"ix": len(self.steps), "tag": tag, "id": given.get("id"), "classes": given.get("class", "").split(), "attrs": list(given.items()), "nth": len(above), "nth_type": counts[tag]})
         self.paths.append([*self.open, len(self.steps) - 1])
         self.texts.append([])
         self.children.append([])
@@ -164,4 +168,21 @@ def _positions(path: Column, chain: list) -> Column:
 
 def matches(path: Column, css: str) -> Column:
     """Whether the element at the path's end matches."""
-    return F.array_contains(match_positions(path, css), F.size(path))
+    out = F.lit(False)
+    for one in css.split(","):
+        out = out | _ends(path, _chain(one))
+    return out
+
+
+def _ends(path: Column, chain: list) -> Column:
+    """Short chains are tests of the last step and of those above; longer ones walk the path."""
+    (how, own), size = chain[-1], F.size(path)
+    if len(chain) > 2:
+        return F.array_contains(_positions(path, chain), size)
+    here = F.coalesce(own(F.try_element_at(path, F.lit(-1))), F.lit(False))
+    if len(chain) == 1:
+        return here
+    first = chain[0][1]
+    if how == ">":
+        return here & F.coalesce(first(F.try_element_at(path, F.lit(-2))), F.lit(False))
+    return here & F.exists(F.slice(path, 1, F.greatest(size - 1, F.lit(0))), first)
