@@ -20,10 +20,12 @@ never compared.
   A query's overlap with any member of a group is bounded by these; only where
   the bound meets the threshold, and query and group are not connected as a
   whole, does the group qualify.
-* Opening: the queries that qualify for a pair of blocks meet in one task.  A
-  query that shares too few shingles with the union of the others is closed at
-  once; else its overlaps with all of them are counted from posting lists.  Only
-  links that connect two components leave the task, fewer than it has rows.
+* Opening: the queries that qualify for a pair of blocks meet in one task, first
+  with counts of their shingles by bucket, which bound every overlap; the whole
+  sets follow only of queries that may still link.  A query that shares too few
+  shingles with the union of the others is closed at once; else its overlaps with
+  all of them are counted from posting lists.  Only links that connect two
+  components leave the task, fewer than it has rows.
 """
 
 from __future__ import annotations
@@ -262,21 +264,85 @@ def connecting(now: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     return links
 
 
-def _opened(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def reachable(now: np.ndarray, n: np.ndarray, profiles: list[bytes]) -> np.ndarray:
+    """For each set whether its overlap with some set of another component may suffice, by their profiles."""
+    counts = [np.frombuffer(p, np.uint8) for p in profiles]
+    width = np.array([len(c) for c in counts])
+    _, comp = np.unique(now, return_inverse=True)
+    out = np.zeros(len(n), bool)
+    folded: dict[tuple[int, int], np.ndarray] = {}  # (width, folded to) -> a row for each set of that width
+    of = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+
+    def rows(w: int, to: int) -> np.ndarray:
+        if (w, to) not in folded:
+            folded[w, to] = np.stack([counts[i].astype(np.int16).reshape(-1, to).sum(0) for i in of[w]])
+        return folded[w, to]
+
+    for q in range(len(n)):
+        able = (comp != comp[q]) & (100 * n >= PERCENT * n[q]) & (100 * n[q] >= PERCENT * n)
+        for w, at in of.items():
+            some = able[at]
+            if out[q] or not some.any():
+                continue
+            if not w or not width[q]:  # a profile without a bound
+                out[q] = True
+                continue
+            to = int(min(w, width[q]))
+            own = counts[q].astype(np.int16).reshape(-1, to).sum(0)
+            bound = np.minimum(rows(w, to)[some], own).sum(1)
+            out[q] = bool(((100 + PERCENT) * bound >= PERCENT * (n[q] + n[at][some])).any())
+    return out
+
+
+def _qualified(queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """The queries (one, two, node, now) that may link with another set of their pair of blocks, written.
+
+    Only profiles are sent for this, a few bytes for each shingle bucket.
+    """
+    names = ["one", "two", "node", "now"]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+
+        def kept() -> pa.RecordBatch:
+            keep = reachable(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]) if len(rows) > 1 else [False] * len(rows)
+            left = [r for r, k in zip(rows, keep) if k]
+            return pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(left), pa.int64()), pa.array([unit[1]] * len(left), pa.int64()), pa.array([r[0] for r in left], pa.int64()), pa.array([r[1] for r in left], pa.int64())], names)
+
+        for batch in batches:
+            for *at, node, now, n, profile in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != unit:
+                    if rows:
+                        yield kept()
+                    unit, rows = at, []
+                rows.append((node, now, n, profile))
+        if rows:
+            yield kept()
+
+    known = sets.select(F.col("doc_id").alias("node"), "n", "profile").join(_sent(queries.select("node").distinct()), "node", "left_semi")
+    met = queries.join(known, "node").select(*names, "n", "profile").repartition("one", "two").sortWithinPartitions("one", "two", "node")
+    return written(met.mapInArrow(judged, "one long, two long, node long, now long").distinct())
+
+
+def _opened(rows: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect what shares a prefix shingle and is still apart; ``rows``: token, node, n, at, now."""
-    weight = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("shingles"))
-    home = rows.select("token", "node").join(weight, "token").groupBy("node").agg(F.max(F.struct("many", "token", "shingles")).alias("home"))
+    def fits(n: Column, at: Column) -> Column:
+        """A set may link with one of those that least, most, reach, lo and hi stand for, and is not connected with all of them."""
+        sizes = (100 * n >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * n)
+        return ((F.col("now") != F.col("lo")) | (F.col("now") != F.col("hi"))) & sizes & _may_reach(n - at, F.col("reach"), n + F.col("least"))
+
+    bounds = [F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("reach"), F.min("now").alias("lo"), F.max("now").alias("hi")]
+    tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("shingles"), *bounds)
+    rows = written(rows.join(tokens, "token").where(fits(F.col("n"), F.col("at"))).select("token", "node", "n", "at", "now", "many", "shingles"))
+    home = rows.groupBy("node").agg(F.max(F.struct("many", "token", "shingles")).alias("home"))
     parts = F.ceil(F.greatest(F.col("home.many") / BLOCK_SETS, F.col("home.shingles") / BLOCK_SHINGLES))
     home = home.select("node", F.xxhash64("home.token", F.pmod(F.xxhash64("node"), parts)).alias("block"))
-    cells = written(rows.join(home, "node"))
+    cells = written(rows.select("token", "node", "n", "at", "now").join(home, "node"))
 
-    matrix = cells.groupBy("token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("reach"), F.min("now").alias("lo"), F.max("now").alias("hi"))
-    matrix = matrix.withColumnRenamed("block", "group")
-    sizes = (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n"))
-    apart = (F.col("now") != F.col("lo")) | (F.col("now") != F.col("hi"))
-    queries = cells.join(matrix, "token").where(apart & sizes & _may_reach(F.col("n") - F.col("at"), F.col("reach"), F.col("n") + F.col("least")))
+    matrix = cells.groupBy("token", "block").agg(*bounds).withColumnRenamed("block", "group")
+    queries = cells.join(matrix, "token").where(fits(F.col("n"), F.col("at")))
     queries = queries.select(F.least("block", "group").alias("one"), F.greatest("block", "group").alias("two"), "node", "now").distinct()
-    queries = written(queries)
+    queries = _qualified(written(queries), sets)
     whole = _whole_sets(docs, queries.select(F.col("node").alias("doc_id")).distinct())
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +370,7 @@ def _opened(rows: DataFrame, docs: DataFrame) -> DataFrame:
     dropped(whole)
     dropped(queries)
     dropped(cells)
+    dropped(rows)
     return out
 
 
@@ -360,7 +427,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = together.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", "at")
     rows = shared.where(~F.col("many")).select("token", "node", "n", "at").union(members).join(apart, "token", "left_semi")
     rows = written(rows.join(by_node, "node", "left").select("token", "node", "n", "at", F.coalesce("now", "node").alias("now")))
-    links = links.union(_opened(rows, docs))
+    links = links.union(_opened(rows, docs, sets))
 
     ends = copies.join(components(links), "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return sets.select("doc_id", "n", "sig").join(ends, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
