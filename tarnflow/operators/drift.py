@@ -34,7 +34,7 @@ def drift_causes(t: Thresholds = Thresholds()) -> Column:
     null_rate = c("null_count") / n
     rules = [
         (c("cast_fail") / n > t.schema_fail_ratio, F.concat(F.lit("schema-fail "), c("cast_fail").cast("string"), F.lit("/"), n.cast("string"))),
-        ((c("match_count_ema") >= 1) & ((ratio < low) | (ratio > high)), F.concat(F.lit("cardinality "), F.format_number(ratio, 1), F.lit("x baseline"))),
+        ((c("match_count_ema") >= 1) & ((ratio < low) | (ratio > high)), F.concat(F.lit("cardinality "), F.format_string("%.1f", ratio), F.lit("x baseline"))),
         (c("items") < c("min_items"), F.concat(F.lit("items "), c("items").cast("string"), F.lit(" < min_items "), c("min_items").cast("string"))),
         (~c("loose") & (c("shape_ratio") < t.shape_ratio), F.concat(F.lit("shape "), _percent(c("shape_ratio")), F.lit(" match"))),
         (c("null_rate_ema").isNotNull() & (null_rate > 0.2) & (null_rate > t.null_rate_factor * F.greatest(c("null_rate_ema"), F.lit(0.02))), F.concat(F.lit("null-rate "), _percent(null_rate))),

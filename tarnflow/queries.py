@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import casts
 from tarnflow.functions.types import FieldType, parse_type
-from tarnflow.operators import candidates, drift, extraction, nodes, shapes
+from tarnflow.operators import candidates, drift, extraction, nodes, probes, shapes
 from tarnflow.plans import heal
 from tarnflow.plans.planner import drop_all_null, matched, parse_query, run_query
 from tarnflow.sources import pages as page_source
@@ -76,7 +76,7 @@ flat("filter_datetime_day", "orders", ORDERS, {"o_orderdate__gte": "1997-01-01",
 flat("filter_datetime_eq", "orders", ORDERS, {"o_orderdate": "1997-01-01", "fields": "o_orderkey"}, "SELECT o_orderkey FROM orders WHERE o_orderdate = TIMESTAMP '1997-01-01'")
 flat("contains_text", "customer", CUSTOMER, {"c_name__contains": "CUSTOMER#0000000", "fields": "c_custkey,c_name"}, "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'customer#0000000')")
 flat("contains_list", "part", types(p_partkey="int", words="list[str]"), {"words__contains": "blue", "fields": "p_partkey"}, "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'blue')", prepare=lambda df: df.withColumn("words", F.split("p_name", " ")))
-flat("search_q", "part", PART, {"q": "STEEL", "fields": "p_partkey"}, "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel') OR contains(lower(p_type), 'steel')")
+flat("search_q", "part", PART, {"q": "WIDGET", "fields": "p_partkey"}, "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') OR contains(lower(p_type), 'widget')")
 flat("search_q_list", "part", types(p_partkey="int", words="list[str]"), {"q": "RE", "fields": "p_partkey"}, "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: contains(lower(w), 're'))) > 0", prepare=lambda df: df.withColumn("words", F.split("p_name", " ")))
 flat("page_offset_limit", "orders", ORDERS, {"sort": "o_totalprice", "offset": "100", "limit": "50", "fields": "o_orderkey,o_totalprice"}, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 100", ["o_orderkey"])
 flat("sort_multi_nulls_last", "orders", ORDERS, {"sort": "-o_orderstatus,o_totalprice", "limit": "1000", "fields": "o_orderkey,o_orderstatus"}, f"SELECT o_orderkey, o_orderstatus FROM {_NULL_ORDERS} ORDER BY lower(o_orderstatus) DESC NULLS LAST, o_totalprice, o_orderkey LIMIT 1000", ["o_orderkey"], _null_status)
@@ -226,6 +226,43 @@ def item_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.item_candidates(nodes.page_nodes(table(spark, sf_dir, "pages")))
 
 
+def _listing(part: DataFrame, head: str, size: str) -> DataFrame:
+    """Invented pages, 20 parts each, whose classes depend on the design: page_id, url, status, html."""
+    row = F.concat(F.lit(f"<article class='part'><h2 class='{head}'>"), "p_name", F.lit(f"</h2><div class='meta'><span class='{size}'>"), F.col("p_size").cast("string"), F.lit(" units</span><b class='key'>"), F.col("p_partkey").cast("string"), F.lit("</b></div></article>"))
+    listed = part.groupBy(F.floor(F.col("p_partkey") / 20).cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("rows"))
+    return listed.select("page_id", F.lit("https://x.test/").alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<html><body><main>"), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</main></body></html>")).alias("html"))
+
+
+_PARTS = {"p_partkey": (parse_type("int"), extraction.Selector(".key")), "p_name": (parse_type("str"), extraction.Selector("h2.head")), "p_size": (parse_type("int"), extraction.Selector(".meta > .size")), "gone": (parse_type("int | null"), extraction.Selector(".gone"))}
+
+
+@query("SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part")
+def extract_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed items of invented pages are the rows that the pages were made of."""
+    return extraction.extract(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size")), "article.part", _PARTS).select("p_partkey", "p_name", "p_size")
+
+
+@query("""SELECT field, n AS scopes, CASE WHEN field IN ('gone') THEN 0 ELSE n END AS matched_scopes, CASE WHEN field = 'text_as_int' THEN 0 ELSE n END AS cast_ok, CASE WHEN field = 'text_as_int' THEN n ELSE 0 END AS cast_fail, field NOT IN ('gone', 'text_as_int') AS passed
+    FROM (SELECT count(*) AS n FROM part), (VALUES ('p_partkey'), ('p_name'), ('p_size'), ('gone'), ('text_as_int')) f(field)""")
+def probe_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tries = _PARTS | {"text_as_int": (parse_type("int"), extraction.Selector("h2.head"))}
+    got = probes.probe(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size")), "article.part", tries)
+    return got.select("field", "scopes", "matched_scopes", "cast_ok", "cast_fail", probes.passes(F.col("field") == "gone").alias("passed"))
+
+
+@query("""SELECT 'article.part' AS css, count(*) AS n, count(DISTINCT p_partkey // 20) AS pages FROM part WHERE p_partkey // 20 IN (SELECT p_partkey // 20 FROM part GROUP BY 1 HAVING count(*) >= 3)""")
+def item_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = candidates.item_candidates(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size"))).where("rank = 1")
+    return best.groupBy("css").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages"))
+
+
+@query("""SELECT 'p_size' AS field, 'span' AS tag, 'size' AS class_tokens, 'div.meta<article.part<main' AS ancestor_sig, '^\d+\s+[^\W\d_]+$' AS value_shape,
+        count(*) / count(DISTINCT p_partkey // 20) AS match_count_ema, 0.0::DOUBLE AS null_rate_ema, avg(length(CAST(p_size AS VARCHAR)) + 6) AS len_mean FROM part""")
+def field_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = probes.fingerprints(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size")), "article.part", {"p_size": _PARTS["p_size"]})
+    return got.withColumn("class_tokens", F.array_join("class_tokens", ",")).drop("samples")
+
+
 @query()
 def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.field_candidates(nodes.page_nodes(table(spark, sf_dir, "pages")), "li", parse_type("url"), "target of the link", "target", F.lit("https://base.test/"))

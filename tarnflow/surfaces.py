@@ -127,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
         out = query_source(spark, Source("table", fields, lambda s: s.read.parquet(args.path)), dict(p.split("=", 1) for p in args.params))
     except QueryError as e:
         print(json.dumps(e.as_dict()))
-        return 1
+        return 2
     print(json.dumps(out, default=str))
     return 0
 
