@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tarnflow.functions import casts
 from tarnflow.functions.types import FieldType, parse_type
 from tarnflow.operators import candidates, drift, extraction, nodes, probes, shapes
-from tarnflow.plans import heal
+from tarnflow.plans import heal, runs
+from tarnflow.plans.compiling import FieldSpec, SourceSpec, lock_rows
 from tarnflow.plans.planner import drop_all_null, matched, parse_query, run_query
 from tarnflow.sources import pages as page_source
 from tarnflow.sources import state
@@ -263,6 +264,16 @@ def field_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("class_tokens", F.array_join("class_tokens", ",")).drop("samples")
 
 
+@query("SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part")
+def repair_redesign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors and fingerprints of one design, a run over pages of another: drift is found, repaired, and all items come out."""
+    part = table(spark, sf_dir, "part")
+    spec = SourceSpec("parts", {"p_partkey": FieldSpec(parse_type("int"), "key"), "p_name": FieldSpec(parse_type("str"), "head"), "p_size": FieldSpec(parse_type("int"), "size")}, min_items=1)
+    locks = lock_rows(nodes.page_nodes(_listing(part, "head", "size")), "article.part", spec, {n: (_PARTS[n][1], []) for n in spec.fields})
+    done = runs.run_source(spark, spec, "article.part", locks, _listing(part, "title", "stock"))
+    return done.items.select("p_partkey", "p_name", "p_size")
+
+
 @query()
 def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.field_candidates(nodes.page_nodes(table(spark, sf_dir, "pages")), "li", parse_type("url"), "target of the link", "target", F.lit("https://base.test/"))
