@@ -42,11 +42,13 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where it is unset (tests on one
-    machine) a temporary folder is set.
+    The folder is ``spark.checkpoint.dir``; only where it is unset and Spark runs
+    on one machine (tests) a temporary folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tarnflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tarnflow/{uuid.uuid4().hex}"
