@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, mix, text_steps, written
+from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, mix, text_steps, written, memory_returned
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Counters of shingles, in rows of CHUNK.
@@ -75,6 +75,8 @@ def _levels(docs: DataFrame) -> np.ndarray:
                 counts += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         if counts.any():
             yield _chunks(np.minimum(counts, 65_535).astype(np.uint16))
+        del counts
+        memory_returned()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -145,6 +147,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), pa.array(profiles, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), flat)], ["doc_id", "n", "sig", "g1", "g2", "profile", "prefix"])
+        memory_returned()
 
     return written(docs.mapInArrow(described, "doc_id long, n long, sig binary, g1 long, g2 long, profile binary, prefix array<long>"))
 
@@ -363,6 +366,8 @@ def _opened(rows: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 sets.append(np.frombuffer(tokens, np.uint64))
         if sets:
             yield links()
+        sets = []
+        memory_returned()
 
     met = queries.join(whole.withColumnRenamed("doc_id", "node"), "node").select("one", "two", "node", "now", "tokens")
     met = met.repartition("one", "two").sortWithinPartitions("one", "two", "node", F.length("tokens"))

@@ -103,5 +103,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                     docs, ids, size = [], [], 0
         if docs:
             yield block()
+        del docs, ids
+        enc.forget()
 
     return id_and_text(df, id_col, text_col).mapInArrow(packed, SCHEMA)

@@ -18,6 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from tarnflow.llm.shared import memory_returned
+
 #: Chunks that a worker keeps; beyond it starts anew (bounds its memory).
 CACHE_CHUNKS = 500_000
 #: Characters of text that the library encodes at once.
@@ -202,6 +204,11 @@ class Encoder:
             out.append(self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)])
         return out
 
+    def forget(self) -> None:
+        """Drop all chunks, at a task's end: a worker that is kept for other stages does not hold them."""
+        self._clear()
+        memory_returned()
+
     def stream(self, texts) -> Iterator[np.ndarray]:
         """Ids of each text, in order, with a bounded part of them in memory."""
         some, chars = [], 0
