@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.components import components
-from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, mix, text_steps, written, memory_returned
+from tarnflow.llm.shared import SPACED, dropped, grams, id_and_text, memory_returned, mix, text_steps, written
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Counters of shingles, in rows of CHUNK.
@@ -72,7 +72,7 @@ def _levels(docs: DataFrame) -> np.ndarray:
             for _, _, data, ends in text_steps(batch):
                 words, _, _, doc = SPACED.hashed(data, ends)
                 found = grams(words, SHINGLE_WORDS)[doc[: max(len(doc) - SHINGLE_WORDS + 1, 0)] == doc[SHINGLE_WORDS - 1 :]]
-                counts += np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                np.add.at(counts, (found & np.uint64(SKETCH - 1)).astype(np.intp), np.uint32(1))
         if counts.any():
             yield _chunks(np.minimum(counts, 65_535).astype(np.uint16))
         del counts
@@ -244,9 +244,10 @@ def connecting(now: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
     many = np.diff(first, append=len(flat))
-    run = np.empty(len(flat), np.int64)  # of each shingle of each set, in order
-    run[order] = np.repeat(np.arange(len(first)), many)
-    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    run = np.empty(len(flat), np.int32)  # of each shingle of each set, in order
+    run[order] = np.repeat(np.arange(len(first), dtype=np.int32), many)
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    del flat, order
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     links = []
     for q in range(len(sets)):
