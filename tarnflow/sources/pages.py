@@ -99,39 +99,51 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str = "tarnflow", url_col:
     return kept.where(may("_robots", url_col)).select(urls.columns)
 
 
-def fetch(urls: DataFrame, seconds_per_request: float = 2.0, timeout: float = 20.0, url_col: str = "url") -> DataFrame:
-    """url, url_final, status, html, error of each address: one host to one task, at a bounded rate with jitter, two attempts."""
+def fetch(urls: DataFrame, seconds_per_request: float = 2.0, timeout: float = 20.0, url_col: str = "url", pause: float = 1.5) -> DataFrame:
+    """url, url_final, status, html, error, etag and last_modified of each address.
+
+    One host goes to one task, at a bounded rate with jitter; there are two
+    attempts, ``pause`` seconds apart.  Where ``urls`` has the columns ``etag`` or
+    ``last_modified`` of an earlier answer, the page is asked for only if it
+    changed since: 304 comes without html.  A null or malformed address is an error.
+    """
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import random
         import time
         import urllib.error
         import urllib.request
+        from urllib.parse import urlsplit
+
+        def answer(url: str, got, status: int, html: str | None) -> tuple:
+            return url, got.geturl(), status, html, None, got.headers.get("ETag"), got.headers.get("Last-Modified")
 
         last: dict[str, float] = {}
         for batch in batches:
             rows = []
-            for url in batch["url"]:
-                host = url.split("/")[2] if url.count("/") > 1 else ""
-                row = (url, None, None, None, "no answer")
-                for attempt in range(2):
-                    wait = last.get(host, 0) + seconds_per_request * random.uniform(0.7, 1.3) - time.monotonic()
-                    if wait > 0:
-                        time.sleep(wait)
-                    last[host] = time.monotonic()
+            for url, *known in zip(batch["url"], batch["etag"], batch["last_modified"]):
+                row = (url, None, None, None, "no address", None, None)
+                for attempt in range(2 if url else 0):
                     try:
-                        with urllib.request.urlopen(url, timeout=timeout) as r:
-                            row = (url, r.geturl(), r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), None)
+                        host = urlsplit(url).netloc
+                        asked = urllib.request.Request(url, headers={h: v for h, v in zip(("If-None-Match", "If-Modified-Since"), known) if v})
+                        wait = last.get(host, 0) + seconds_per_request * random.uniform(0.7, 1.3) - time.monotonic()
+                        if wait > 0:
+                            time.sleep(wait)
+                        last[host] = time.monotonic()
+                        with urllib.request.urlopen(asked, timeout=timeout) as r:
+                            row = answer(url, r, r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"))
                         break
                     except urllib.error.HTTPError as e:
-                        row = (url, e.geturl(), e.code, e.read().decode("utf-8", "replace"), None)
+                        row = answer(url, e, e.code, None if e.code == 304 else e.read().decode("utf-8", "replace"))
                         break
-                    except (OSError, ValueError) as e:
-                        row = (url, None, None, None, str(e))
+                    except (OSError, ValueError, LookupError) as e:  # no connection, no address, an unknown charset
+                        row = (url, None, None, None, str(e) or type(e).__name__, None, None)
                         if not attempt:
-                            time.sleep(1.5)
+                            time.sleep(pause)
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["url", "url_final", "status", "html", "error"])
+            yield pd.DataFrame(rows, columns=["url", "url_final", "status", "html", "error", "etag", "last_modified"]).astype({"status": "Int32"})
 
-    by_host = urls.select(F.col(url_col).alias("url")).repartition(F.try_parse_url("url", F.lit("AUTHORITY")))
-    return by_host.mapInPandas(visit, "url string, url_final string, status int, html string, error string")
+    known = [(F.col(c) if c in urls.columns else F.lit(None)).cast("string").alias(c) for c in ("etag", "last_modified")]
+    by_host = urls.select(F.col(url_col).alias("url"), *known).repartition(F.try_parse_url("url", F.lit("AUTHORITY")))
+    return by_host.mapInPandas(visit, "url string, url_final string, status int, html string, error string, etag string, last_modified string")

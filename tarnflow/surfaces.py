@@ -10,10 +10,11 @@ from typing import Any
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from tarnflow.functions.types import FieldType, json_schema, parse_type
+from tarnflow.functions.types import SCALARS, FieldType, json_schema, parse_type
 from tarnflow.plans.ask import compile_question
-from tarnflow.plans.grammar import CONTROLS, MAX_LIMIT, QueryError, parse_query
+from tarnflow.plans.grammar import CONTROLS, MAX_LIMIT, Query, QueryError, parse_query
 from tarnflow.plans.planner import envelope
 
 #: Status of a lookup -> HTTP status.
@@ -22,21 +23,47 @@ LOOKUP_STATUS = {"ok": 200, "not_found": 200, "error": 400, "blocked": 502, "bro
 
 @dataclass
 class Source:
-    """A named table of items with declared types."""
+    """A named table of items with declared types; with ``lookup`` the items of a request's parameters.
+
+    ``lookup`` takes the session and the parameters and gives status, error, url
+    and items, as :func:`tarnflow.plans.lookups.lookup_one` does.
+    """
 
     name: str
     fields: dict[str, FieldType]
-    load: Callable[[SparkSession], DataFrame]
+    load: Callable[[SparkSession], DataFrame] | None
     ordinal: list[str] = field(default_factory=list)
     version: str = "1.0.0"
     lookup_params: frozenset[str] = frozenset()
+    lookup: Callable[[SparkSession, dict], dict] | None = None
 
 
 def query_source(spark: SparkSession, source: Source, params: dict[str, Any], base: dict | None = None) -> dict:
-    query, _ = parse_query(params, source.fields, set(source.lookup_params))
+    """The envelope of a request; that of a lookup has its status, and its error where there is one."""
+    query, arguments = parse_query(params, source.fields, set(source.lookup_params))
+    if source.lookup:
+        return _looked_up(spark, source, query, arguments, base or {})
     return envelope({"source": source.name, "schema_version": source.version, **(base or {})}, source.load(spark), query, source.fields, source.ordinal)
 
 
+def _looked_up(spark: SparkSession, source: Source, query: Query, arguments: dict, base: dict) -> dict:
+    got = source.lookup(spark, arguments)
+    about = {"source": source.name, "schema_version": source.version, "params": arguments, "url": got["url"], "status": got["status"]}
+    about |= {"error": got["error"]} if got["error"] else {}
+    meta = {"cached": got.get("cached", False)} | ({"healed_fields": got["healed"]} if got.get("healed") else {})
+    about |= base | {"_meta": meta | base.get("_meta", {})}
+    if not got["items"]:
+        return about | {"count": 0, "returned": 0, "items": [], "_query": query.echo()}
+    kind = T.StructType([T.StructField(n, ft.spark) for n, ft in source.fields.items()] + [T.StructField("_at", T.LongType())])
+    items = spark.createDataFrame([(*(r[n] for n in source.fields), i) for i, r in enumerate(got["items"])], kind)
+    return envelope(about, items, query, source.fields, ["_at"])
+
+
+def http_status(body: dict) -> int:
+    """The HTTP status of a request's envelope."""
+    return LOOKUP_STATUS[body["status"]] if "params" in body else 200
+
+
 def handle(spark: SparkSession, sources: dict[str, Source], target: str, complete: Callable[[str], str] | None = None) -> tuple[int, dict]:
     """(status, body) of ``GET /v1/SOURCE``, ``/v1/SOURCE/schema``, ``/v1/SOURCE/ask?q=``, ``/openapi.json`` and ``/healthz``."""
     url = urlsplit(target)
@@ -56,22 +83,41 @@ def handle(spark: SparkSession, sources: dict[str, Source], target: str, complet
             got = compile_question(complete, params.get("q", ""), source.fields, set(source.lookup_params))
             if got.error or got.query is None:
                 return 400, got.error or {"error": "no query", "code": "invalid_value"}
-            return 200, query_source(spark, source, got.params, {"_meta": {"question": params.get("q", ""), "compiled_rounds": got.rounds}})
-        return (200, query_source(spark, source, params)) if not what else (404, {"error": "unknown path", "code": "not_found"})
+            body = query_source(spark, source, got.params, {"_meta": {"question": params.get("q", ""), "compiled_rounds": got.rounds}})
+            return http_status(body), body
+        if what:
+            return 404, {"error": "unknown path", "code": "not_found"}
+        body = query_source(spark, source, params)
+        return http_status(body), body
     except QueryError as e:
         return 400, e.as_dict()
 
 
 def openapi(sources: dict[str, Source]) -> dict:
     """An OpenAPI description; a field's operators come from the same table that the grammar checks."""
-    kinds = {"limit": {"type": "integer", "minimum": 0, "maximum": MAX_LIMIT}, "offset": {"type": "integer", "minimum": 0}}
+    text = {"type": "string"}
+    controls = {"limit": {"type": "integer", "minimum": 0, "maximum": MAX_LIMIT}, "offset": {"type": "integer", "minimum": 0}}
+    error = {"type": "object", "properties": {k: text for k in ("error", "param", "code", "expected_type", "detail")}}
+
+    def param(name: str, schema: dict, about: str = "", required: bool = False) -> dict:
+        return {"name": name, "in": "query", "required": required, "schema": schema} | ({"description": about} if about else {})
+
+    def field_param(name: str, ft: FieldType) -> dict:
+        kind = {"type": "string", "enum": list(ft.members)} if ft.members else text if ft.is_list else {"type": SCALARS[ft.base][1]}
+        return param(name, kind, f"{ft.name}; {', '.join(f'{name}__{op}' for op in ft.operators())}")
+
     paths = {}
     for s in sources.values():
-        given = [{"name": c, "in": "query", "schema": kinds.get(c, {"type": "string"})} for c in CONTROLS]
-        given += [{"name": p, "in": "query", "required": True, "schema": {"type": "string"}} for p in sorted(s.lookup_params)]
-        given += [{"name": n + ("" if op == "eq" else f"__{op}"), "in": "query", "schema": {"type": "string"}} for n, ft in s.fields.items() for op in ft.operators()]
-        paths[f"/v1/{s.name}"] = {"get": {"parameters": given, "responses": {"200": {"description": "items"}, "400": {"description": "typed error"}}}}
-    return {"openapi": "3.1.0", "info": {"title": "tarnflow", "version": "1"}, "paths": paths}
+        wanted = [param(p, text, required=True) for p in sorted(s.lookup_params)]
+        asked = wanted + [field_param(n, ft) for n, ft in s.fields.items() if n not in s.lookup_params] + [param(c, controls.get(c, text)) for c in CONTROLS]
+        row = json_schema(s.name, s.fields, s.version)
+        whole = {"type": "object", "properties": {"source": text, "schema_version": text, "count": {"type": "integer"}, "returned": {"type": "integer"}, "items": {"type": "array", "items": row}}}
+        answers = {"200": {"description": "items", "content": {"application/json": {"schema": whole}}}, "400": {"$ref": "#/components/responses/InvalidQuery"}}
+        answers |= {str(code): {"description": status} for status, code in LOOKUP_STATUS.items() if code >= 500} if s.lookup_params else {}
+        paths[f"/v1/{s.name}"] = {"get": {"parameters": asked, "responses": answers}}
+        paths[f"/v1/{s.name}/schema"] = {"get": {"responses": {"200": {"description": "JSON schema of an item"}}}}
+    invalid = {"description": "a query that cannot be taken", "content": {"application/json": {"schema": error}}}
+    return {"openapi": "3.1.0", "info": {"title": "tarnflow", "version": "1"}, "components": {"responses": {"InvalidQuery": invalid}}, "paths": paths}
 
 
 def tools(sources: dict[str, Source]) -> list[dict]:
