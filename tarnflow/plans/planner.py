@@ -6,6 +6,7 @@ sorting with a limit becomes a top-k.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -16,6 +17,9 @@ from pyspark.sql import types as T
 from tarnflow.functions.types import ORDERED, TEXTUAL, FieldType
 from tarnflow.plans.grammar import Filter, Query, QueryError, parse_query
 
+#: Rows of an answer to a request without a limit.
+PAGE = 10_000
+
 
 def _is_time(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType))
@@ -110,11 +114,18 @@ def run_query(df: DataFrame, params: dict[str, Any], schema: dict[str, FieldType
     return plan(df, parse_query(params, schema)[0], schema, ordinal)
 
 
-def envelope(base: dict, df: DataFrame, query: Query, schema: dict[str, FieldType], ordinal: list[str] = ()) -> dict:
+def envelope(base: dict, df: DataFrame, query: Query, schema: dict[str, FieldType], ordinal: list[str] = (), most: int = PAGE) -> dict:
     """The base with count (matched), returned, items and _query; one page of rows reaches the driver.
 
-    Without a limit all matched rows are asked for, as of a source's snapshot;
-    then use :func:`plan` and write.
+    Without a limit the page has up to ``most`` rows; if more match,
+    ``next_offset`` tells where the next page starts.  All rows of a large table
+    are written from :func:`plan`.
     """
-    items = [r.asDict(recursive=True) for r in plan(df, query, schema, ordinal).collect()] if query.fields != [] else [{}] * plan(df, query, schema, ordinal).count()
-    return base | {"count": matched(df, query, schema).count(), "returned": len(items), "items": items, "_query": query.echo()}
+    page = query if query.limit is not None else replace(query, limit=most)
+    rows = plan(df, replace(page, fields=None) if query.fields == [] else page, schema, ordinal).collect()
+    items = [{} if query.fields == [] else r.asDict(recursive=True) for r in rows]
+    short = query.limit is None and len(items) < most and (items or not query.offset)
+    count = query.offset + len(items) if short else matched(df, query, schema).count()
+    out = base | {"count": count, "returned": len(items), "items": items, "_query": query.echo()}
+    after = query.offset + len(items)
+    return out | {"next_offset": after} if query.limit is None and items and after < count else out

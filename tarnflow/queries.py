@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions import casts
 from tarnflow.functions.types import FieldType, parse_type
 from tarnflow.operators import candidates, drift, extraction, nodes, probes, shapes
-from tarnflow.plans import heal, runs
+from tarnflow.plans import heal, lookups, runs
 from tarnflow.plans.compiling import FieldSpec, SourceSpec, lock_rows
 from tarnflow.plans.planner import drop_all_null, matched, parse_query, run_query
 from tarnflow.sources import pages as page_source
@@ -257,7 +257,7 @@ def item_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("css").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages"))
 
 
-@query("""SELECT 'p_size' AS field, 'span' AS tag, 'size' AS class_tokens, 'div.meta<article.part<main' AS ancestor_sig, '^\d+\s+[^\W\d_]+$' AS value_shape,
+@query(r"""SELECT 'p_size' AS field, 'span' AS tag, 'size' AS class_tokens, 'div.meta<article.part<main' AS ancestor_sig, '^\d+\s+[^\W\d_]+$' AS value_shape,
         count(*) / count(DISTINCT p_partkey // 20) AS match_count_ema, 0.0::DOUBLE AS null_rate_ema, avg(length(CAST(p_size AS VARCHAR)) + 6) AS len_mean FROM part""")
 def field_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = probes.fingerprints(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size")), "article.part", {"p_size": _PARTS["p_size"]})
@@ -274,6 +274,28 @@ def repair_redesign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.items.select("p_partkey", "p_name", "p_size")
 
 
+@query("""WITH asked AS (SELECT c_custkey AS request_id, c_mktsegment AS segment, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS nation FROM customer),
+        seen AS (SELECT *, 'https://x.test/n/' || nation || '?segment=' || segment AS url FROM asked),
+        page AS (SELECT url, min(request_id) AS page_id FROM seen WHERE url IS NOT NULL GROUP BY url)
+    SELECT request_id, seen.url, page_id, CASE WHEN nation IS NULL THEN 'error' WHEN segment = 'MACHINERY' THEN 'blocked' WHEN segment = 'FURNITURE' THEN 'not_found' ELSE 'ok' END AS status,
+        CASE WHEN nation IS NULL THEN 'missing parameters: nation' WHEN segment = 'MACHINERY' THEN 'http 503' END AS error,
+        CAST(CASE WHEN segment IN ('HOUSEHOLD', 'AUTOMOBILE') AND nation > 0 THEN 1 ELSE 0 END AS BIGINT) AS count FROM seen LEFT JOIN page ON seen.url = page.url""")
+def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each customer, against invented pages of (nation, segment): statuses, shared pages and counts of items."""
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")).alias("nation"))
+    source = SourceSpec("nations", {"nation": FieldSpec(parse_type("int"), "number")}, min_items=0)
+    spec = lookups.LookupSpec(source, "https://x.test/n/{nation}", {"nation": "", "segment": ""}, not_found={"title_contains": "no such"})
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        nation, segment = F.regexp_extract("url", r"/n/(\d+)", 1), F.regexp_extract("url", r"segment=(\w+)", 1)
+        hit = F.when(nation != "0", F.concat(F.lit("<p class='hit'>nation <b>"), nation, F.lit("</b></p>"))).otherwise("")
+        html = F.when(segment == "FURNITURE", "<title>No such page</title>").otherwise(F.concat(F.lit("<title>Nations</title>"), hit))
+        return urls.select("url", F.col("url").alias("url_final"), F.when(segment == "MACHINERY", 503).otherwise(200).alias("status"), html.alias("html"), F.lit(None).cast("string").alias("error"))
+
+    lock = {"source": "nations", "field": "nation", "field_order": 0, "css": "b", "attr": "text", "fallbacks": [], "status": heal.VERIFIED}
+    return lookups.lookup(spark, spec, ".hit", [lock], asked, fetch).requests
+
+
 @query()
 def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.field_candidates(nodes.page_nodes(table(spark, sf_dir, "pages")), "li", parse_type("url"), "target of the link", "target", F.lit("https://base.test/"))

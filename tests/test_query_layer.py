@@ -121,6 +121,24 @@ def test_envelope_and_surfaces(spark, items):
     assert "/v1/s" in openapi(sources)["paths"]
 
 
+def test_pages_of_an_envelope(spark, items):
+    query, _ = parse_query({"fields": "points"}, SCHEMA)
+    n, seen = items.count(), []
+    while True:
+        query.offset = len(seen)
+        out = envelope({}, items, query, SCHEMA, [ORDER], most=2)
+        seen += out["items"]
+        assert out["count"] == n and out["returned"] == len(out["items"]) <= 2
+        if "next_offset" not in out:
+            break
+        assert out["next_offset"] == len(seen)
+    assert len(seen) == n and [r["points"] for r in seen] == [r["points"] for r in items.orderBy(ORDER).collect()]
+    query.offset = n + 5
+    assert envelope({}, items, query, SCHEMA, [ORDER])["count"] == n
+    none, _ = parse_query({"fields": ""}, SCHEMA)
+    assert envelope({}, items, none, SCHEMA, [ORDER])["items"] == [{}] * n
+
+
 @pytest.mark.parametrize("reply", ["QUERY:\nauthor=kim\npoints__gt=3", "QUERY: author=kim; points__gt=3", "QUERY: author=kim&points__gt=3", "well\nQUERY:\n- `author`='kim'\n* points__gt=3\nThat is all."])
 def test_reply(reply):
     assert parse_reply(reply) == {"author": "kim", "points__gt": "3"}
