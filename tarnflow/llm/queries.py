@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
+from tarnflow.llm import collocations, decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
 from tarnflow.llm.shared import table
 from tarnflow.llm.tokens import tokenizer_path
 
@@ -53,7 +53,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op7_pseudo_likelihood, op8_suffix_dedup, op9_jaccard_join, op10_quality_classifier)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op7_pseudo_likelihood, op8_suffix_dedup, op9_jaccard_join, op10_quality_classifier, op11_collocations)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -186,4 +190,33 @@ ORACLE_SQL: dict[str, str] = {
         FROM docs LEFT JOIN sizes ON docs.doc_id = sizes.doc_id
         JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r ON docs.doc_id = r.doc_id
     """,
+    "op11_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+        ), counts AS (
+            SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS sizes(size) WHERE len(w) >= size)
+            GROUP BY ALL HAVING count(*) >= 30
+        ), several AS (
+            SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE size > 1
+        ), cuts AS (
+            SELECT s.lang, s.phrase, a, k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM several) s
+            JOIN counts l ON l.lang = s.lang AND l.phrase = array_to_string(w[1:k], ' ')
+            JOIN counts r ON r.lang = s.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+        ), best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inner_ AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM several WHERE size > 2)) GROUP BY ALL
+        ), kept AS (
+            SELECT best.* FROM best LEFT JOIN inner_ ON best.lang = inner_.lang AND best.phrase = inner_.phrase WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+    """,
 }
