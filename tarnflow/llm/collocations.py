@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import WordRule, bounded_batches, dropped, memory_returned, mix, text_steps, written
+from tarnflow.llm.shared import WordRule, bounded_batches, dropped, frequent_head, memory_returned, mix, text_steps, written
 
 #: Most words of a phrase.
 MOST = 4
@@ -92,19 +92,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 def _dictionary(words: DataFrame, least: int, max_words: int, max_bytes: int) -> tuple[pa.Table, bool]:
     """The most frequent words in descending order of count, within both bounds, and whether these are all with ``least`` occurrences."""
-    level = F.floor(F.log2("n") * 16)  # words are taken level by level of their counts
     frequent = words.where(F.col("n") >= least)
-    sizes = frequent.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + F.octet_length("lang")).alias("size")).orderBy(F.desc("level")).collect()
-    count = size = 0
-    cut, whole = None, True
-    for row in sizes:
-        count, size = count + row.n, size + row.size
-        if count > max_words or size > max_bytes:
-            whole = False
-            break
-        cut = row.level
-    taken = frequent.where(level >= cut if cut is not None else F.lit(False))
-    return taken.toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")]), whole
+    taken, whole = frequent_head(frequent, "n", F.octet_length("word") + F.octet_length("lang"), max_words, max_bytes)
+    return frequent.where(taken).toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")]), whole
 
 
 class Dictionary:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import collocations, decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
+from tarnflow.llm import alignment, collocations, decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
 from tarnflow.llm.shared import table
 from tarnflow.llm.tokens import tokenizer_path
 
@@ -57,7 +57,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op7_pseudo_likelihood, op8_suffix_dedup, op9_jaccard_join, op10_quality_classifier, op11_collocations)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op7_pseudo_likelihood, op8_suffix_dedup, op9_jaccard_join, op10_quality_classifier, op11_collocations, op13_alignment)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

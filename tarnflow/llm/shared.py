@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; bounds the numpy temporaries.
@@ -74,6 +74,24 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def frequent_head(df: DataFrame, count: str, size: Column, max_rows: int, max_bytes: int) -> tuple[Column, bool]:
+    """(which rows have the highest counts, whether that is all of them): as many as both bounds allow, so they can be broadcast.
+
+    Rows are taken by levels of their count, sixteen to each doubling; a level
+    that goes beyond a bound is left out as a whole, and so are all below it.
+    """
+    level = F.floor(F.log2(count) * 16)
+    sizes = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).orderBy(F.desc("level")).collect()
+    rows = held = 0
+    cut = None
+    for row in sizes:
+        rows, held = rows + row.n, held + row["size"]
+        if rows > max_rows or held > max_bytes:
+            return (level >= cut if cut is not None else F.lit(False)), False
+        cut = row.level
+    return F.lit(True), True
+
+
 def memory_returned() -> None:
     """Hand what a task has freed back to the system: Spark keeps its worker for the tasks of other stages."""
     pa.default_memory_pool().release_unused()
@@ -88,6 +106,9 @@ _BASE = 0x5851F42D4C957F2D
 _BYTE = np.random.RandomState(20240229).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
+_BASE2 = 0xD1342543DE82EF95
+_BYTE2 = np.random.RandomState(20250817).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit over the output."""
@@ -109,6 +130,11 @@ def _power(base: int, n: int, key: str) -> np.ndarray:
     return have[:n]
 
 
+powers = _power
+#: (value of each byte, base, key of the base's powers) of two independent hashes of byte strings.
+BASES = ((_BYTE, _BASE, "up"), (_BYTE2, _BASE2, "up2"))
+
+
 class WordRule:
     """Words are maximal runs of the bytes that are not separators, A-Z lower-cased.
 
