@@ -3,28 +3,28 @@
 Texts are cut into segments before runs of white space.  A cut is made only at
 white space that :func:`safe_breaks` has verified: no entry of either vocabulary
 goes across such a place, so the tokens of a text are the tokens of its segments,
-one after the other, and no group of an alignment goes across either.  So a
-segment is tokenised and aligned once for the whole corpus, and a document is put
-together from its segments' alignments.
-
-Segments are known by two 64-bit hashes, taken for whole batches of text at once.
-The alignments of the most frequent segments form a dictionary of bounded size
-that every task gets; documents become lists of numbers in it.  The rest, rare
-segments, are joined by their hashes with the table of alignments, and the
-alignments go back to their documents.  So the rows that meet at one key are few,
-whatever the text: what is frequent is in the dictionary.
-
-How many documents hold an id pair linked is counted over distinct pairs of each
-document.  The counts go back to segments, not to documents: each segment gets
-the sums over its own links, and a document adds up its segments.
+one after the other, and no group of an alignment goes across either.
+
+Distinct segments are counted over the corpus.  The most frequent ones, in a table
+of bounded size, are tokenised and aligned once for all; that table joins every
+task, where a document's segments find their alignments by two 64-bit hashes.  The
+segments outside it are rare, and their alignments are some ten times as long as
+they are, so a shuffle of these back to the documents moves several times the
+input (README has figures): a batch of documents aligns its own rare segments,
+each distinct one once.  A document is put together from its segments' alignments.
+
+How many documents hold an id pair linked is counted over the distinct pairs of
+each document, which are kept with it; the counts are joined back to them, from a
+table of bounded size where pairs are frequent and by a shuffle where they are not.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +34,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import BASES, bounded_batches, frequent_head, memory_returned, mix, powers, text_steps, written
+from tarnflow.llm.shared import BASES, bounded_batches, dropped, frequent_head, memory_returned, mix, powers, text_steps, written
 from tarnflow.llm.tokens import _byte_alphabet
 
-#: Bounds of the dictionary of alignments, and of the dictionary of id pairs.
-MAX_SEGMENTS, MAX_BYTES, MAX_PAIRS = 1 << 20, 64 << 20, 1 << 20
+#: Bounds of the table of frequent segments (rows, bytes of their texts) and of the table of frequent id pairs.
+MAX_SEGMENTS, MAX_BYTES, MAX_PAIRS = 1 << 19, 8 << 20, 1 << 20
 #: Segments that go to the libraries at once, and their bytes.
 STEP_SEGMENTS, STEP_BYTES = 20_000, 1 << 20
 _ASCII_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
@@ -101,6 +101,8 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
         self.pairs = len(self.b_bytes)
+        self.a_length, self.b_length = (np.array([len(x) for x in e], np.int64) for e in (self.a_bytes, self.b_bytes))
+        self.spelled = [[f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))] for sign in (",", "|", ";", "")]
         whole = json.loads(self.a.to_str())
         split = whole.get("pre_tokenizer") or {}
         known = whole.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
@@ -125,40 +127,112 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
-def aligned(tok: Tokenizers, segments: list[str]) -> Iterator[tuple[bool, int, int, int, int, str, list[int], list[int]]]:
-    """(ok, tokens of A, of B, groups, links, groups as text, distinct id pairs, links of each) of each segment.
-
-    Not ok: the tokens' bytes are not the segment's; such a segment has no tokens.
-    """
-    a_all, b_all = tok.tokens(segments)
-    for segment, a, b in zip(segments, a_all, b_all):
-        data = segment.encode("utf-8", "surrogatepass")
-        a_pieces, b_pieces = [tok.a_bytes[i] for i in a], [tok.b_bytes[i] for i in b]
-        if b"".join(a_pieces) != data or b"".join(b_pieces) != data:
-            yield False, 0, 0, 0, 0, "", [], []
-            continue
-        groups, links, n_links = [], Counter(), 0
-        i = j = p = q = a_end = b_end = 0
-        while i < len(a):
-            i, j = i + 1, j + 1
-            a_end, b_end = a_end + len(a_pieces[i - 1]), b_end + len(b_pieces[j - 1])
-            while a_end != b_end:
-                if a_end < b_end:
-                    a_end, i = a_end + len(a_pieces[i]), i + 1
-                else:
-                    b_end, j = b_end + len(b_pieces[j]), j + 1
-            x, y = a[p:i], b[q:j]
-            groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            n_links += len(x) * len(y)
-            if len(x) == 1 == len(y):
-                links[x[0] * tok.pairs + y[0]] += 1
-            else:
-                y_count = Counter(y)
-                for u, m in Counter(x).items():
-                    for v, n in y_count.items():
-                        links[u * tok.pairs + v] += m * n
-            p, q = i, j
-        yield True, len(a), len(b), len(groups), n_links, ";".join(groups), list(links), list(links.values())
+@dataclass
+class Alignments:
+    """Alignments of segments, by columns; ``pairs`` and ``links`` (distinct id pairs and how many links each has) lie end to end."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    pairs: np.ndarray
+    links: np.ndarray
+    offsets: np.ndarray
+
+    def columns(self) -> list[pa.Array]:
+        lists = (pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), pa.array(x)) for x in (self.pairs, self.links))
+        return [pa.array(self.ok), *(pa.array(x) for x in (self.n_a, self.n_b, self.n_groups, self.n_links)), pa.array(self.groups, pa.string()), *lists]
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Alignments:
+        pairs, links = (table[c].combine_chunks() for c in ("pairs", "links"))
+        offsets = np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy())]).astype(np.int64)
+        return cls(*(table[c].to_numpy() for c in COLUMNS[:5]), table["groups"].to_pylist(), pairs.flatten().to_numpy(), links.flatten().to_numpy(), offsets)
+
+    def then(self, more: Alignments) -> Alignments:
+        """Both without ``groups``, one after the other."""
+        return Alignments(*(np.concatenate([getattr(self, c), getattr(more, c)]) for c in COLUMNS[:5]), [], np.concatenate([self.pairs, more.pairs]), np.concatenate([self.links, more.links]), np.concatenate([self.offsets, self.offsets[-1] + more.offsets[1:]]))
+
+
+COLUMNS = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "links"]
+_KINDS = "ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>"
+#: Links of one group that are spelled out; of larger groups the distinct ids are multiplied.
+_MOST_LINKS = 4096
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+
+def _per(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, values, n).astype(np.int64) if len(at) else np.zeros(n, np.int64)
+
+
+def align_segments(tok: Tokenizers, segments: list[str]) -> Alignments:
+    """The alignment of each segment; not ok: the tokens' bytes are not the segment's, and it has no tokens."""
+    n = len(segments)
+    a_ids, b_ids = tok.tokens(segments)
+    data = [s.encode("utf-8", "replace") for s in segments]
+    ok = np.array([b"".join(map(tok.a_bytes.__getitem__, x)) == d == b"".join(map(tok.b_bytes.__getitem__, y)) for d, x, y in zip(data, a_ids, b_ids)], bool)
+    if not ok.all():
+        a_ids, b_ids = ([x if fine else [] for x, fine in zip(ids, ok.tolist())] for ids in (a_ids, b_ids))
+    (a, n_a), (b, n_b) = _flat(a_ids), _flat(b_ids)
+    a_end, b_end = np.cumsum(tok.a_length[a]), np.cumsum(tok.b_length[b])
+    ends = np.intersect1d(a_end, b_end, assume_unique=True)
+    a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+    n_ends = len(ends)
+    a_size, b_size = np.bincount(a_group, minlength=n_ends), np.bincount(b_group, minlength=n_ends)
+    a_first, b_first = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
+    segment = np.repeat(np.arange(n), n_a)[a_first]
+    size = a_size * b_size
+
+    # the tokens of a group's A, then of its B, and the sign after each
+    sign = np.full(len(a) + len(b), 0)
+    token = np.empty(len(a) + len(b), np.int64)
+    a_at, b_at = np.arange(len(a)) + b_first[a_group], np.arange(len(b)) + (a_first + a_size)[b_group]
+    token[a_at], token[b_at] = a, b
+    last = a_first + a_size + b_first + b_size - 1
+    sign[last - b_size] = 1
+    sign[last] = 2
+    tokens_of = n_a + n_b
+    stop = np.cumsum(tokens_of)
+    sign[stop[tokens_of > 0] - 1] = 3
+    spelled = [tok.spelled[s][i] for s, i in zip(sign.tolist(), token.tolist())]
+    groups = ["".join(spelled[i:j]) for i, j in zip((stop - tokens_of).tolist(), stop.tolist())]
+
+    small = np.flatnonzero(size <= _MOST_LINKS)
+    each = size[small]
+    of = np.repeat(small, each)
+    nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    pair = a[a_first[of] + nth // b_size[of]] * tok.pairs + b[b_first[of] + nth % b_size[of]]
+    where, count = segment[of], np.ones(len(of), np.int64)
+    for g in np.flatnonzero(size > _MOST_LINKS).tolist():
+        (x, m), (y, k) = (np.unique(v, return_counts=True) for v in (a[a_first[g] : a_first[g] + a_size[g]], b[b_first[g] : b_first[g] + b_size[g]]))
+        pair = np.concatenate([pair, (x[:, None] * tok.pairs + y).ravel()])
+        count = np.concatenate([count, (m[:, None] * k).ravel()])
+        where = np.concatenate([where, np.full(len(x) * len(y), segment[g])])
+    where, pair, count = _merged(where, pair, count)
+    return Alignments(ok, n_a, n_b, np.bincount(segment, minlength=n), _per(size, segment, n), groups, pair, count, np.searchsorted(where, np.arange(n + 1)))
+
+
+def _merged(row: np.ndarray, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (row, pair) added up, in order."""
+    order = np.lexsort((pair, row))
+    row, pair, count = row[order], pair[order], count[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])])) if len(row) else np.zeros(0, np.int64)
+    return row[new], pair[new], np.add.reduceat(count, new) if len(new) else count
+
+
+def _all_aligned(tok: Tokenizers, segments: pa.Array) -> Alignments:
+    """The same of any number of segments, by bounded steps."""
+    parts = [align_segments(tok, segments.slice(i, j - i).to_pylist()) for i, j in _steps(segments)] or [align_segments(tok, [])]
+    out = parts[0]
+    for more in parts[1:]:
+        out = Alignments(*(np.concatenate([getattr(out, c), getattr(more, c)]) for c in COLUMNS[:5]), out.groups + more.groups, np.concatenate([out.pairs, more.pairs]), np.concatenate([out.links, more.links]), np.concatenate([out.offsets, out.offsets[-1] + more.offsets[1:]]))
+    return out
 
 
 def _segments(batch: pa.RecordBatch, column: str, breaks: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -189,11 +263,6 @@ def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], np.diff(np.append(new, len(x)))
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([v for x in rows for v in x], pa.int64()))
-
-
 def _segment_counts(docs: DataFrame, breaks: bytes) -> DataFrame:
     """(segment, x, y, n) of the distinct segments of the texts."""
 
@@ -216,20 +285,17 @@ def _segment_counts(docs: DataFrame, breaks: bytes) -> DataFrame:
 
 
 def _alignments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(id, x, y, n, ok, n_a, n_b, n_groups, n_links, groups, pairs, links, bytes) of each segment, written."""
+    """(x, y, ok, n_a, n_b, n_groups, n_links, groups, pairs, links) of each segment."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizers(a_path, b_path)
         for batch in batches:
             for i, j in _steps(batch.column(0)):
                 part = batch.slice(i, j - i)
-                ok, a, b, groups, links, text, pairs, each = zip(*aligned(tok, part.column(0).to_pylist()))
-                cols = [*part.columns[1:], pa.array(ok), *(pa.array(c, pa.int64()) for c in (a, b, groups, links)), pa.array(text), _lists(pairs), _lists(each)]
-                yield pa.RecordBatch.from_arrays(cols, ["x", "y", "n", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "links"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *align_segments(tok, part.column(0).to_pylist()).columns()], ["x", "y", *COLUMNS])
         memory_returned()
 
-    out = segments.mapInArrow(made, "x long, y long, n long, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>")
-    return written(out.select(F.monotonically_increasing_id().alias("id"), "*", (F.octet_length("groups") + 16 * F.size("pairs")).alias("bytes")))
+    return segments.select("segment", "x", "y").repartition("x", "y").mapInArrow(made, f"x long, y long, {_KINDS}")
 
 
 def _steps(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -243,21 +309,17 @@ def _steps(column: pa.Array) -> Iterator[tuple[int, int]]:
         i = j
 
 
-class Alignments:
-    """A bounded table of alignments as arrays; ``number`` finds a segment's place by its hashes."""
+class Frequent:
+    """The table of frequent segments; ``number`` finds a segment's row by its hashes."""
 
     def __init__(self, table: pa.Table):
         x, y = (table[c].to_numpy().view(np.uint64) for c in "xy")
         self.order = np.argsort(x, kind="stable").astype(np.int64)
         self.x, self.y = x[self.order], y[self.order]
-        self.ok, self.n_a, self.n_b, self.n_groups, self.n_links, self.id = (table[c].to_numpy() for c in ("ok", "n_a", "n_b", "n_groups", "n_links", "id"))
-        self.groups = table["groups"].to_pylist()
-        pairs = table["pairs"].combine_chunks()
-        self.pairs = pairs.flatten().to_numpy()
-        self.offsets = np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy())]).astype(np.int64)
+        self.rows = Alignments.of(table)
 
     def number(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Place of each segment, or -1 (equal first hashes of different segments are told apart by the second)."""
+        """Row of each segment, or -1 (equal first hashes of different segments are told apart by the second)."""
         out = np.full(len(x), -1, np.int64)
         if not len(self.x):
             return out
@@ -273,99 +335,60 @@ class Alignments:
         return out
 
 
-def _encoded(docs: DataFrame, breaks: bytes, head: Broadcast) -> DataFrame:
-    """(row, doc_id, codes, rest) of each document, written: numbers in the dictionary, or -1, -2, ... for the rest's segments in order."""
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Alignments = head.value
-        for batch in batches:
-            for i, j, _, _, row, x, y in _segments(batch, "text", breaks):
-                code = known.number(x, y)
-                out = np.flatnonzero(code < 0)
-                # of each document's other segments the distinct ones, numbered in order
-                order = out[np.lexsort((y[out], x[out], row[out]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (row[order[1:]] != row[order[:-1]]) | (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
-                rest = order[new]
-                first = np.searchsorted(row[rest], np.arange(i, j + 1))
-                code[order] = -1 - (np.cumsum(new) - 1 - first[row[order] - i])
-                codes = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(i, j + 1)).astype(np.int32)), pa.array(code.astype(np.int32)))
-                hashes = pa.StructArray.from_arrays([pa.array(x[rest].view(np.int64)), pa.array(y[rest].view(np.int64))], ["x", "y"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), codes, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), hashes)], ["doc_id", "codes", "rest"])
-        memory_returned()
-
-    rows = docs.select("doc_id", "text").mapInArrow(coded, "doc_id long, codes array<int>, rest array<struct<x: long, y: long>>")
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
-
-
-_DOCUMENT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, rest array<long>, pair long, n long"
+_DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<long>, pair long, n long"
 
 
-def _composed(encoded: DataFrame, rest: DataFrame, head: Broadcast) -> DataFrame:
-    """A row for each document with its numbers and the ids of its rare segments, and rows (pair, n) that say how many documents have a pair; written."""
+def _composed(docs: DataFrame, head: Broadcast, a_path: str, b_path: str) -> DataFrame:
+    """A row for each document with its distinct id pairs and their links, and rows (pair, n): how many documents have a pair; written."""
 
     def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Alignments = head.value
+        tok, known = tokenizers(a_path, b_path), head.value
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
         for batch in batches:
-            rare = pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(3).flatten())])
-            row_of = np.repeat(np.arange(len(batch)), batch.column(3).value_lengths().to_numpy())
-            order = np.lexsort((rare["at"].to_numpy(), row_of))
-            row_of, rare = row_of[order], rare.take(pa.array(order))
-            ids, local = np.unique(rare["id"].to_numpy(), return_inverse=True)
-            one = np.zeros(len(ids), np.int64)
-            one[local] = np.arange(len(local))
-            few = rare.take(pa.array(one)).append_column("x", pa.array(ids)).append_column("y", pa.array(ids))
-            extra = Alignments(few)
-            first = np.searchsorted(row_of, np.arange(len(batch) + 1))
-
-            codes = batch.column(2)
-            flat = codes.flatten().to_numpy().astype(np.int64)
-            lengths = codes.value_lengths().to_numpy()
-            ends = np.cumsum(lengths)
-            doc = np.repeat(np.arange(len(batch)), lengths)
-            outside = flat < 0
-            flat[outside] = len(known.ok) + local[first[doc[outside]] - 1 - flat[outside]] if outside.any() else 0
-            ok, n_a, n_b, n_groups, n_links = (np.concatenate([getattr(known, c), getattr(extra, c)]) for c in ("ok", "n_a", "n_b", "n_groups", "n_links"))
-            good = np.bincount(doc, ~ok[flat], len(batch)) == 0
-            sums = [np.where(good, _sums(c[flat], ends), 0) for c in (n_a, n_b, n_groups, n_links)]
-            sha = []
-            head_groups, extra_groups, n_head = known.groups, extra.groups, len(known.groups)
-            places = flat.tolist()
-            for fine, a, b in zip(good.tolist(), (ends - lengths).tolist(), ends.tolist()):
-                text = ";".join([head_groups[c] if c < n_head else extra_groups[c - n_head] for c in places[a:b]]) if fine else ""
-                sha.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-            inside = outside & good[doc]
-            rest_ids = pa.array(ids[flat[inside] - n_head], pa.int64())
-            rest_offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[inside], minlength=len(batch)))]).astype(np.int32)
-            nothing = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(s, pa.int64()) for s in sums), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(rest_offsets), rest_ids), nothing, nothing], names)
-
-            pairs = _document_pairs(doc[good[doc]], flat[good[doc]], known, extra)
-            if len(pairs[0]):
-                waiting.append(pairs)
-                size += len(pairs[0])
-            if size > 4_000_000:
+            parts, size = [], 0
+            for _, _, data, bounds, row, x, y in _segments(batch, "text", tok.breaks):
+                parts.append((data, row, x, y, bounds[:-1] + size, bounds[1:] + size))
+                size += len(data)
+            if not parts:
+                continue
+            data, doc, x, y, start, stop = (np.concatenate(c) for c in zip(*parts))
+            code = known.number(x, y)
+            rare = np.flatnonzero(code < 0)
+            order = rare[np.lexsort((y[rare], x[rare]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
+            code[order] = len(known.rows.ok) + np.cumsum(new) - 1
+            text = data.tobytes()
+            own = _all_aligned(tok, pa.array([text[a:b] for a, b in zip(start[order[new]].tolist(), stop[order[new]].tolist())], pa.binary()).cast(pa.string()))
+            both = known.rows.then(own)
+
+            n = len(batch)
+            sizes = np.bincount(doc, minlength=n)
+            ends = np.cumsum(sizes)
+            good = np.bincount(doc, ~both.ok[code], n) == 0
+            sums = [np.where(good, _per(getattr(both, c)[code], doc, n), 0) for c in COLUMNS[1:5]]
+            head_groups, own_groups, n_head = known.rows.groups, own.groups, len(known.rows.ok)
+            places, sha = code.tolist(), []
+            for fine, a, b in zip(good.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                spelled = ";".join([head_groups[c] if c < n_head else own_groups[c - n_head] for c in places[a:b]]) if fine else ""
+                sha.append(hashlib.sha256(spelled.encode()).hexdigest() if spelled else "")
+            of, pair, links = _document_pairs(doc[good[doc]], code[good[doc]], both)
+            offsets = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
+            nothing = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), pa.array(sha, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair)), pa.ListArray.from_arrays(offsets, pa.array(links)), nothing, nothing], names)
+
+            waiting.append(np.unique(pair, return_counts=True))
+            if sum(len(p) for p, _ in waiting) > 4_000_000:
                 waiting = [_added(waiting)]
-                size = len(waiting[0][0])
-                if size > 2_000_000:
+                if len(waiting[0][0]) > 2_000_000:
                     yield _pair_rows(*waiting.pop())
-                    size = 0
         if waiting:
             yield _pair_rows(*_added(waiting))
         memory_returned()
 
     names = [c.split()[0] for c in _DOCUMENT.split(", ")]
-    by_row = rest.groupBy("row").agg(F.collect_list(F.struct("at", "id", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs")).alias("found"))
-    found = F.coalesce("found", F.expr("array()").cast("array<struct<at: int, id: long, ok: boolean, n_a: long, n_b: long, n_groups: long, n_links: long, groups: string, pairs: array<long>>>"))
-    rows = encoded.join(by_row, "row", "left").select("row", "doc_id", "codes", found.alias("found"))
-    return written(rows.mapInArrow(composed, _DOCUMENT))
-
-
-def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return np.diff(total[ends], prepend=0)
+    rows = docs.select("doc_id", "text").mapInArrow(composed, _DOCUMENT)
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
 def _pair_rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -376,20 +399,15 @@ def _pair_rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     pairs, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-    return pairs, np.bincount(at, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
+    return pairs, _per(np.concatenate([n for _, n in parts]), at, len(pairs))
 
 
-def _document_pairs(doc: np.ndarray, code: np.ndarray, known: Alignments, extra: Alignments) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, how many documents have it) of documents' segments."""
-    seen = np.unique(doc.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64))
-    doc, code = (seen >> np.uint64(32)).astype(np.int64), (seen & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    starts = np.concatenate([known.offsets[:-1], len(known.pairs) + extra.offsets[:-1]])[code]
-    sizes = np.concatenate([np.diff(known.offsets), np.diff(extra.offsets)])[code]
-    place = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else starts, sizes) + np.arange(sizes.sum())
-    pair = np.concatenate([known.pairs, extra.pairs])[place]
-    names, pair = np.unique(pair, return_inverse=True)
-    each = np.unique(np.repeat(doc, sizes) * max(len(names), 1) + pair)
-    return names, np.bincount(each % max(len(names), 1), minlength=len(names)).astype(np.int64)
+def _document_pairs(doc: np.ndarray, code: np.ndarray, rows: Alignments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, pair, links) of the distinct pairs of each document, in order."""
+    doc, code, times = _merged(doc, code, np.ones(len(doc), np.int64))
+    sizes = np.diff(rows.offsets)[code]
+    place = np.repeat(rows.offsets[code] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return _merged(np.repeat(doc, sizes), rows.pairs[place], rows.links[place] * np.repeat(times, sizes))
 
 
 class PairCounts:
@@ -400,42 +418,29 @@ class PairCounts:
         self.pair, self.n, self.best = (order[c].to_numpy() for c in ("pair", "n", "best"))
 
 
-def _segment_sums(alignments: DataFrame, pairs: DataFrame, head: Broadcast) -> DataFrame:
-    """(id, count_sum, n_best) of each segment: over its links, their pairs' counts and how many are best."""
+def _with_counts(documents: DataFrame, pairs: DataFrame, head: Broadcast) -> DataFrame:
+    """(row, count_sum, n_best): over a document's links, their pairs' counts and how many are best."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: PairCounts = head.value
         for batch in batches:
-            pair, links = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            lengths = batch.column(1).value_lengths().to_numpy()
-            ends = np.cumsum(lengths)
-            at = np.minimum(np.searchsorted(known.pair, pair), max(len(known.pair) - 1, 0))
-            hit = known.pair[at] == pair if len(known.pair) else np.zeros(len(pair), bool)
-            count, best = (np.where(hit, c[at], 0) if len(known.pair) else np.zeros(len(pair), np.int64) for c in (known.n, known.best))
-            row = np.repeat(np.arange(len(batch)), lengths)[~hit]
-            offsets = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(pair[~hit]), pa.array(links[~hit])], ["pair", "m"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sums(count * links, ends)), pa.array(_sums(best * links, ends)), rest], ["id", "count_sum", "n_best", "rest"])
-
-    done = alignments.select("id", "pairs", "links").mapInArrow(summed, "id long, count_sum long, n_best long, rest array<struct<pair: long, m: long>>")
-    rest = done.select("id", F.explode("rest").alias("r")).select("id", F.col("r.pair").alias("pair"), "r.m").join(pairs, "pair")
-    rest = rest.groupBy("id").agg(F.sum(F.col("n") * F.col("m")).alias("more_sum"), F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("more_best"))
-    return done.join(rest, "id", "left").select("id", (F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).alias("count_sum"), (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"))
-
-
-def _head_sums(encoded: DataFrame, sums: Broadcast) -> DataFrame:
-    """(row, count_sum, n_best) over a document's segments in the dictionary."""
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, best = sums.value
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy()
-            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
-            inside = flat >= 0
-            at = np.where(inside, flat, 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(_sums(np.where(inside, c[at], 0) if len(c) else np.zeros(len(flat), np.int64), ends)) for c in (count, best))], ["row", "count_sum", "n_best"])
-
-    return encoded.select("row", "codes").mapInArrow(added, "row long, count_sum long, n_best long")
+            pair, links = (batch.column(c).flatten().to_numpy() for c in (1, 2))
+            row = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy())
+            hit, count, best = np.zeros(len(pair), bool), np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+            if len(known.pair):
+                at = np.minimum(np.searchsorted(known.pair, pair), len(known.pair) - 1)
+                hit = known.pair[at] == pair
+                count, best = np.where(hit, known.n[at], 0), np.where(hit, known.best[at], 0)
+            ends = np.searchsorted(row, np.arange(1, len(batch) + 1))
+            offsets = pa.array(np.searchsorted(row[~hit], np.arange(len(batch) + 1)).astype(np.int32))
+            rest = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(pair[~hit]), pa.array(links[~hit])], ["pair", "m"]))
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x * links)])[ends], prepend=0) for x in (count, best)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), rest], ["row", "count_sum", "n_best", "rest"])
+
+    done = documents.select("row", "pairs", "links").mapInArrow(summed, "row long, count_sum long, n_best long, rest array<struct<pair: long, m: long>>")
+    rest = done.select("row", F.explode("rest").alias("r")).select("row", F.col("r.pair").alias("pair"), "r.m").join(pairs, "pair")
+    rest = rest.select("row", (F.col("n") * F.col("m")).alias("count_sum"), F.when(F.col("best"), F.col("m")).otherwise(0).alias("n_best"))
+    return done.drop("rest").union(rest).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
 
 
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", max_segments: int = MAX_SEGMENTS, max_bytes: int = MAX_BYTES, max_pairs: int = MAX_PAIRS) -> DataFrame:
@@ -453,22 +458,17 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     sign that the second vocabulary takes for a space) have zeros and an empty
     hash.  Rows with a null or repeated id are documents of their own; other
     columns are not read; an empty table gives an empty result.  The bounds change
-    where rows meet, never the result.
+    where the work is done, never the result.
     """
     spark = df.sparkSession
     tok = tokenizers(a_path, b_path)
-    breaks = tok.breaks
     docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    table = _alignments(_segment_counts(docs, breaks), a_path, b_path)
-    taken, _ = frequent_head(table, "n", F.col("bytes"), max_segments, max_bytes)
-    head_rows = table.where(taken).select("id", "x", "y", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs").toArrow().sort_by("id")
-    head = spark.sparkContext.broadcast(Alignments(head_rows))
-    encoded = _encoded(docs, breaks, head)
-
-    rare = table.where(~taken).drop("n", "links", "bytes")
-    wanted = encoded.select("row", F.posexplode("rest").alias("at", "seg")).select("row", "at", "seg.x", "seg.y")
-    composed = _composed(encoded, wanted.join(rare, ["x", "y"]), head)
+    segments = written(_segment_counts(docs, tok.breaks))
+    taken, _ = frequent_head(segments, "n", F.octet_length("segment"), max_segments, max_bytes)
+    head = spark.sparkContext.broadcast(Frequent(_alignments(segments.where(taken), a_path, b_path).toArrow()))
+    composed = _composed(docs, head, a_path, b_path)
+    dropped(segments)
 
     counts = composed.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n"))
     a_id = F.floor(F.col("pair") / tok.pairs)
@@ -476,20 +476,6 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     pairs = written(counts.withColumn("a", a_id).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
     common, _ = frequent_head(pairs, "n", F.lit(17), max_pairs, 17 * max_pairs)
     known = spark.sparkContext.broadcast(PairCounts(pairs.where(common).toArrow()))
-    sums = written(_segment_sums(table, pairs, known))
-
-    ids = head_rows["id"].to_pylist()
-    frequent = sums.join(table.where(taken).select("id"), "id").toArrow().sort_by("id")
-    assert frequent["id"].to_pylist() == ids
-    by_head = _head_sums(encoded, spark.sparkContext.broadcast((frequent["count_sum"].to_numpy(), frequent["n_best"].to_numpy())))
     documents = composed.where("pair IS NULL")
-    by_rest = documents.select("row", F.explode("rest").alias("id")).join(sums, "id").groupBy("row").agg(F.sum("count_sum").alias("more_sum"), F.sum("n_best").alias("more_best"))
-    out = documents.join(by_head, "row").join(by_rest, "row", "left")
-    fine = F.col("n_a") > 0
-    zero = F.lit(0).cast("long")
-    return out.select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links",
-        F.when(fine, F.col("n_best") + F.coalesce("more_best", zero)).otherwise(zero).alias("n_best"),
-        F.when(fine, F.col("count_sum") + F.coalesce("more_sum", zero)).otherwise(zero).alias("count_sum"),
-        "groups_sha256",
-    )
+    out = documents.drop("pairs", "links", "pair", "n").join(_with_counts(documents, pairs, known), "row")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
