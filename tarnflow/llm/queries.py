@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import alignment, collocations, decontam, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
+from tarnflow.llm import alignment, collocations, decontam, embedding_dedup, exact_dedup, jaccard, licenses, packing, pseudo_likelihood, quality, suffix_dedup, token_orc, url_filter
 from tarnflow.llm.shared import table
 from tarnflow.llm.tokens import tokenizer_path
 
@@ -57,11 +57,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op7_pseudo_likelihood, op8_suffix_dedup, op9_jaccard_join, op10_quality_classifier, op11_collocations, op13_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_token_orc, op4_exact_dedup, op5_url_filter, op6_decontamination, op7_pseudo_likelihood, op8_suffix_dedup, op9_jaccard_join, op10_quality_classifier, op11_collocations, op12_embedding_dedup, op13_alignment)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -223,4 +227,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
     """,
+    "op12_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER () AS nth FROM embeddings
+        ), good AS (
+            SELECT * FROM vectors WHERE len(v) > 0 AND list_aggregate(list_transform(v, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0 AND list_aggregate(list_transform(v, lambda x: abs(x)), 'sum') > 0 AND vec_id IS NOT NULL
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.nth FROM good a JOIN good b ON a.nth <> b.nth AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reached(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM vectors UNION SELECT reached.vec_id, links.b FROM reached JOIN links ON reached.other = links.a
+        ), counts AS (
+            SELECT nth, count(*) AS n FROM links GROUP BY nth
+        )
+        SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM vectors v LEFT JOIN counts ON v.nth = counts.nth JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) r ON v.vec_id = r.vec_id
+    """,
 }
