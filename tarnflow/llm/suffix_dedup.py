@@ -50,6 +50,8 @@ def runs_of(words: np.ndarray, size: int) -> np.ndarray:
         if size & step:
             done = mix(done ^ out[at : at + n])
             at += step
+        if 2 * step > size:
+            break
         out = mix(out[: len(out) - step] * np.uint64(0x9E3779B97F4A7C15) ^ out[step:])
         step *= 2
     return done
@@ -168,17 +170,23 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield compared(pa.Table.from_batches(waiting))
 
 
+def _two_least(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, doc_id) of the two least documents of each key; tasks hand on two rows of a key at most."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))
+    return docs.select(*keys, "doc_id").distinct().withColumn("nth", nth).where("nth <= 2").drop("nth")
+
+
 def _hot_matches(rows: DataFrame) -> DataFrame:
-    """The same of the rows (head, doc_id, first, windows) of hot heads, with sums over equal windows."""
-    runs = rows.groupBy("head", "windows").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    """The same of the rows (head, doc_id, first, windows) of hot heads, with the two least documents of equal windows."""
+    runs = _two_least(rows, "head", "windows")
     hexed = F.hex("windows")
-    each = runs.select("head", "windows", "lo", "hi", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("windows") / 8).cast("int") - 1), lambda k: F.substr(hexed, k * 16 + 1, F.lit(16)))).alias("nth", "key"))
-    # the least document of a window and the least of the others; the greatest shows whether there are others
-    least = each.groupBy("head", "key").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most")
-    hits = each.join(least, ["head", "key"]).groupBy("head", "windows").agg(F.min("nth").alias("a"), F.max("nth").alias("b"), F.min("least").alias("least"), F.max(F.struct("least", "most")).alias("top"))
-    found = rows.join(hits, ["head", "windows"])
-    partner = F.when(F.col("doc_id") != F.col("least"), F.col("least")).when(F.col("top.least") != F.col("doc_id"), F.col("top.least")).otherwise(F.col("top.most"))
-    return found.select("doc_id", (F.col("first") + F.col("a")).cast("long").alias("first"), (F.col("first") + F.col("b") + LEAST).cast("long").alias("stop"), partner.alias("partner"))
+    keys = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("windows") / 8).cast("int") - 1), lambda k: F.substr(hexed, k * 16 + 1, F.lit(16))))
+    each = runs.select("head", "windows", "doc_id", keys.alias("nth", "key"))
+    least = _two_least(each, "head", "key").groupBy("head", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("second")).where("least <> second")
+    both = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("least", "second"))))), 1, 2)  # of the few windows of a run
+    hits = each.select("head", "windows", "nth", "key").distinct().join(least, ["head", "key"]).groupBy("head", "windows").agg(F.min("nth").alias("a"), F.max("nth").alias("b"), both.alias("both"))
+    partner = F.when(F.col("doc_id") != F.col("both")[0], F.col("both")[0]).otherwise(F.col("both")[1])
+    return rows.join(hits, ["head", "windows"]).select("doc_id", (F.col("first") + F.col("a")).cast("long").alias("first"), (F.col("first") + F.col("b") + LEAST).cast("long").alias("stop"), partner.alias("partner"))
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
