@@ -84,9 +84,9 @@ ORACLE_SQL: dict[str, str] = {
         ), rules(run, licence) AS (
             VALUES {', '.join(str(r) for r in _RUNS)}
         ), texts AS (
-            SELECT doc_id, replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), 'Identifier: ', 'Identifier:') AS t FROM documents
+            SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'Identifier:', 'Identifier '), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents
         ), cut AS (
-            SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '\\n[ \\t]*\\n', chr(1), 'g'), '[.!?;:]\\s+', chr(1), 'g'), chr(1)) AS p FROM texts
+            SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '\\n[ \\t]*\\n', chr(1), 'g'), '[.!?;:]+\\s+', chr(1), 'g'), chr(1)) AS p FROM texts
         ), parts AS (
             SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM cut
         ), below AS (
