@@ -38,9 +38,11 @@ from tarnflow.llm.shared import BASES, bounded_batches, dropped, frequent_head,
 from tarnflow.llm.tokens import _byte_alphabet
 
 #: Bounds of the table of frequent segments (rows, bytes of their texts) and of the table of frequent id pairs.
-MAX_SEGMENTS, MAX_BYTES, MAX_PAIRS = 1 << 19, 8 << 20, 1 << 20
+MAX_SEGMENTS, MAX_BYTES, MAX_PAIRS = 1 << 18, 4 << 20, 1 << 20
 #: Segments that go to the libraries at once, and their bytes.
 STEP_SEGMENTS, STEP_BYTES = 20_000, 1 << 20
+#: Segments of documents that are put together at once (or one document with more), and pairs that wait to be added up.
+STEP_PLACES, WAITING = 150_000, 1_000_000
 _ASCII_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
 _ASCII_BREAKS = b" \t\n\x0b\x0c\r"
 
@@ -362,26 +364,31 @@ def _composed(docs: DataFrame, head: Broadcast, a_path: str, b_path: str) -> Dat
             own = _all_aligned(tok, pa.array([text[a:b] for a, b in zip(start[order[new]].tolist(), stop[order[new]].tolist())], pa.binary()).cast(pa.string()))
             both = known.rows.then(own)
 
-            n = len(batch)
-            sizes = np.bincount(doc, minlength=n)
-            ends = np.cumsum(sizes)
-            good = np.bincount(doc, ~both.ok[code], n) == 0
-            sums = [np.where(good, _per(getattr(both, c)[code], doc, n), 0) for c in COLUMNS[1:5]]
-            head_groups, own_groups, n_head = known.rows.groups, own.groups, len(known.rows.ok)
-            places, sha = code.tolist(), []
-            for fine, a, b in zip(good.tolist(), (ends - sizes).tolist(), ends.tolist()):
-                spelled = ";".join([head_groups[c] if c < n_head else own_groups[c - n_head] for c in places[a:b]]) if fine else ""
-                sha.append(hashlib.sha256(spelled.encode()).hexdigest() if spelled else "")
-            of, pair, links = _document_pairs(doc[good[doc]], code[good[doc]], both)
-            offsets = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
-            nothing = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), pa.array(sha, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair)), pa.ListArray.from_arrays(offsets, pa.array(links)), nothing, nothing], names)
-
-            waiting.append(np.unique(pair, return_counts=True))
-            if sum(len(p) for p, _ in waiting) > 4_000_000:
-                waiting = [_added(waiting)]
-                if len(waiting[0][0]) > 2_000_000:
-                    yield _pair_rows(*waiting.pop())
+            del data, x, y, start, stop, rare, order, parts
+            first = np.searchsorted(doc, np.arange(len(batch) + 1))
+            i = 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(first, first[i] + STEP_PLACES, side="right")) - 1)
+                of, at = doc[first[i] : first[j]] - i, code[first[i] : first[j]]
+                n = j - i
+                good = np.bincount(of, ~both.ok[at], n) == 0
+                sums = [np.where(good, _per(getattr(both, c)[at], of, n), 0) for c in COLUMNS[1:5]]
+                head_groups, own_groups, n_head = known.rows.groups, own.groups, len(known.rows.ok)
+                places, sha = at.tolist(), []
+                for fine, a, b in zip(good.tolist(), (first[i:j] - first[i]).tolist(), (first[i + 1 : j + 1] - first[i]).tolist()):
+                    spelled = ";".join([head_groups[c] if c < n_head else own_groups[c - n_head] for c in places[a:b]]) if fine else ""
+                    sha.append(hashlib.sha256(spelled.encode()).hexdigest() if spelled else "")
+                row, pair, links = _document_pairs(of[good[of]], at[good[of]], both)
+                offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                nothing = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *map(pa.array, sums), pa.array(sha, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair)), pa.ListArray.from_arrays(offsets, pa.array(links)), nothing, nothing], names)
+                i = j
+
+                waiting.append(np.unique(pair, return_counts=True))
+                if sum(len(p) for p, _ in waiting) > WAITING:
+                    waiting = [_added(waiting)]
+                    if len(waiting[0][0]) > WAITING // 2:
+                        yield _pair_rows(*waiting.pop())
         if waiting:
             yield _pair_rows(*_added(waiting))
         memory_returned()
