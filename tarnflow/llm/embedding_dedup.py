@@ -41,12 +41,16 @@ from tarnflow.llm.shared import bounded_batches, dropped, memory_returned, mix,
 THRESHOLD = 0.95
 #: Share of the pairs at the threshold that all tables may miss.
 MISSED = 0.0001
+#: Buckets of a table for each vector, at least.
+BUCKETS = 16
 #: Further buckets of a table that a vector looks into.
 PROBES = 2
 #: Members of a bucket that meet in one group; vectors that are compared at once; members of a group of buckets on average.
 BLOCK, STEP, SHARE = 16_384, 1024, 20_000
 #: Coordinates that take part in the search for the next nearest buckets, in each function.
 _NEXT = 3
+#: Members of a bucket whose pairs are looked through together with those of others.
+_SMALL = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -73,13 +77,18 @@ class Hashing:
         size = 1 << max(0, self.length - 1).bit_length()
         return np.random.default_rng([20250905, self.length]).choice([-1.0, 1.0], size=(self.tables, self.functions, 3, size))
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Tables and buckets of a vector in each."""
+        return self.tables, 1 + min(self.probes, min(_NEXT, 2 * self.signs.shape[-1]) ** self.functions - 1)
+
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(vector, table, 1 + probes) buckets; the first is where a vector is stored."""
         size = self.signs.shape[-1]
         x = np.pad(x, [(0, 0), (0, size - x.shape[1])])
         near = min(_NEXT, 2 * size)
         choices = list(itertools.product(range(near), repeat=self.functions))
-        out = np.zeros((len(x), self.tables, 1 + min(self.probes, len(choices) - 1)), np.uint64)
+        out = np.zeros((len(x), *self.shape), np.uint64)
         for t in range(self.tables):
             lost, code = [], []
             for signs in self.signs[t]:
@@ -115,7 +124,7 @@ def _met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def hashing(n: int, length: int, threshold: float = THRESHOLD, missed: float = MISSED) -> Hashing:
     """Functions from the number of vectors, tables from the simulated rate at which pairs at the threshold meet."""
     vertices = 2 << max(0, length - 1).bit_length()
-    functions = max(1, min(6, math.ceil(math.log(max(n, 2)) / math.log(vertices))))
+    functions = max(1, min(6, math.ceil(math.log(max(BUCKETS * n, 2)) / math.log(vertices))))
     draw = np.random.default_rng(7)
     x, z = draw.normal(size=(2, 2000, length))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -224,6 +233,24 @@ def _compared(cell: dict[str, np.ndarray], buckets: np.ndarray, matrix: np.ndarr
                 yield node[some], links[some], reached[some]
 
 
+def _promising(starts: np.ndarray, ends: np.ndarray, place: np.ndarray, stored: np.ndarray, matrix: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cells have a candidate pair over the threshold, or so many members that this is not looked at here."""
+    sizes = ends - starts
+    out = sizes > _SMALL
+    small = np.flatnonzero(~out)
+    step = max(1, STEP * STEP // 16 // (_SMALL * _SMALL // 2))
+    for s in range(0, len(small), step):
+        some = small[s : s + step]
+        cell = np.repeat(some, sizes[some])
+        row = np.arange(len(cell)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some]) + starts[cell]
+        after = ends[cell] - row - 1  # members of the cell after this one
+        left = np.repeat(row, after)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        met = (stored[left] | stored[right]) & (np.einsum("ij,ij->i", matrix[place[left]], matrix[place[right]]) >= threshold - 1e-9)
+        out[np.repeat(cell, after)[met]] = True
+    return out
+
+
 def _links(members: DataFrame, hashings: dict[int, Hashing], kind: type, threshold: float) -> DataFrame:
     """(node, links, other): sums of links by blocks, and spanning links."""
 
@@ -234,18 +261,23 @@ def _links(members: DataFrame, hashings: dict[int, Hashing], kind: type, thresho
             cols = {c: table[c].to_numpy() for c in ("turn", "i", "j", "side", "node", "n", "stored", "length")}
             cols["bucket"] = table["bucket"].to_numpy().view(np.uint64)
             new = np.flatnonzero(np.concatenate([[True], (np.diff(cols["bucket"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)]))
+            ends = np.append(new[1:], len(table))
             vectors = table["vector"].combine_chunks()
             for length in np.unique(cols["length"]).tolist():
+                own = np.flatnonzero(cols["length"][new] == length)
                 rows = np.flatnonzero(cols["length"] == length)
-                nodes, one, back = np.unique(cols["node"][rows], return_index=True, return_inverse=True)
+                _, one, back = np.unique(cols["node"][rows], return_index=True, return_inverse=True)
                 matrix = _matrix(vectors.take(pa.array(rows[one])), length, kind)
-                buckets = np.concatenate([hashings[length].buckets(matrix[s : s + 4096]) for s in range(0, len(matrix), 4096)])
                 place = np.full(len(table), -1)
                 place[rows] = back
-                for a, b in zip(new.tolist(), [*new[1:].tolist(), len(table)]):
-                    if cols["length"][a] == length:
-                        at = place[a:b]
-                        out += [pa.table({"node": n, "links": k.astype(np.int64), "other": o}) for n, k, o in _compared({c: v[a:b] for c, v in cols.items()}, buckets[at], matrix[at], threshold)]
+                own = own[_promising(new[own], ends[own], place, cols["stored"], matrix, threshold)]
+                wanted = np.unique(place[np.concatenate([np.arange(a, b) for a, b in zip(new[own], ends[own])])]) if len(own) else own
+                buckets = np.zeros((len(matrix), *hashings[length].shape), np.uint64)
+                for s in range(0, len(wanted), 4096):
+                    buckets[wanted[s : s + 4096]] = hashings[length].buckets(matrix[wanted[s : s + 4096]])
+                for a, b in zip(new[own].tolist(), ends[own].tolist()):
+                    at = place[a:b]
+                    out += [pa.table({"node": n, "links": k.astype(np.int64), "other": o}) for n, k, o in _compared({c: v[a:b] for c, v in cols.items()}, buckets[at], matrix[at], threshold)]
         memory_returned()
         return pa.concat_tables([pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())]).empty_table(), *out])
 
@@ -274,12 +306,12 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     entries = _entries(classes, hashings, kind)
     live = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.max("stored").alias("any")).where("members > 1 AND any")
-    live = live.select("bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "members")
+    live = written(live.select("bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "members"))
     members = entries.join(live, "bucket")
     own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     cells = members.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = cells.select("bucket", "turn", "node", "stored", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    count = members.agg(F.sum("blocks")).first()[0] or 0
+    count = live.agg(F.sum(F.col("members") * F.col("blocks"))).first()[0] or 0
     shares = max(1, -(-count // SHARE))
     cells = cells.withColumn("share", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shares)).cast("int"))
     links = written(_links(cells.join(classes.select("node", "n", "length", "vector"), "node"), hashings, kind, threshold))
@@ -290,6 +322,7 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = written(of_class.join(least, "component").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("component_id").alias("reached")))
     dropped(links)
+    dropped(live)
     joined = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(of_class, "key", "left")
     component = F.coalesce("reached", "vec_id")
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
