@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHAPE_CHARS, ALPHA = 120, 0.3
@@ -61,14 +65,44 @@ def ema(values: Column, alpha: float = ALPHA) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a))
 
 
+def affine_ema(x: np.ndarray, alpha: float) -> tuple[float, float, float]:
+    """(a, b, c): a run of values takes an average m to a * m + b, and is c where it is the first.
+
+    Steps m -> alpha * x + (1 - alpha) * m compose to one of the same form, so runs
+    are summed up anywhere and put together in their order.
+    """
+    decay = (1 - alpha) ** np.arange(len(x) - 1, -1, -1.0)
+    b = alpha * float(decay @ x)
+    return (1 - alpha) ** len(x), b, b + (1 - alpha) * float(decay[0]) * float(x[0])
+
+
 def ema_by_key(df: DataFrame, key: str, value: str, order: str, alpha: float = ALPHA) -> DataFrame:
-    """(key, n, ema) of each key's values in order.
+    """(key, n, ema) of each key's values that are not null, in order; the first value starts the average.
 
-    The average is a weighted sum with weight ``alpha * (1 - alpha) ** age`` (the
-    oldest ``(1 - alpha) ** age``), so it is a plain aggregation over a window of
-    row numbers and needs no array of a key's values.
+    Rows are range-partitioned by key and order, so a key of any size lies in as
+    many tasks as its rows ask for; each task sums up its run of a key as one
+    affine step, and a key's few steps are put together in their order.  Values of
+    equal order are taken by size.
     """
-    w = Window.partitionBy(key)
-    aged = df.select(key, F.col(value).cast("double").alias("_x"), (F.count(F.lit(1)).over(w) - F.row_number().over(w.orderBy(order))).alias("_age"), F.count(F.lit(1)).over(w).alias("_n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("_age")) * F.when(F.col("_age") == F.col("_n") - 1, 1.0).otherwise(alpha)
-    return aged.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_x") * weight).alias("ema"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            keys = batch.column(0)
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy()
+            x = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1)) if len(codes) else []
+            parts = [affine_ema(p, alpha) for p in np.split(x, cuts[1:])] if len(cuts) else []
+            out = [keys.take(pa.array(cuts, pa.int64())), pa.array([part] * len(parts), pa.int64()), pa.array(range(nth, nth + len(parts)), pa.int64()), pa.array(np.diff(np.append(cuts, len(x))), pa.int64()), *(pa.array([p[i] for p in parts], pa.float64()) for i in range(3))]
+            nth += len(parts)
+            yield pa.RecordBatch.from_arrays(out, ["k", "part", "nth", "n", "a", "b", "c"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x"), F.col(order).alias("o")).where("x IS NOT NULL")
+    ordered = rows.repartitionByRange("k", "o", "x").sortWithinPartitions("k", "o", "x").select("k", "x")
+    steps = ordered.mapInArrow(runs, f"k {kind}, part long, nth long, n long, a double, b double, c double")
+    whole = steps.groupBy("k").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "nth", "a", "b", "c"))).alias("steps"))
+    mean = F.aggregate("steps", F.lit(None).cast("double"), lambda m, s: F.when(m.isNull(), s["c"]).otherwise(s["a"] * m + s["b"]))
+    return whole.select(F.col("k").alias(key), "n", mean.alias("ema"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tarnflow.operators.shapes import ALPHA
+from tarnflow.operators.shapes import ALPHA, affine_ema
 
 
 def page_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:
@@ -31,10 +31,10 @@ def running_ema(stream: DataFrame, key: str, value: str, order: str, alpha: floa
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean = state.get if state.exists else (0, 0.0)
-        rows = sorted((x for part in parts for x in zip(part[order], part[value])))
-        for _, x in rows:
-            mean = x if n == 0 else alpha * x + (1 - alpha) * mean
-            n += 1
+        rows = pd.concat(parts).sort_values([order, value], kind="stable")[value].dropna().to_numpy(float)
+        if len(rows):
+            a, b, first = affine_ema(rows, alpha)
+            n, mean = n + len(rows), first if n == 0 else a * mean + b
         state.update((n, mean))
         yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [mean]})
 
