@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +99,44 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str = "tarnflow", url_col:
     return kept.where(may("_robots", url_col)).select(urls.columns)
 
 
+ANSWER = ("url", "url_final", "status", "html", "error", "etag", "last_modified")
+
+
+def answers(asked: Iterable[tuple[str | None, str | None, str | None]], seconds_per_request: float = 2.0, timeout: float = 20.0, pause: float = 1.5) -> Iterator[tuple]:
+    """A row (ANSWER) for each (url, etag, last_modified), asked one after the other at a bounded rate for each host."""
+    import random
+    import time
+    import urllib.error
+    import urllib.request
+    from urllib.parse import urlsplit
+
+    def answer(url: str, got, status: int, html: str | None) -> tuple:
+        return url, got.geturl(), status, html, None, got.headers.get("ETag"), got.headers.get("Last-Modified")
+
+    last: dict[str, float] = {}
+    for url, *known in asked:
+        row = (url, None, None, None, "no address", None, None)
+        for attempt in range(2 if url else 0):
+            try:
+                host = urlsplit(url).netloc
+                request = urllib.request.Request(url, headers={h: v for h, v in zip(("If-None-Match", "If-Modified-Since"), known) if v})
+                wait = last.get(host, 0) + seconds_per_request * random.uniform(0.7, 1.3) - time.monotonic()
+                if wait > 0:
+                    time.sleep(wait)
+                last[host] = time.monotonic()
+                with urllib.request.urlopen(request, timeout=timeout) as r:
+                    row = answer(url, r, r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"))
+                break
+            except urllib.error.HTTPError as e:
+                row = answer(url, e, e.code, None if e.code == 304 else e.read().decode("utf-8", "replace"))
+                break
+            except (OSError, ValueError, LookupError) as e:  # no connection, no address, an unknown charset
+                row = (url, None, None, None, str(e) or type(e).__name__, None, None)
+                if not attempt:
+                    time.sleep(pause)
+        yield row
+
+
 def fetch(urls: DataFrame, seconds_per_request: float = 2.0, timeout: float = 20.0, url_col: str = "url", pause: float = 1.5) -> DataFrame:
     """url, url_final, status, html, error, etag and last_modified of each address.
 
@@ -109,40 +147,9 @@ def fetch(urls: DataFrame, seconds_per_request: float = 2.0, timeout: float = 20
     """
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import random
-        import time
-        import urllib.error
-        import urllib.request
-        from urllib.parse import urlsplit
-
-        def answer(url: str, got, status: int, html: str | None) -> tuple:
-            return url, got.geturl(), status, html, None, got.headers.get("ETag"), got.headers.get("Last-Modified")
-
-        last: dict[str, float] = {}
-        for batch in batches:
-            rows = []
-            for url, *known in zip(batch["url"], batch["etag"], batch["last_modified"]):
-                row = (url, None, None, None, "no address", None, None)
-                for attempt in range(2 if url else 0):
-                    try:
-                        host = urlsplit(url).netloc
-                        asked = urllib.request.Request(url, headers={h: v for h, v in zip(("If-None-Match", "If-Modified-Since"), known) if v})
-                        wait = last.get(host, 0) + seconds_per_request * random.uniform(0.7, 1.3) - time.monotonic()
-                        if wait > 0:
-                            time.sleep(wait)
-                        last[host] = time.monotonic()
-                        with urllib.request.urlopen(asked, timeout=timeout) as r:
-                            row = answer(url, r, r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"))
-                        break
-                    except urllib.error.HTTPError as e:
-                        row = answer(url, e, e.code, None if e.code == 304 else e.read().decode("utf-8", "replace"))
-                        break
-                    except (OSError, ValueError, LookupError) as e:  # no connection, no address, an unknown charset
-                        row = (url, None, None, None, str(e) or type(e).__name__, None, None)
-                        if not attempt:
-                            time.sleep(pause)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["url", "url_final", "status", "html", "error", "etag", "last_modified"]).astype({"status": "Int32"})
+        asked = (row for batch in batches for row in zip(batch["url"], batch["etag"], batch["last_modified"]))
+        for row in answers(asked, seconds_per_request, timeout, pause):
+            yield pd.DataFrame([row], columns=list(ANSWER)).astype({"status": "Int32"})
 
     known = [(F.col(c) if c in urls.columns else F.lit(None)).cast("string").alias(c) for c in ("etag", "last_modified")]
     by_host = urls.select(F.col(url_col).alias("url"), *known).repartition(F.try_parse_url("url", F.lit("AUTHORITY")))
