@@ -98,16 +98,19 @@ def statistics(rows: DataFrame) -> DataFrame:
     return stats
 
 
-def run_all(spark: SparkSession, specs: list[SourceSpec], locks: DataFrame, states: DataFrame, pages: DataFrame, good_path: str | None = None, heal_allowed: bool = True, complete: Callable[[str], str] | None = None, base: Column | None = None, origin_hosts: dict[str, str] | None = None, limits: drift.Thresholds = drift.Thresholds()) -> Runs:
+def run_all(spark: SparkSession, specs: list[SourceSpec] | DataFrame, locks: DataFrame, states: DataFrame, pages: DataFrame, good_path: str | None = None, heal_allowed: bool = True, complete: Callable[[str], str] | None = None, base: Column | None = None, origin_hosts: dict[str, str] | None = None, limits: drift.Thresholds = drift.Thresholds()) -> Runs:
     """Run all ``specs`` over ``pages`` (source, page_id, url, status, html).
 
+    Sources are declared by specs, or by a table of fields (FIELDS) where there are
+    too many for the driver; of a table nothing is repaired.
     ``locks``: compiled selectors (state.LOCKS); ``states``: item selector and mean
     page length of each source (STATE).  Addresses are resolved against the page's
     own unless ``base`` is given.  A source without locks or with no genuine page
     does not stop the others.  Outcomes are those of
     :func:`tarnflow.plans.runs.run_source` for each source.
     """
-    fields = field_rows(spark, specs, origin_hosts)
+    fields = field_rows(spark, specs, origin_hosts) if isinstance(specs, list) else specs
+    heal_allowed = heal_allowed and isinstance(specs, list)
     seen = runs.stored(judged(pages, fields, states.select("source", "content_len")))
     lengths = seen.groupBy("source").agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("n_pages"), F.sum(F.when(F.col("reason").isNull(), F.length("html"))).alias("chars"), F.count(F.lit(1)).alias("all_pages"))
     reasons = seen.where("reason IS NOT NULL").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.min_by("reason", F.struct((-F.col("n")).alias("n"), "reason")).alias("reason"))
@@ -132,33 +135,35 @@ def run_all(spark: SparkSession, specs: list[SourceSpec], locks: DataFrame, stat
         (F.col("min_items") * F.col("n_pages")).alias("min_items"),
     ).withColumn("causes", drift.drift_causes(limits)))
     causes = stats.where(F.size("causes") > 0).select("source", "field", "causes")
-    drifted = sorted(r.source for r in causes.select("source").distinct().collect())
+    changed = causes.select("source").distinct()
+    drifted = sorted(r.source for r in changed.collect()) if heal_allowed else []
 
     quiet = spark.createDataFrame([], "source string, field string")
-    calm = locks.where(~F.col("source").isin(drifted)).join(lengths.where("n_pages > 0").select("source"), "source", "left_semi").select(*locks.columns)
+    calm = locks.join(changed, "source", "left_anti").join(lengths.where("n_pages > 0").select("source"), "source", "left_semi").select(*locks.columns)
     after = heal.healed_locks(calm, quiet, quiet.withColumns({"css": F.lit(""), "attr": F.lit("")}))
     learned = heal.updated_statistics(after.where(F.col("status") != heal.BROKEN), stats)
-    held = locks.join(lengths.where("n_pages > 0").select("source"), "source", "left_anti").select(*locks.columns)
+    held = locks.join(lengths.where("n_pages > 0").select("source").join(changed, "source", "left_anti"), "source", "left_anti").select(*locks.columns)
     new_locks = learned.unionByName(after.where(F.col("status") == heal.BROKEN)).unionByName(held.where(~F.col("source").isin(drifted)))
 
     repaired: dict[str, runs.Run] = {}
-    by_name = {s.name: s for s in specs}
+    by_name = {s.name: s for s in specs} if heal_allowed else {}
     for name in drifted:
         own = [r.asDict(recursive=True) for r in locks.where(F.col("source") == name).orderBy("field_order").collect()]
         state = states.where(F.col("source") == name).first()
         some = pages.where(F.col("source") == name).drop("source")
-        repaired[name] = runs.run_source(spark, by_name[name], state and state["item"], own, some, good_path, (origin_hosts or {}).get(name, ""), state and state["content_len"], heal_allowed, complete=complete, base=base)
+        repaired[name] = runs.run_source(spark, by_name[name], state and state["item"], own, some, good_path, (origin_hosts or {}).get(name, ""), state and state["content_len"], complete=complete, base=base)
     if repaired:
         new_locks = new_locks.unionByName(spark.createDataFrame([r for run in repaired.values() for r in run.locks], locks.schema))
 
     broken = after.join(fields.select("source", "field", "nullable"), ["source", "field"]).where((F.col("status") == heal.BROKEN) & ~F.col("nullable")).groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("field")), ", ").alias("broken"))
     compiled = locks.select("source").distinct().withColumn("compiled", F.lit(True))
-    whole = fields.select("source").distinct().join(compiled, "source", "left").join(lengths, "source", "left").join(reasons, "source", "left").join(broken, "source", "left").join(states.select("source", "content_len"), "source", "left")
+    whole = fields.select("source").distinct().join(compiled, "source", "left").join(lengths, "source", "left").join(reasons, "source", "left").join(broken, "source", "left").join(states.select("source", "content_len"), "source", "left").join(changed.withColumn("drifted", F.lit(True)), "source", "left")
     none = F.coalesce("n_pages", zero) == 0
-    ema = F.when(none, F.col("content_len")).otherwise(F.coalesce(shapes.ALPHA * F.col("chars") / F.col("n_pages") + (1 - shapes.ALPHA) * F.col("content_len"), F.col("chars") / F.col("n_pages")))
+    ema = F.when(none | F.col("drifted"), F.col("content_len")).otherwise(F.coalesce(shapes.ALPHA * F.col("chars") / F.col("n_pages") + (1 - shapes.ALPHA) * F.col("content_len"), F.col("chars") / F.col("n_pages")))
     outcome = (
         F.when(F.col("compiled").isNull(), F.struct(F.lit("broken").alias("status"), F.lit(1).alias("exit_code"), F.concat("source", F.lit(" is not compiled")).alias("error")))
         .when(none, F.struct(F.lit("blocked").alias("status"), F.lit(runs.EXIT["blocked"]).alias("exit_code"), F.coalesce("reason", F.lit("no page")).alias("error")))
+        .when(F.col("drifted"), F.struct(F.lit("broken").alias("status"), F.lit(runs.EXIT["drift"]).alias("exit_code"), F.lit("drift was found and repair is off").alias("error")))
         .when(F.col("broken").isNotNull(), F.struct(F.lit("broken").alias("status"), F.lit(runs.EXIT["broken"]).alias("exit_code"), F.concat(F.lit("broken: "), F.col("broken")).alias("error")))
         .otherwise(F.struct(F.lit("ok").alias("status"), F.lit(0).alias("exit_code"), F.lit("").alias("error")))
     )

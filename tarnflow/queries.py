@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import casts
 from tarnflow.functions.types import FieldType, parse_type
-from tarnflow.operators import candidates, drift, extraction, nodes, probes, shapes
-from tarnflow.plans import heal, lookups, runs
+from tarnflow.operators import candidates, drift, elements, extraction, nodes, probes, shapes
+from tarnflow.plans import heal, lookups, many, runs
 from tarnflow.plans.compiling import FieldSpec, SourceSpec, lock_rows
 from tarnflow.plans.planner import drop_all_null, matched, parse_query, run_query
 from tarnflow.sources import pages as page_source
@@ -323,3 +323,43 @@ def heal_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_retailprice", "p_partkey"))
     able = part.select(F.col("p_brand").alias("source"), F.col("p_size").cast("string").alias("field"), order.cast("int").alias("field_order"), F.lit(2).alias("rung"), rank.cast("int").alias("rank"), F.col("p_type").alias("css"), F.lit("text").alias("attr"), (F.col("p_retailprice") > 950).alias("passed"))
     return heal.choose(able, able.select("source", "field", F.lit("none").alias("css"), "attr").distinct())
+
+
+_MARKED = " OR ".join(f"contains(lower(substr(html, 1, 4096)), '{m}')" for m in page_source.CHALLENGES)
+_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@query(f"""WITH given AS (SELECT {_HOST} AS source, html, coalesce({_MARKED}, false) AS marked FROM pages),
+        each_ AS (SELECT source, marked, trim(CASE WHEN length(source) % 2 = 0 THEN regexp_extract(html, '<title>(.*?)</title>', 1) ELSE regexp_extract(html, '<h1>(.*?)</h1>', 1) END) AS heading, len(regexp_extract_all(html, '<li><a href=')) AS links FROM given)
+    SELECT source, CASE WHEN bool_and(marked) THEN 'blocked' ELSE 'ok' END AS status, CASE WHEN bool_and(marked) THEN 2 ELSE 0 END AS exit_code, count(*) FILTER (NOT marked) AS n_pages,
+        count(*) FILTER (NOT marked AND heading <> '') AS headings, coalesce(sum(links) FILTER (NOT marked), 0)::BIGINT AS links, min(length(replace(replace(replace(replace(replace(heading, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'))) FILTER (NOT marked AND heading <> '')::BIGINT AS shortest FROM each_ GROUP BY source""")
+def run_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host is a source with selectors of its own, rows of a table; all of them are one run."""
+    pages = table(spark, sf_dir, "pages").withColumn("source", F.try_parse_url("url", F.lit("AUTHORITY"))).withColumn("status", F.lit(200))
+    hosts = runs.stored(pages.select("source").distinct())
+    css = F.when(F.length("source") % 2 == 0, "head > title").otherwise("article > h1:first-of-type")
+    kinds = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("field_order"), F.lit(is_list).alias("is_list"), c.alias("css"), F.lit(a).alias("attr")) for k, (n, is_list, c, a) in enumerate([("heading", False, css, "text"), ("links", True, F.lit("nav > ul > li > a[href]"), "href")])])
+    each = hosts.select("source", F.explode(kinds).alias("f")).select("source", "f.*")
+    none = F.expr("array()").cast("array<string>")
+    fields = each.select("source", "field", "field_order", F.lit("str").alias("base"), F.lit(True).alias("nullable"), "is_list", none.alias("members"), F.lit(True).alias("manual"), none.alias("post"), F.lit(1).alias("min_items"), F.lit(True).alias("loose"), F.col("source").alias("origin_host"))
+    fixed = {"fallbacks": F.expr("array()").cast("array<struct<css:string,attr:string>>"), "status": F.lit(heal.VERIFIED), "confirm_runs": F.lit(0), "heal_count": F.lit(0), "value_shape": F.lit(""), "samples": none, "tag": F.lit(""), "class_tokens": none, "ancestor_sig": F.lit("")}
+    fixed |= {c: F.lit(None).cast("double") for c in ("match_count_ema", "null_rate_ema", "len_mean")}
+    locks = each.withColumns(fixed).select(*[c.split()[0] for c in state.LOCKS.split(", ")])
+    states = hosts.select("source", F.lit(None).cast("string").alias("item"), F.lit(None).cast("double").alias("content_len"))
+    done = many.run_all(spark, fields, locks, states, pages)
+    values = done.items.groupBy("source").agg(F.count("value").alias("headings"), F.sum(F.size("values")).alias("links"), F.min(F.length("value")).cast("long").alias("shortest"))
+    zero = F.lit(0).cast("long")
+    return done.sources.join(values, "source", "left").select("source", "status", "exit_code", "n_pages", F.coalesce("headings", zero).alias("headings"), F.coalesce("links", zero).alias("links"), "shortest")
+
+
+@query("""WITH parts AS (SELECT page_id, string_split(regexp_extract(html, '<nav><ul>(.*?)</ul></nav>', 1), '<li>')[2:] AS li FROM pages),
+        each_ AS (SELECT page_id, len(li) AS n, unnest(li) AS x, unnest(range(1, len(li) + 1)) AS nth FROM parts)
+    SELECT page_id, count(*) AS items, count(*) FILTER (nth % 2 = 1) AS odd, min(CASE WHEN nth = n THEN regexp_extract(x, 'href="([^"]*)"', 1) END) AS last_link, count(*) FILTER (nth > 1) AS after_first FROM each_ GROUP BY page_id""")
+def select_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places among siblings by selectors that are data: odd ones, the last one, those after the first."""
+    rules = {"items": ("nav li", "text"), "odd": ("nav li:nth-child(odd)", "text"), "last_link": ("nav li:last-child > a", "href"), "after_first": ("nav li:first-child ~ li", "text")}
+    rows = spark.createDataFrame([("pages", None, n, css, attr, None, False) for n, (css, attr) in rules.items()], elements.RULES)
+    found = elements.extract_rules(table(spark, sf_dir, "pages").withColumn("source", F.lit("pages")), rows)
+    count = lambda n: F.max(F.when(F.col("field") == n, F.col("n_nodes"))).cast("long").alias(n)
+    got = found.groupBy("page_id").agg(count("items"), count("odd"), F.first(F.when(F.col("field") == "last_link", F.try_element_at("raws", F.lit(1))), True).alias("last_link"), count("after_first"))
+    return got.where("items > 0")
