@@ -39,29 +39,32 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = df.drop("keep_id", "group_size", "kept", "text_sha256")
-    keyed = df.withColumn("_cs_text", normalise(text) if normalise else text).withColumn("_cs_hash", F.xxhash64("_cs_text")).withColumn("_cs_id", F.col(id_col).cast("long"))
+    p = "_cs"
+    while any(c.lower().startswith(p) for c in df.columns):  # no column of ``df`` is written over
+        p += "_"
+    keyed = df.withColumn(p + "_text", normalise(text) if normalise else text).withColumn(p + "_hash", F.xxhash64(p + "_text")).withColumn(p + "_id", F.col(id_col).cast("long"))
 
     limit = max(LEAST_HOT, -(-df.count() // MAX_HOT))
-    hot = keyed.groupBy("_cs_hash").count().where(F.col("count") > limit).select("_cs_hash", F.ceil(F.col("count") / limit).alias("_cs_runs"))
-    salted = keyed.join(F.broadcast(hot), "_cs_hash", "left").withColumn("_cs_salt", F.when(F.col("_cs_runs").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("_cs_id", F.lit(7)), F.col("_cs_runs"))).cast("long"))
+    hot = keyed.groupBy(p + "_hash").count().where(F.col("count") > limit).select(p + "_hash", F.ceil(F.col("count") / limit).alias(p + "_runs"))
+    salted = keyed.join(F.broadcast(hot), p + "_hash", "left").withColumn(p + "_salt", F.when(F.col(p + "_runs").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(p + "_id", F.lit(7)), F.col(p + "_runs"))).cast("long"))
 
-    place = ["_cs_prefix", "_cs_hash", "_cs_salt"]
-    order = [*place, "_cs_text", F.col("_cs_id").desc_nulls_last()]
-    dealt = salted.withColumn("_cs_prefix", F.substring("_cs_text", 1, PREFIX_CHARS)).repartitionByRange(*place).sortWithinPartitions(*order)
-    run = Window.partitionBy(*place, "_cs_text").orderBy(F.col("_cs_id").desc_nulls_last())
+    place = [p + "_prefix", p + "_hash", p + "_salt"]
+    order = [*place, p + "_text", F.col(p + "_id").desc_nulls_last()]
+    dealt = salted.withColumn(p + "_prefix", F.substring(p + "_text", 1, PREFIX_CHARS)).repartitionByRange(*place).sortWithinPartitions(*order)
+    run = Window.partitionBy(*place, p + "_text").orderBy(F.col(p + "_id").desc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     compared = dealt.select(
         "*",
-        F.row_number().over(run).alias("_cs_nth"),
-        F.first("_cs_id").over(whole).alias("_cs_most"),
-        F.count(F.lit(1)).over(whole).alias("_cs_n"),
-        F.sha2(F.col("_cs_text"), 256).alias("text_sha256"),
+        F.row_number().over(run).alias(p + "_nth"),
+        F.first(p + "_id").over(whole).alias(p + "_most"),
+        F.count(F.lit(1)).over(whole).alias(p + "_n"),
+        F.sha2(F.col(p + "_text"), 256).alias("text_sha256"),
     )
 
-    runs = compared.where((F.col("_cs_salt") > 0) & (F.col("_cs_nth") == 1))
-    merged = runs.groupBy("_cs_text").agg(F.max("_cs_most").alias("_cs_hot_most"), F.sum("_cs_n").alias("_cs_hot_n"), F.first("text_sha256").alias("text_sha256"), F.first("_cs_hash").alias("_cs_hash")).drop("_cs_text")
-    out = compared.join(F.broadcast(merged), ["_cs_hash", "text_sha256"], "left")
-    out = out.withColumn("keep_id", F.coalesce("_cs_hot_most", "_cs_most")).withColumn("group_size", F.coalesce("_cs_hot_n", "_cs_n"))
-    nulls_run = F.when(F.col("_cs_id").isNull() & (F.col("_cs_salt") > 0), F.col("keep_id").isNull()).otherwise(F.lit(True))
-    out = out.withColumn("kept", (F.col("_cs_nth") == 1) & F.col("_cs_id").eqNullSafe(F.col("keep_id")) & nulls_run)
+    runs = compared.where((F.col(p + "_salt") > 0) & (F.col(p + "_nth") == 1))
+    merged = runs.groupBy(p + "_text").agg(F.max(p + "_most").alias(p + "_hot_most"), F.sum(p + "_n").alias(p + "_hot_n"), F.first("text_sha256").alias("text_sha256"), F.first(p + "_hash").alias(p + "_hash")).drop(p + "_text")
+    out = compared.join(F.broadcast(merged), [p + "_hash", "text_sha256"], "left")
+    out = out.withColumn("keep_id", F.coalesce(p + "_hot_most", p + "_most")).withColumn("group_size", F.coalesce(p + "_hot_n", p + "_n"))
+    nulls_run = F.when(F.col(p + "_id").isNull() & (F.col(p + "_salt") > 0), F.col("keep_id").isNull()).otherwise(F.lit(True))
+    out = out.withColumn("kept", (F.col(p + "_nth") == 1) & F.col(p + "_id").eqNullSafe(F.col("keep_id")) & nulls_run)
     return out.select(*df.columns, "keep_id", "group_size", "kept", "text_sha256")

@@ -301,3 +301,10 @@ def test_vocabulary_is_of_exact_counts(spark):
     counts = got.counts[: pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES]
     assert len(got.known) == len(exact) and sorted(counts[counts > 0]) == sorted(exact.values())
     assert got.counts[pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES :].sum() == sum(exact.values())
+
+
+def test_exact_dedup_writes_over_no_column(spark):
+    names = ["_cs_text", "_cs__hash", "_CS", "_cs_salt"]
+    df = spark.createDataFrame([(i, t, f"mine{i}", i, "x", "y") for i, t in enumerate(["a", "b", "a", None, ""])], f"doc_id long, text string, {names[0]} string, {names[1]} long, {names[2]} string, {names[3]} string")
+    got = exact_dedup.exact_dedup(df).orderBy("doc_id").collect()
+    assert [(r["_cs_text"], r["_cs__hash"], r["_CS"], r["_cs_salt"], r.keep_id, r.group_size, r.kept) for r in got] == [("mine0", 0, "x", "y", 2, 2, False), ("mine1", 1, "x", "y", 1, 1, True), ("mine2", 2, "x", "y", 2, 2, True), ("mine3", 3, "x", "y", 4, 2, False), ("mine4", 4, "x", "y", 4, 2, True)]
