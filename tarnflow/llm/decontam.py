@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import ALNUM, bounded_batches, grams, id_and_text, text_steps
+from tarnflow.llm.shared import ALNUM, bounded_batches, grams, id_and_text, text_steps, written
 
 WINDOW_WORDS, GRAM_WORDS = 10, 5
 #: Benchmark text that one block holds (the bound of what is broadcast).
@@ -101,7 +102,7 @@ class BenchmarkIndex:
             yield r, int(cuts[r + 1] - cuts[r]), spans, items
 
 
-def _against(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+def _against(docs: DataFrame, items: list[tuple[str, str]]) -> tuple[DataFrame, Broadcast]:
     sent = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items))
     span = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
 
@@ -114,15 +115,16 @@ def _against(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
                     ["doc_id", "text_hash", "n_words", "spans", "items"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(matched, SCHEMA)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(matched, SCHEMA), sent
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size (at least one block), read one after the other."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """(number of blocks, items) of each block of bounded size (at least one); a block is read when it is asked for."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()] for b in range(blocks)]
+    for b in range(blocks):
+        yield blocks, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
 
 
 def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -134,13 +136,14 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and an empty benchmark hit nothing.  Repeated rows stay repeated.
     """
     docs = id_and_text(df, id_col, text_col)
-    parts = [_against(docs, items) for items in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    blocks = len(parts)
-    if blocks == 1:
-        return parts[0].drop("text_hash")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
+    whole, blocks = None, 1
+    for blocks, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        part, sent = _against(docs, items)
+        if blocks == 1:
+            return part.drop("text_hash")
+        part = written(part)  # driver and tasks hold one block at a time
+        sent.destroy()
+        whole = part if whole is None else whole.union(part)
     whole = whole.groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count(F.lit(1)).alias("rows"))
     merged = F.expr("""aggregate(all, cast(array() AS array<struct<first:int,stop:int>>), (m, s) ->
         CASE WHEN size(m) > 0 AND s.first <= element_at(m, -1).stop
@@ -159,7 +162,7 @@ def contamination(hits: DataFrame) -> DataFrame:
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``df`` without any window of the benchmark, with all their columns; filtered inside the scan, block after block."""
     df = bounded_batches(df)
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for blocks, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         sent = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(items))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -171,4 +174,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(clean, df.schema)
+        if blocks > 1:
+            df = written(df)  # driver and tasks hold one block at a time
+            sent.destroy()
     return df
