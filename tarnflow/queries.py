@@ -177,17 +177,24 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drifted(stats, locks).select("field", F.array_join("causes", "; ").alias("causes"))
 
 
-@query("SELECT label, CAST(len(label) - len(replace(label, '>', '')) AS BIGINT) AS depth, CAST(CASE WHEN label LIKE '%.%' THEN 1.0 ELSE 0.65 END AS DOUBLE) AS score FROM (VALUES ('div'), ('.story'), ('ul > li'), ('div > p.note')) t(label)")
+@query("""SELECT page_id, label, least(1.0, greatest(0.0, 1.0 - 0.2 * len(regexp_extract_all(label, ':nth-child')) - 0.4 * len(regexp_extract_all(label, '[.]css-')) + CASE WHEN contains(label, '#') THEN 0.05 ELSE 0 END - CASE WHEN regexp_matches(label, '[.#]') THEN 0 ELSE 0.35 END))::DOUBLE AS score
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'article > h1' WHEN 1 THEN 'nav > ul > li:nth-child(' || n || ')' WHEN 2 THEN '.css-' || page_id || ' > p' ELSE '#p' || page_id END AS label FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages))""")
 def selector_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([("div",), (".story",), ("ul > li",), ("div > p.note",)], "label string")
-    return df.select("label", F.regexp_count("label", F.lit(">")).cast("long").alias("depth"), shapes.robustness(F.col("label")).alias("score"))
+    """One selector for each page, spelled from what the page has."""
+    page, n = F.col("page_id"), F.regexp_count("html", F.lit("<li>")).cast("string")
+    label = F.when(page % 4 == 0, "article > h1").when(page % 4 == 1, F.concat(F.lit("nav > ul > li:nth-child("), n, F.lit(")"))).when(page % 4 == 2, F.concat(F.lit(".css-"), page.cast("string"), F.lit(" > p"))).otherwise(F.concat(F.lit("#p"), page.cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", label.alias("label")).withColumn("score", shapes.robustness(F.col("label")))
+
+
+_MARKED = " OR ".join(f"contains(lower(substr(html, 1, 4096)), '{m}')" for m in page_source.CHALLENGES)
+_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 
 
 # ------------------------------------------------------------------- pages
 
 
-@query("""SELECT page_id, CASE
-        WHEN regexp_matches(lower(substr(html, 1, 4096)), 'captcha|access denied|just a moment') THEN 'challenge'
+@query(f"""SELECT page_id, CASE
+        WHEN {_MARKED} THEN 'challenge'
         WHEN regexp_extract(url, '://([^/?#]*)', 1) <> 'example.com' AND regexp_extract(url, '://([^/?#]*)', 1) <> '' THEN 'off-host'
         WHEN length(html) < 0.2 * 4000 THEN 'collapsed' ELSE 'ok' END AS verdict FROM pages""")
 def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,22 +218,31 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAV = {"label": (parse_type("str"), extraction.Selector("a")), "target": (parse_type("url"), extraction.Selector("a", "href")), "links": (parse_type("list[str]"), extraction.Selector("a", "href"))}
 
 
-@query()
+def _decoded(x: str) -> str:
+    """SQL of a text with the entities that the pages use."""
+    for entity, sign in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {sign})"
+    return x
+
+
+_ITEMS_SQL = f"""WITH parts AS (SELECT page_id, string_split(regexp_extract(html, '<nav><ul>(.*?)</ul></nav>', 1), '<li>')[2:] AS li FROM pages),
+        each_ AS (SELECT page_id, unnest(li) AS x, unnest(range(1, len(li) + 1)) AS nth FROM parts),
+        items AS (SELECT page_id, nth, {_decoded("regexp_extract(x, '>([^<]*)</a>', 1)")} AS label, {_decoded("regexp_extract(x, 'href=.([^>]*).>', 1)")} AS href FROM each_)"""
+
+
+@query(_ITEMS_SQL + " SELECT page_id, nth, label, 'https://base.test' || href AS target, href AS links FROM items")
 def extract_nav_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.extract(nodes.page_nodes(table(spark, sf_dir, "pages")), "nav li", _NAV, F.lit("https://base.test/"))
+    found = extraction.extract(nodes.page_nodes(table(spark, sf_dir, "pages")), "nav li", _NAV, F.lit("https://base.test/"))
+    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("item"))
+    return found.select("page_id", nth.cast("long").alias("nth"), "label", "target", F.array_join("links", ",").alias("links"))
 
 
-@query()
+@query(_ITEMS_SQL + """ SELECT field, count(*) AS items, count(*) AS match_count, 0 AS null_count, 0 AS cast_fail, avg(length(CASE WHEN field = 'label' THEN label ELSE href END)) AS len_mean FROM items, (VALUES ('label'), ('target'), ('links')) f(field) GROUP BY field""")
 def extraction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = extraction.extract_raw(nodes.page_nodes(table(spark, sf_dir, "pages")), "nav li", _NAV)
     return extraction.field_statistics(raw, {n: ft for n, (ft, _) in _NAV.items()}, F.lit("https://base.test/"))
 
 
-@query()
-def item_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.item_candidates(nodes.page_nodes(table(spark, sf_dir, "pages")))
-
-
 def _listing(part: DataFrame, head: str, size: str) -> DataFrame:
     """Invented pages, 20 parts each, whose classes depend on the design: page_id, url, status, html."""
     row = F.concat(F.lit(f"<article class='part'><h2 class='{head}'>"), "p_name", F.lit(f"</h2><div class='meta'><span class='{size}'>"), F.col("p_size").cast("string"), F.lit(" units</span><b class='key'>"), F.col("p_partkey").cast("string"), F.lit("</b></div></article>"))
@@ -251,6 +267,13 @@ def probe_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("field", "scopes", "matched_scopes", "cast_ok", "cast_fail", probes.passes(F.col("field") == "gone").alias("passed"))
 
 
+@query("""SELECT p_partkey // 20 AS page_id, css, count(*) AS n, max(depth)::DOUBLE AS mean_depth, 1.0::DOUBLE AS robust, max(nth) AS rank
+    FROM part, (VALUES ('article.part', 3, 1), ('div.meta', 4, 2)) c(css, depth, nth) GROUP BY 1, 2 HAVING count(*) >= 3""")
+def item_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each invented page the repeated elements that hold others, the outer ones first."""
+    return candidates.item_candidates(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size")))
+
+
 @query("""SELECT 'article.part' AS css, count(*) AS n, count(DISTINCT p_partkey // 20) AS pages FROM part WHERE p_partkey // 20 IN (SELECT p_partkey // 20 FROM part GROUP BY 1 HAVING count(*) >= 3)""")
 def item_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = candidates.item_candidates(nodes.page_nodes(_listing(table(spark, sf_dir, "part"), "head", "size"))).where("rank = 1")
@@ -315,20 +338,16 @@ def free_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.free_selectors(df, df.where(F.col("field") % 10 == 0)).select(F.col("field").alias("c_custkey"), F.col("source").alias("c_nationkey"))
 
 
-@query()
+@query("""SELECT CAST(page_id AS VARCHAR) AS source, field, 'li:nth-child(' || nth || ')' AS css, 'text' AS attr, 2 AS rung
+    FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages), (VALUES ('first', 2), ('second', 3)) f(field, nth) WHERE n >= nth""")
 def heal_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand compete for selectors (their types), the cheaper first."""
-    part = table(spark, sf_dir, "part")
-    order = F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_size"))
-    rank = F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_retailprice", "p_partkey"))
-    able = part.select(F.col("p_brand").alias("source"), F.col("p_size").cast("string").alias("field"), order.cast("int").alias("field_order"), F.lit(2).alias("rung"), rank.cast("int").alias("rank"), F.col("p_type").alias("css"), F.lit("text").alias("attr"), (F.col("p_retailprice") > 950).alias("passed"))
+    """Two fields of each page compete for the places of its list, of which the first does not pass: the first field takes the second place, the other one the next."""
+    places = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source"), F.explode(F.sequence(F.lit(0), F.regexp_count("html", F.lit("<li>")))).alias("nth")).where("nth > 0")
+    fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("field_order")) for k, n in enumerate(("first", "second"))]))
+    able = places.select("source", "nth", fields.alias("f")).select("source", "f.field", "f.field_order", F.lit(2).alias("rung"), F.col("nth").alias("rank"), F.concat(F.lit("li:nth-child("), F.col("nth").cast("string"), F.lit(")")).alias("css"), F.lit("text").alias("attr"), (F.col("nth") > 1).alias("passed"))
     return heal.choose(able, able.select("source", "field", F.lit("none").alias("css"), "attr").distinct())
 
 
-_MARKED = " OR ".join(f"contains(lower(substr(html, 1, 4096)), '{m}')" for m in page_source.CHALLENGES)
-_HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
-
-
 @query(f"""WITH given AS (SELECT {_HOST} AS source, html, coalesce({_MARKED}, false) AS marked FROM pages),
         each_ AS (SELECT source, marked, trim(CASE WHEN length(source) % 2 = 0 THEN regexp_extract(html, '<title>(.*?)</title>', 1) ELSE regexp_extract(html, '<h1>(.*?)</h1>', 1) END) AS heading, len(regexp_extract_all(html, '<li><a href=')) AS links FROM given)
     SELECT source, CASE WHEN bool_and(marked) THEN 'blocked' ELSE 'ok' END AS status, CASE WHEN bool_and(marked) THEN 2 ELSE 0 END AS exit_code, count(*) FILTER (NOT marked) AS n_pages,
