@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import drift, extraction, nodes, probes, shapes
+from tarnflow.operators import drift, extraction, nodes, probes, pruning, shapes
 from tarnflow.operators.extraction import Selector
 from tarnflow.plans import heal
 from tarnflow.plans.compiling import SourceSpec, proposed, ranked_candidates
@@ -76,12 +76,13 @@ def drift_of(stats: list[dict], spec: SourceSpec, locks: list[dict], n_pages: in
     return {r["field"]: r["causes"] for r in df.withColumn("causes", drift.drift_causes(limits)).where(F.size("causes") > 0).select("field", "causes").collect()}
 
 
-def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dict], causes: dict[str, list[str]], n_pages: int, base: Column | None = None, complete: Callable[[str], str] | None = None, forced: bool = False) -> tuple[list[dict], dict[str, dict]]:
+def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dict], causes: dict[str, list[str]], n_pages: int, base: Column | None = None, complete: Callable[[str], str] | None = None, forced: bool = False, html: str = "") -> tuple[list[dict], dict[str, dict]]:
     """(locks after the repair ladder, what was chosen for each healed field).
 
     Stored fallbacks come first, then ranked candidates; what passes all gates is
     given out in the fields' order.  A model is asked only for fields that are
-    left, and not for ones that were broken before, unless the run is forced.
+    left, and not for ones that were broken before, unless the run is forced; it
+    sees the parts of ``html`` around the field's old values.
     A field with a manual selector is never given another.
     """
     spark, lock_of = found.sparkSession, {r["field"]: r for r in locks}
@@ -99,7 +100,8 @@ def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dic
     chosen = _gated(spark, found, item, spec, lock_of, tries, n_pages, base) if tries else {}
     for name in free:
         if name not in chosen and complete and (forced or lock_of[name]["status"] != heal.BROKEN):
-            if s := proposed(complete, found, item, name, free[name], "", base, heal.RUNG_LIMITS[3]):
+            snippet = pruning.region_html(html, lock_of[name]["samples"], lock_of[name]["value_shape"]) if html else ""
+            if s := proposed(complete, found, item, name, free[name], snippet, base, heal.RUNG_LIMITS[3]):
                 tries[f"{name}_3_1"] = (name, 3, 1, s)
                 chosen |= _gated(spark, found, item, spec, lock_of, {f"{name}_3_1": tries[f"{name}_3_1"]}, n_pages, base)
     after = heal.healed_locks(
@@ -173,7 +175,8 @@ def run_source(spark: SparkSession, spec: SourceSpec, item: str | None, locks: l
 
     before = {r["field"]: r for r in locks}
     if out.causes:
-        out.locks, chosen = repair(stored(found), item, spec, locks, out.causes, n_pages, base, complete, forced)
+        html = judged.where("reason IS NULL").orderBy("page_id").select("html").first()["html"] if complete else ""
+        out.locks, chosen = repair(stored(found), item, spec, locks, out.causes, n_pages, base, complete, forced, html or "")
         for r in out.locks:
             n = r["field"]
             if n in chosen:

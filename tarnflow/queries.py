@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import casts
 from tarnflow.functions.types import FieldType, parse_type
-from tarnflow.operators import candidates, drift, elements, extraction, nodes, probes, shapes
+from tarnflow.operators import candidates, drift, elements, extraction, nodes, probes, pruning, shapes
 from tarnflow.plans import heal, lookups, many, runs
 from tarnflow.plans.compiling import FieldSpec, SourceSpec, lock_rows
 from tarnflow.plans.planner import drop_all_null, matched, parse_query, run_query
@@ -382,3 +382,12 @@ def select_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda n: F.max(F.when(F.col("field") == n, F.col("n_nodes"))).cast("long").alias(n)
     got = found.groupBy("page_id").agg(count("items"), count("odd"), F.first(F.when(F.col("field") == "last_link", F.try_element_at("raws", F.lit(1))), True).alias("last_link"), count("after_first"))
     return got.where("items > 0")
+
+
+@query("""WITH each_ AS (SELECT p_partkey // 20 AS page_id, p_partkey, '<article class="part"><h2 class="head">' || p_name || '</h2><div class="meta"><span class="size">' || p_size || ' units</span><b class="key">' || p_partkey || '</b></div></article>' AS one,
+        row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS nth FROM part)
+    SELECT page_id, string_agg(one, chr(10) || '<!-- region -->' || chr(10) ORDER BY p_partkey) AS region FROM each_ WHERE nth <= 8 GROUP BY page_id""")
+def value_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surroundings of values of a known shape, for a prompt: of each invented page the first items."""
+    listed = _listing(table(spark, sf_dir, "part"), "head", "size")
+    return pruning.page_regions(listed.withColumns({"samples": F.expr("array('', null)"), "shape": F.lit(r"^\d+\s+units$")}))
