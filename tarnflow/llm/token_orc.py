@@ -8,7 +8,7 @@ a lookup to a few stripes, and any reader can take stripes in parallel.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from tarnflow.llm.tokens import encoder
 
 END_ID = 2
 STRIPE_BYTES, ROW_INDEX_STRIDE = 16 << 20, 1000
+#: Ids that :func:`lookup` pushes down to the files.
+LOOKED_UP = 100
 FILE_SCHEMA = "doc_id long, part int, n long, ids array<int>"
 
 
@@ -60,6 +62,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).orc(path)
 
 
+def lookup(spark: SparkSession, path: str, ids: Sequence[int] | DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and ids of the documents asked for; ids that no document has give no row, repeated documents give one row each.
+
+    A few ids are a filter that reaches the files: whole files and stripes go by
+    their statistics, row groups by the row index and the Bloom filter.  More ids
+    than LOOKED_UP, or a table of them (one row for each id, nulls ignored), are
+    joined.
+    """
+    rows = read_token_files(spark, path).select("doc_id", "ids")
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
+    wanted = sorted(set(ids))
+    if len(wanted) > LOOKED_UP:
+        return lookup(spark, path, spark.createDataFrame([(i,) for i in wanted], "doc_id long"))
+    return rows.where(F.col("doc_id").isin(wanted)) if wanted else rows.where(F.lit(False))
+
+
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files.
 
