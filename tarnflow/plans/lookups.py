@@ -9,7 +9,9 @@ judged on one page that is known to be good, the fixture.
 
 from __future__ import annotations
 
+import json
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,6 +23,7 @@ from tarnflow.plans import heal, runs
 from tarnflow.plans.compiling import SourceSpec
 from tarnflow.plans.planner import drop_all_null
 from tarnflow.sources import pages as page_source
+from tarnflow.sources.versions import VersionedTable
 
 #: Exit code of a request's status.
 EXIT = {"ok": 0, "not_found": 0, "error": 1, "blocked": 2, "broken": 3}
@@ -160,6 +163,32 @@ class Memo:
         return spec.source.name, tuple(sorted((k, str(v)) for k, v in arguments.items()))
 
 
+class SharedMemo(Memo):
+    """The same for any number of sessions: answers lie in a table of whole versions for each of ``buckets`` parts of the keys.
+
+    An answer rewrites its own bucket only, and drops what has expired there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, buckets: int = 64):
+        self.spark, self.path, self.clock, self.buckets = spark, path.rstrip("/"), clock, buckets
+
+    def _bucket(self, key: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/{zlib.crc32(key.encode()) % self.buckets:04d}")
+
+    def get(self, spec: LookupSpec, arguments: dict) -> dict | None:
+        key = json.dumps(self._key(spec, arguments))
+        held = self._bucket(key).read()
+        row = held.where((F.col("key") == key) & (F.col("until") > self.clock())).first() if held is not None else None
+        return json.loads(row["answer"]) if row else None
+
+    def put(self, spec: LookupSpec, arguments: dict, answer: dict) -> None:
+        if not spec.ttl:
+            return
+        key, now = json.dumps(self._key(spec, arguments)), self.clock()
+        new = self.spark.createDataFrame([(key, now + spec.ttl, json.dumps(answer, default=str))], "key string, until double, answer string")
+        self._bucket(key).update(lambda old: new if old is None else old.where((F.col("key") != key) & (F.col("until") > now)).unionByName(new))
+
+
 def lookup_one(spark: SparkSession, spec: LookupSpec, item: str | None, locks: list[dict], arguments: dict[str, str], memo: Memo | None = None, **how) -> tuple[dict, Answers | None]:
     """(status, error, url, items, healed, cached) of one request, and its answers unless they came from the memo."""
     if memo and (known := memo.get(spec, arguments)):
