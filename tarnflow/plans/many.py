@@ -21,6 +21,7 @@ from tarnflow.operators.elements import extract_rules
 from tarnflow.plans import heal, runs
 from tarnflow.plans.compiling import SourceSpec
 from tarnflow.sources import pages as page_source
+from tarnflow.sources.state import sources_with_last_good
 
 FIELDS = "source string, field string, field_order int, base string, nullable boolean, is_list boolean, members array<string>, manual boolean, post array<string>, min_items int, loose boolean, origin_host string"
 STATE = "source string, item string, content_len double"
@@ -173,18 +174,9 @@ def run_all(spark: SparkSession, specs: list[SourceSpec] | DataFrame, locks: Dat
     kept = cast.groupBy("source", "page_id", "item").agg(alive.alias("alive")).where("alive").drop("alive")
     items = cast.join(good, "source", "left_semi").join(kept, ["source", "page_id", "item"], "left_semi").select("source", "page_id", "item", "field", "value", "values")
     if good_path:
-        served = _last_good_sources(spark, good_path)
+        served = sources_with_last_good(spark, good_path).withColumn("served", F.lit(True))
         sources = sources.join(served, "source", "left").withColumn("status", F.when(F.col("served") & F.col("status").isin("blocked", "broken") & (F.col("exit_code") != 1), "stale").otherwise(F.col("status"))).drop("served")
     if repaired:
         rows = [(n, r.status, r.exit_code, r.error, None, r.content_len) for n, r in repaired.items()]
         sources = sources.unionByName(spark.createDataFrame(rows, "source string, status string, exit_code int, error string, n_pages long, content_len double"))
     return Runs(sources, items, causes, new_locks, repaired)
-
-
-def _last_good_sources(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).select("source").distinct().withColumn("served", F.lit(True))
-    except AnalysisException:  # nothing was stored yet
-        return spark.createDataFrame([], "source string, served boolean")

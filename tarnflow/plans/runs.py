@@ -6,6 +6,8 @@ pages is a Spark job, and only a few rows for each field reach the driver.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -41,10 +43,21 @@ class Run:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` kept for several uses: a checkpoint in shared storage where a folder is set, else cached."""
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
+    """``df`` as a table in the folder that driver and executors share, so that live requests and parsing are done once even where executors are lost.
+
+    The folder is ``spark.checkpoint.dir``; only where it is unset and Spark runs on
+    one machine (tests) a temporary one is made.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tarnflow-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tarnflow/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def selectors(spec: SourceSpec, locks: list[dict]) -> probes.Fields:

@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnflow.sources.versions import VersionedParts
+
 LOCKS = "source string, field string, field_order int, css string, attr string, fallbacks array<struct<css:string,attr:string>>, status string, confirm_runs int, heal_count int, value_shape string, samples array<string>, match_count_ema double, null_rate_ema double, len_mean double, tag string, class_tokens array<string>, ancestor_sig string"
 RING = 5
 
 
 def save_last_good(items: DataFrame, path: str) -> None:
-    """Overwrite the partitions of the sources in ``items`` and no others."""
-    items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    """Replace the items of the sources in ``items`` and no others, in one step for readers."""
+    VersionedParts(items.sparkSession, path).put(items)
 
 
 def last_good(spark: SparkSession, path: str, source: str) -> DataFrame | None:
-    """The stored items of a source, marked as stale; None where there are none or they cannot be read."""
-    try:
-        return spark.read.parquet(path).where(F.col("source") == source).withColumn("stale", F.lit(True))
-    except AnalysisException:  # no such path, or no Parquet in it
-        return None
+    """The stored items of a source, marked as stale; None where there are none."""
+    found = VersionedParts(spark, path).read(source)
+    return None if found is None else found.withColumn("stale", F.lit(True))
 
 
 def has_last_good(spark: SparkSession, path: str, source: str) -> bool:
-    found = last_good(spark, path, source)
-    return found is not None and not found.isEmpty()
+    return source in VersionedParts(spark, path).parts()
+
+
+def sources_with_last_good(spark: SparkSession, path: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in VersionedParts(spark, path).parts()], "source string")
 
 
 def save_locks(locks: list[dict], path: str, spark: SparkSession, item: str | None = None, content_len: float | None = None) -> None:
-    """Overwrite the locks of the sources in ``locks`` and no others; each row carries its source's item selector and mean length."""
-    rows = spark.createDataFrame(locks, LOCKS).withColumns({"item_selector": F.lit(item).cast("string"), "content_len_ema": F.lit(content_len).cast("double"), "source_name": F.col("source")})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_name").parquet(path)
+    """Replace the locks of the sources in ``locks`` and no others, in one step for readers; each row carries its source's item selector and mean length."""
+    rows = spark.createDataFrame(locks, LOCKS).withColumns({"item_selector": F.lit(item).cast("string"), "content_len_ema": F.lit(content_len).cast("double")})
+    VersionedParts(spark, path).put(rows)
 
 
 def load_locks(spark: SparkSession, path: str, source: str) -> tuple[list[dict], str | None, float | None]:
     """(locks in the fields' order, item selector, mean length) of a source; no locks where it is not compiled."""
-    try:
-        found = spark.read.parquet(path).where(F.col("source_name") == source).orderBy("field_order").collect()
-    except AnalysisException:
-        found = []
-    locks = [{k: v for k, v in r.asDict(recursive=True).items() if k not in ("item_selector", "content_len_ema", "source_name")} for r in found]
+    rows = VersionedParts(spark, path).read(source)
+    found = rows.orderBy("field_order").collect() if rows is not None else []
+    locks = [{k: v for k, v in r.asDict(recursive=True).items() if k not in ("item_selector", "content_len_ema")} for r in found]
     return locks, found[0]["item_selector"] if found else None, found[0]["content_len_ema"] if found else None
 
 

@@ -143,3 +143,36 @@ def test_refresh_guard(spark, tmp_path):
     for t in some:
         t.join()
     assert sorted(got) == [202] + [429] * 5
+
+
+def test_parts_of_runs_that_end_at_once(spark, tmp_path):
+    from tarnflow.sources import state
+
+    path = f"file://{tmp_path}/good"
+    items = lambda source, n, rows=40: spark.range(rows).select(F.lit(source).alias("source"), "id", F.lit(n).alias("n"))
+    state.save_last_good(items("s/1 = é", 0).unionByName(items("t", 0)), path)
+    state.save_last_good(spark.createDataFrame([("u", "title")], "source string, title string"), path)
+    state.save_last_good(items("t", 0).where("false"), path)  # no source, so nothing changes
+    assert state.last_good(spark, path, "u").columns == ["source", "title", "stale"] and state.last_good(spark, path, "none") is None
+    mixed, stop = [], threading.Event()
+
+    def reading():
+        while not stop.is_set():
+            for name in ("s/1 = é", "t"):
+                seen = [(r.n, r["count"]) for r in state.last_good(spark, path, name).groupBy("n").count().collect()]
+                mixed.extend([seen] if len(seen) != 1 or seen[0][1] != 40 else [])
+
+    reader = threading.Thread(target=reading)
+    reader.start()
+    writers = [threading.Thread(target=lambda name=name: [state.save_last_good(items(name, n), path) for n in (1, 2)]) for name in ("s/1 = é", "t", "v")]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    stop.set()
+    reader.join()
+    assert not mixed
+    assert {r.source for r in state.sources_with_last_good(spark, path).collect()} == {"s/1 = é", "t", "u", "v"}
+    for name in ("s/1 = é", "t", "v"):  # no run's items were lost
+        assert [(r.n, r["count"]) for r in state.last_good(spark, path, name).groupBy("n").count().collect()] == [(2, 40)]
+    assert state.last_good(spark, path, "u").count() == 1 and len(versions.VersionedParts(spark, path).files.names("_versions")) <= versions.KEPT + 1
