@@ -335,8 +335,17 @@ def extract_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     the field's first node.  Pages: source, page_id, url, html.
     """
     each = rules.groupBy("source").agg(F.first("item").alias("rule_item"), F.array_sort(F.collect_list(F.struct("field", "css", "attr", F.coalesce("post", F.expr("array()").cast("array<string>")).alias("post"), "is_list"))).alias("rules"))
-    joined = pages.select("source", F.col("page_id").cast("long").alias("page_id"), "url", "html").join(each, "source")
+    return _found(pages.select("source", "page_id", "url", "html").join(each, "source"))
 
+
+def extract_with(pages: DataFrame, item: str | None, rules: list[tuple[str, str, str, list[str], bool]]) -> DataFrame:
+    """:func:`extract_rules` of one source: the rules (field, css, attr, post, is_list) go with each page, so nothing is shuffled.  Pages: page_id, html."""
+    texts = lambda some: F.array(*map(F.lit, some)).cast("array<string>")
+    given = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(css).alias("css"), F.lit(attr).alias("attr"), texts(post).alias("post"), F.lit(many).alias("is_list")) for n, css, attr, post, many in rules])
+    return _found(pages.select(F.lit("").alias("source"), "page_id", F.lit("").alias("url"), "html", F.lit(item).cast("string").alias("rule_item"), given.alias("rules")))
+
+
+def _found(joined: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -367,4 +376,4 @@ def extract_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return joined.select("source", "page_id", "url", "html", "rule_item", "rules").mapInArrow(found, FOUND)
+    return joined.select("source", F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"), "rule_item", "rules").mapInArrow(found, FOUND)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions.casts import cast_column, cast_failed
 from tarnflow.functions.types import FieldType
+from tarnflow.operators.elements import extract_with
 from tarnflow.operators.nodes import SelectorError, matches, match_positions
 
 
@@ -79,6 +80,20 @@ def extract_raw(nodes: DataFrame, item: str | None, fields: dict[str, tuple[Fiel
     return rows.groupBy("page_id", "item").agg(*aggs)
 
 
+def extract_pages(pages: DataFrame, item: str | None, fields: dict[str, tuple[FieldType, Selector]]) -> DataFrame:
+    """As :func:`extract_raw`, from pages (page_id, html) that are parsed once: with full CSS, and linear in a page's length however deep it is.
+
+    ``f__sig`` is besides the signature (tag, classes, ancestors) of a field's first node.
+    """
+    rules = [(n, s.css, s.attr, list(s.post), ft.is_list) for n, (ft, s) in fields.items()]
+    found, aggs = extract_with(pages, item, rules), []
+    for name, (ft, _) in fields.items():
+        own = F.first(F.when(F.col("field") == name, F.struct("raws", "n_nodes", F.when(F.col("tag").isNotNull(), F.struct("tag", "classes", "ancestors")).alias("sig"))), True)
+        value = own["raws"] if ft.is_list else F.try_element_at(own["raws"], F.lit(1))
+        aggs += [value.alias(name), own["n_nodes"].cast("long").alias(f"{name}__nodes"), own["sig"].alias(f"{name}__sig")]
+    return found.groupBy("page_id", "item").agg(*aggs)
+
+
 def cast_items(raw: DataFrame, fields: dict[str, FieldType], base: Column | None = None) -> DataFrame:
     """page_id, item and the fields cast to their types; what does not fit is null."""
     return raw.select("page_id", "item", *[cast_column(F.col(n), ft, base).alias(n) for n, ft in fields.items()])

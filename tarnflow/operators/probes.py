@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions.casts import cast_column, cast_failed
 from tarnflow.functions.types import FieldType
 from tarnflow.operators import shapes
-from tarnflow.operators.extraction import Selector, _hit, extract_raw, node_value, scoped
+from tarnflow.operators.extraction import Selector, _hit, extract_pages, extract_raw, node_value, scoped
 
 #: Nodes of an item, nodes in all, values for the shape and stored samples with their length.
 PER_ITEM, NODES_SEEN, SHAPE_VALUES, SAMPLES, SAMPLE_CHARS = 2, 50, 20, 3, 80
@@ -82,8 +82,9 @@ def probe(nodes: DataFrame, item: str | None, tries: Fields, base: Column | None
     field, scopes, matched_scopes, cast_ok, cast_fail (a blank value where one is
     required counts), raws (the first NODES_SEEN values).  All selectors are
     tried in one pass over the nodes, and any number of pages counts together.
+    ``nodes`` may also be pages (page_id, html); then selectors are full CSS.
     """
-    raw = extract_raw(nodes, item, tries)
+    raw = extract_pages(nodes, item, tries) if "html" in nodes.columns else extract_raw(nodes, item, tries)
     each = []
     for n, (ft, _) in tries.items():
         col = F.col(n)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import extraction, nodes
+from tarnflow.operators import extraction
 from tarnflow.plans import heal, runs
 from tarnflow.plans.compiling import SourceSpec
 from tarnflow.plans.planner import drop_all_null
@@ -125,7 +125,7 @@ def lookup(spark: SparkSession, spec: LookupSpec, item: str | None, locks: list[
 def _items(spec: LookupSpec, item: str | None, locks: list[dict], pages: DataFrame) -> DataFrame:
     """Items with any value; addresses in them are resolved against their own page's."""
     fields = runs.selectors(spec.source, locks)
-    raw = extraction.extract_raw(nodes.page_nodes(pages), item, fields)
+    raw = extraction.extract_pages(pages, item, fields)
     based = raw.join(pages.select("page_id", F.coalesce("url_final", "url").alias("_base")), "page_id")
     return drop_all_null(extraction.cast_items(based, {n: ft for n, (ft, _) in fields.items()}, F.col("_base")), list(fields))
 

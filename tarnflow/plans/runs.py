@@ -64,17 +64,18 @@ def selectors(spec: SourceSpec, locks: list[dict]) -> probes.Fields:
     return {r["field"]: (spec.fields[r["field"]].ft, Selector(r["css"], r["attr"])) for r in locks}
 
 
-def source_statistics(found: DataFrame, raw: DataFrame, item: str | None, spec: SourceSpec, locks: list[dict], n_pages: int, base: Column | None = None) -> DataFrame:
+def source_statistics(raw: DataFrame, spec: SourceSpec, locks: list[dict], n_pages: int, base: Column | None = None) -> DataFrame:
     """Per field what :func:`drift.drift_causes` takes, with counts as means of a page."""
     fields = selectors(spec, locks)
     stats = extraction.field_statistics(raw, {n: ft for n, (ft, _) in fields.items()}, base)
     per_page = {c: (F.col(c) / n_pages) for c in ("match_count",)}
     kinds = "field string, value_shape string, tag string, class_tokens array<string>, ancestor_sig string"
-    old = found.sparkSession.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in locks], kinds)
+    old = raw.sparkSession.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in locks], kinds)
     firsts = [F.struct(F.lit(n).alias("field"), (F.try_element_at(F.col(n), F.lit(1)) if ft.is_list else F.col(n)).alias("raw")) for n, (ft, _) in fields.items()]
     shaped = raw.select(F.explode(F.array(*firsts)).alias("x")).select("x.*").join(F.broadcast(old.select("field", "value_shape")), "field")
     ratio = shaped.groupBy("field").agg(shapes.shape_ratio(F.trim(F.substring("raw", 1, shapes.SHAPE_CHARS)), F.nullif(F.col("value_shape"), F.lit(""))).alias("shape_ratio"))
-    now = probes.matched_nodes(found, item, fields).groupBy("field").agg(F.min_by("sig", F.struct("page_id", "item", "ix")).alias("sig"))
+    signed = raw.select("page_id", "item", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"{n}__sig").alias("sig")) for n in fields])).alias("x")).select("page_id", "item", "x.*")
+    now = signed.where("sig IS NOT NULL").groupBy("field").agg(F.min_by("sig", F.struct("page_id", "item")).alias("sig"))
     alike = now.join(old, "field").select("field", shapes.node_similarity(F.col("sig.tag"), F.col("sig.classes"), F.col("sig.ancestors"), F.col("tag"), F.col("class_tokens"), F.col("ancestor_sig")).alias("similarity"))
     out = stats.join(F.broadcast(ratio), "field", "left").join(F.broadcast(alike), "field", "left")
     return out.withColumns(per_page | {"similarity": F.coalesce("similarity", F.lit(0.0))})
@@ -89,7 +90,7 @@ def drift_of(stats: list[dict], spec: SourceSpec, locks: list[dict], n_pages: in
     return {r["field"]: r["causes"] for r in df.withColumn("causes", drift.drift_causes(limits)).where(F.size("causes") > 0).select("field", "causes").collect()}
 
 
-def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dict], causes: dict[str, list[str]], n_pages: int, base: Column | None = None, complete: Callable[[str], str] | None = None, forced: bool = False, html: str = "") -> tuple[list[dict], dict[str, dict]]:
+def repair(pages: DataFrame, item: str | None, spec: SourceSpec, locks: list[dict], causes: dict[str, list[str]], n_pages: int, base: Column | None = None, complete: Callable[[str], str] | None = None, forced: bool = False, html: str = "") -> tuple[list[dict], dict[str, dict]]:
     """(locks after the repair ladder, what was chosen for each healed field).
 
     Stored fallbacks come first, then ranked candidates; what passes all gates is
@@ -98,7 +99,8 @@ def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dic
     sees the parts of ``html`` around the field's old values.
     A field with a manual selector is never given another.
     """
-    spark, lock_of = found.sparkSession, {r["field"]: r for r in locks}
+    spark, lock_of = pages.sparkSession, {r["field"]: r for r in locks}
+    found = stored(nodes.page_nodes(pages))  # candidates are read off the nodes; selectors run on the pages
     free = {n: spec.fields[n] for n in causes if n in lock_of and spec.fields[n].selector is None}
     ranked = ranked_candidates(found, item, free, base, heal.RUNG_LIMITS[2], lock_of)
     tries: dict[str, tuple[str, int, int, Selector]] = {}
@@ -110,13 +112,13 @@ def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dic
                 if s.css not in seen:
                     seen.add(s.css)
                     tries[f"{name}_{rung}_{rank}"] = (name, rung, rank, s)
-    chosen = _gated(spark, found, item, spec, lock_of, tries, n_pages, base) if tries else {}
+    chosen = _gated(spark, found, pages, item, spec, lock_of, tries, n_pages, base) if tries else {}
     for name in free:
         if name not in chosen and complete and (forced or lock_of[name]["status"] != heal.BROKEN):
             snippet = pruning.region_html(html, lock_of[name]["samples"], lock_of[name]["value_shape"]) if html else ""
-            if s := proposed(complete, found, item, name, free[name], snippet, base, heal.RUNG_LIMITS[3]):
+            if s := proposed(complete, pages, item, name, free[name], snippet, base, heal.RUNG_LIMITS[3]):
                 tries[f"{name}_3_1"] = (name, 3, 1, s)
-                chosen |= _gated(spark, found, item, spec, lock_of, {f"{name}_3_1": tries[f"{name}_3_1"]}, n_pages, base)
+                chosen |= _gated(spark, found, pages, item, spec, lock_of, {f"{name}_3_1": tries[f"{name}_3_1"]}, n_pages, base)
     after = heal.healed_locks(
         spark.createDataFrame(locks, state.LOCKS),
         spark.createDataFrame([(spec.name, n) for n in causes], "source string, field string"),
@@ -125,9 +127,9 @@ def repair(found: DataFrame, item: str | None, spec: SourceSpec, locks: list[dic
     return [r.asDict(recursive=True) for r in after.orderBy("field_order").collect()], chosen
 
 
-def _gated(spark: SparkSession, found: DataFrame, item: str | None, spec: SourceSpec, lock_of: dict[str, dict], tries: dict[str, tuple[str, int, int, Selector]], n_pages: int, base: Column | None) -> dict[str, dict]:
+def _gated(spark: SparkSession, found: DataFrame, pages: DataFrame, item: str | None, spec: SourceSpec, lock_of: dict[str, dict], tries: dict[str, tuple[str, int, int, Selector]], n_pages: int, base: Column | None) -> dict[str, dict]:
     """What the ladder gives to each field among the selectors that pass every gate."""
-    tried = probes.probe(found, item, {k: (spec.fields[name].ft, s) for k, (name, _, _, s) in tries.items()}, base)
+    tried = probes.probe(pages, item, {k: (spec.fields[name].ft, s) for k, (name, _, _, s) in tries.items()}, base)
     kinds = "key string, source string, field string, field_order int, rung int, rank int, css string, attr string, nullable boolean, min_items long, match_count_ema double, value_shape string, samples array<string>"
     order = list(spec.fields)
     rows = [(k, spec.name, n, order.index(n), rung, rank, s.css, s.attr, spec.fields[n].ft.nullable, spec.min_items, lock_of[n]["match_count_ema"], lock_of[n]["value_shape"] or None, lock_of[n]["samples"]) for k, (n, rung, rank, s) in tries.items()]
@@ -175,9 +177,9 @@ def run_source(spark: SparkSession, spec: SourceSpec, item: str | None, locks: l
     if not fine:
         return stale("blocked", seen[0]["reason"] if seen else "no page", EXIT["blocked"])
     n_pages = fine[0]["n"]
-    found = nodes.page_nodes(judged.where("reason IS NULL"))
-    raw = stored(extraction.extract_raw(found, item, selectors(spec, locks)))
-    stats = source_statistics(found, raw, item, spec, locks, n_pages, base)
+    genuine = judged.where("reason IS NULL").select("page_id", "html")
+    raw = stored(extraction.extract_pages(genuine, item, selectors(spec, locks)))
+    stats = source_statistics(raw, spec, locks, n_pages, base)
     rows = [r.asDict() for r in stats.collect()]
     out.causes = drift_of(rows, spec, locks, n_pages, spark)
     if forced and not out.causes:
@@ -189,7 +191,7 @@ def run_source(spark: SparkSession, spec: SourceSpec, item: str | None, locks: l
     before = {r["field"]: r for r in locks}
     if out.causes:
         html = judged.where("reason IS NULL").orderBy("page_id").select("html").first()["html"] if complete else ""
-        out.locks, chosen = repair(stored(found), item, spec, locks, out.causes, n_pages, base, complete, forced, html or "")
+        out.locks, chosen = repair(genuine, item, spec, locks, out.causes, n_pages, base, complete, forced, html or "")
         for r in out.locks:
             n = r["field"]
             if n in chosen:
@@ -198,8 +200,8 @@ def run_source(spark: SparkSession, spec: SourceSpec, item: str | None, locks: l
                 out.healed += [] if thrash else [n]
             elif n in out.causes:
                 out.events.append({"source": spec.name, "event": "heal-failed", "field": n, "cause": out.causes[n]})
-        raw = stored(extraction.extract_raw(found, item, selectors(spec, out.locks)))
-        rows = [r.asDict() for r in source_statistics(found, raw, item, spec, out.locks, n_pages, base).collect()]
+        raw = stored(extraction.extract_pages(genuine, item, selectors(spec, out.locks)))
+        rows = [r.asDict() for r in source_statistics(raw, spec, out.locks, n_pages, base).collect()]
     else:
         quiet = spark.createDataFrame([], "source string, field string")
         out.locks = [r.asDict(recursive=True) for r in heal.healed_locks(spark.createDataFrame(locks, state.LOCKS), quiet, quiet.withColumns({"css": F.lit(""), "attr": F.lit("")})).orderBy("field_order").collect()]

@@ -101,3 +101,25 @@ def test_model_proposes_what_candidates_lack(spark):
 
     replies = iter(["SELECTOR: b\nATTR: text", "SELECTOR: b\nATTR: data-p"])
     assert proposed(lambda prompt: next(replies), found, "div.c", "price", spec.fields["price"], html) == Selector("b", "data-p")
+
+
+def test_pages_give_what_the_node_table_gives(spark):
+    from tarnflow.operators import extraction
+
+    some = page(spark, site(OLD), None, "", site(NEW), "<p>no item</p>")
+    fields = {"title": (parse_type("str"), Selector(".headline > a")), "up": (parse_type("int"), Selector("span", post=(r"regex:(\d+)",))), "links": (parse_type("list[str]"), Selector("a[href]", "href")), "none": (parse_type("str"), Selector("h9"))}
+    for item in ("article.story", None, "h9"):
+        by_nodes = extraction.extract_raw(nodes.page_nodes(some), item, fields)
+        from_pages = extraction.extract_pages(some, item, fields).select(by_nodes.columns)
+        if item is None:  # the node table has no row for a page without elements
+            from_pages = from_pages.where("page_id NOT IN (1, 2)")
+        assert sorted(map(str, from_pages.collect())) == sorted(map(str, by_nodes.collect()))
+
+
+def test_single_runs_read_full_css_and_deep_pages(spark):
+    spec = SourceSpec("list", {"odd": FieldSpec(parse_type("list[str]"), selector=Selector("li:nth-child(2n+1)")), "after": FieldSpec(parse_type("str"), selector=Selector("h2 + p ~ b:last-child"))}, item="main")
+    html = "<main><h2>t</h2><p>x</p><i>y</i><b>z</b></main>" .replace("<i>", "<ul>" + "".join(f"<li>{i}</li>" for i in range(5)) + "</ul><i>")
+    deep = "<div>" * 1500 + html + "</div>" * 1500
+    locks = [{"source": "list", "field": n, "field_order": k, "css": f.selector.css, "attr": "text", "fallbacks": [], "status": heal.VERIFIED, "confirm_runs": 0, "heal_count": 0, "value_shape": "", "samples": [], "match_count_ema": None, "null_rate_ema": None, "len_mean": None, "tag": "li" if k == 0 else "b", "class_tokens": [], "ancestor_sig": ""} for k, (n, f) in enumerate(spec.fields.items())]
+    done = runs.run_source(spark, spec, "main", locks, page(spark, html, deep), heal_allowed=False, base=F.lit(BASE))
+    assert [(r.odd, r.after) for r in done.items.orderBy("page_id").collect()] == [(["0", "2", "4"], "z")] * 2, (done.status, done.error, done.causes)
