@@ -74,7 +74,11 @@ def gate_verdicts(probes: DataFrame) -> DataFrame:
 
 
 def free_selectors(candidates: DataFrame, locks: DataFrame) -> DataFrame:
-    """Candidates whose (css, attr) no other field of the source uses."""
-    other = locks.select("source", F.col("field").alias("_other"), "css", "attr")
-    taken = candidates.join(other, ["source", "css", "attr"]).where(F.col("field") != F.col("_other")).select("source", "field", "css", "attr").distinct()
-    return candidates.join(taken, ["source", "field", "css", "attr"], "left_anti")
+    """Candidates whose (css, attr) no other field of the source uses.
+
+    Locks come down to the least and the greatest field of each selector: a third
+    one differs from at least one of them, so no pairs of fields are formed.
+    """
+    users = locks.groupBy("source", "css", "attr").agg(F.min("field").alias("_first"), F.max("field").alias("_last"))
+    other = (F.col("_first") != F.col("field")) | (F.col("_last") != F.col("field"))
+    return candidates.join(users, ["source", "css", "attr"], "left").where(~F.coalesce(other, F.lit(False))).select(*candidates.columns)

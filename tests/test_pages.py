@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +136,21 @@ def test_streams(spark, tmp_path):
     out = ema.writeStream.format("memory").queryName("ema_out").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     out.awaitTermination()
     assert {r.k: round(r.ema, 6) for r in spark.table("ema_out").orderBy("n").collect()} == {1: 18.1, 2: 5.0}
+
+
+def test_free_selectors_form_no_pairs_of_fields(spark):
+    """Every field of one selector but a lone lock's own is taken, at a size where pairs (ten thousand million) would take minutes; odd rows as by brute force."""
+    rng = random.Random(3)
+    kinds = "source string, field long, css string, attr string"
+    one = lambda: (rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 4, None]), rng.choice(["p", "q", "r", None]), rng.choice(["text", "href"]))
+    some, locks = [one() for _ in range(120)], [one() for _ in range(14)]
+    taken = lambda c: any(None not in (*c, *o) and o[0] == c[0] and o[2:] == c[2:] and o[1] != c[1] for o in locks)
+    want = sorted((c for c in some if not taken(c)), key=str)
+    assert 0 < len(want) < len(some)
+    got = drift.free_selectors(spark.createDataFrame(some, kinds), spark.createDataFrame(locks, kinds)).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    hot = spark.range(100_000).select(F.lit("a").alias("source"), F.col("id").alias("field"), F.lit("p").alias("css"), F.lit("text").alias("attr"))
+    start = time.monotonic()
+    assert drift.free_selectors(hot, hot).count() == 0
+    assert [r.field for r in drift.free_selectors(hot, hot.where("field = 7")).collect()] == [7]
+    assert time.monotonic() - start < 30
