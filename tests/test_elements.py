@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from tarnflow.operators import elements
 from tarnflow.operators.elements import Page, page_elements, parse_selector, select
 from tarnflow.operators.nodes import SelectorError
 
@@ -101,3 +102,19 @@ def test_table(spark):
     got = page_elements(spark.createDataFrame(rows, "page_id long, html string")).orderBy("page_id", "ix").collect()
     assert [(r.page_id, r.ix, r.end, r.parent, r.depth, r.tag, r.nth, r.nth_last, r.text) for r in got] == [(1, 0, 3, -1, 0, "ul", 1, 3, ""), (1, 1, 1, 0, 1, "li", 1, 2, "a"), (1, 2, 3, 0, 1, "li", 2, 1, "b"), (1, 3, 3, 2, 2, "b", 1, 1, "c"), (1, 4, 4, -1, 0, "p", 2, 2, "d"), (1, 5, 5, -1, 0, "div", 3, 1, "e")]
     assert got[2].classes == ["k"] and got[2].attrs == {"class": "k"}
+
+
+def test_pages_come_to_python_in_small_batches(spark):
+    """10,000 pages a batch, Spark's own setting, let a worker's memory grow with the table; a smaller setting of the caller's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rules = spark.createDataFrame([("s", None, "n", "li", "text", None, True)], elements.RULES)
+    pages = spark.range(1200).selectExpr("'s' AS source", "id AS page_id", "'' AS url", "concat('<li>', id, '</li>') AS html")
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", elements.BATCH_ROWS), ("0", elements.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(key, given)
+            found = elements.extract_rules(pages, rules)
+            assert int(spark.conf.get(key)) == want <= 500
+        assert sorted(int(r.raws[0]) for r in found.collect()) == list(range(1200))
+    finally:
+        spark.conf.set(key, before)
