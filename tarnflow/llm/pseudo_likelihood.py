@@ -10,8 +10,8 @@ a document is its pseudo-log-likelihood.
   place costs ``CLASSES + CLASS_WORDS`` outputs and not the whole vocabulary.
   Output biases start at the corpus's own frequencies.
 * Training, in numpy inside the tasks: ROUNDS passes, each over its share of the
-  documents, so that every document is used once and one place in MASK_EVERY of
-  it is masked and predicted.  Each task trains a copy on all its documents and
+  documents, so that every document is used once and every place of it is masked
+  and predicted: a place's own token is never among its neighbours.  Each task trains a copy on all its documents and
   hands back its parameters; Spark sums them, weighted by places, row by row of
   the matrices, and only the mean reaches the driver.  What is gathered grows
   with the number of tasks, what reaches the driver does not.
@@ -34,7 +34,7 @@ from tarnflow.llm.wordshape import shaped
 CLASSES, CLASS_WORDS, SHAPES = 32, 64, 256
 VOCABULARY = CLASSES * CLASS_WORDS
 WIDTH, SIDES = 16, (-2, -1, 1, 2)
-ROUNDS, MASK_EVERY, BATCH, RATE = 3, 4, 1024, 0.08
+ROUNDS, BATCH, RATE = 3, 1024, 0.08
 #: Words counted together before their counts are handed on, and rows of counts handed on at once.
 BLOCK_WORDS, COUNT_ROWS = 2_000_000, 1 << 16
 #: Places that are scored at once.
@@ -221,15 +221,14 @@ def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((words, net))  # VOCABULARY * WIDTH numbers, whatever the corpus
 
-        def trained(batches: Batches, sent=sent, turn=turn) -> Batches:
+        def trained(batches: Batches, sent=sent) -> Batches:
             words, start = sent.value
             net = Network(words.counts).fill(start.flat())
             trainer, places, waiting, size = Trainer(net), 0, [], 0
             for batch in batches:
                 for _, _, data, ends in text_steps(batch):
                     token, doc = words.tokens(data, ends)
-                    masked = slice(turn % MASK_EVERY, None, MASK_EVERY)
-                    waiting.append((contexts(token, doc)[masked], token[masked]))
+                    waiting.append((contexts(token, doc), token))
                     size += len(waiting[-1][1])
                     if size >= BATCH:
                         context, target = (np.concatenate(x) for x in zip(*waiting))

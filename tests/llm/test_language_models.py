@@ -115,3 +115,13 @@ def test_pseudo_likelihood_beats_unigrams_on_held_out_texts(spark):
     total = sum(counts.values())
     unigram = [sum(math.log(counts[w] / total) for w in t.split()) / 150 for _, t in new]
     assert np.mean(scores) > np.mean(unigram) + 0.3
+
+
+def test_every_place_of_a_text_is_trained_on(spark):
+    """Each text repeats four words, so places 3, 7, ... of all texts hold the same word: it is predicted as well as the others."""
+    rows = [(i, "bar fen gim dol " * 10) for i in range(3000)]
+    words, net = pseudo_likelihood.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    token, doc = words.tokens(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([160]))
+    p = net.log_p(pseudo_likelihood.contexts(token, doc), token, net.mix_tables())
+    by_place = [float(p[k::4].mean()) for k in range(4)]
+    assert len(token) == 40 and min(by_place) > -1, by_place
