@@ -11,32 +11,46 @@ Words that trusted text rarely has are replaced by their shape, and a word that
 repeats the one before by a sign of its own, so the model judges odd spellings
 and repetition and not rare names.
 
-The model is fitted on a bounded number of labelled documents; so its tables are
-bounded and go to every worker.  Scoring covers every document and whole texts
-in one scan without a shuffle; what is joined for the thresholds are narrow rows.
+The model is fitted on all trusted documents but one in HELD_OUT, so its n-grams
+grow with the corpus and stay a table of Spark.  The log-probability of a word is
+a sum of four terms: of its unigram and its context word, which depend on the
+vocabulary only and are known to every task, and of its pair, of its context pair
+and of its trigram, where trusted text has them.  Terms of the most frequent
+n-grams are known to every task, too; all others are found by one join.  Large
+fits and joins go by parts, so that only a part's shuffle lies on disk at once.
 """
 
 from __future__ import annotations
 
+import gc
+import uuid
 import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import bounded_batches, memory_returned, mix, text_steps, written
-from tarnflow.llm.wordshape import known_or_shape, shaped
+from tarnflow.llm.shared import bounded_batches, dropped, frequent_head, memory_returned, mix, scratch, text_steps, written
+from tarnflow.llm.wordshape import AGAIN, known_or_shape, shaped
 
-#: Labelled documents of a language that the model is fitted on at most, and words of them.
-TRUSTED_DOCUMENTS, TRUSTED_WORDS = 2000, 150_000
+#: Labelled documents of a language that the model is fitted on at most, and words of them; None: all.
+TRUSTED_DOCUMENTS: int | None = None
+TRUSTED_WORDS: int | None = None
 #: Characters that count as a word, and the share of the words that one document can have: of longer ones the start is fitted on.
 WORD_SIZE, LARGEST_SHARE = 6, 0.05
-#: Parts by a hash of the id in which a language's labelled documents are ranked first.
+#: Parts by a hash of the id in which a language's labelled documents are ranked.
 RANKED_APART = 64
+#: Parts of a fit and of a scoring at most, trigrams of trusted text for each, and trigrams of a bucket of the model.
+PARTS, PART_ROWS, BUCKET_ROWS = 8, 3_000_000, 400_000
+#: N-grams that every task knows at most, the most frequent ones, and their bytes.
+HEAD_ROWS, HEAD_BYTES = 1 << 20, 16 << 20
+#: Lists of ids up to this length are sent to every task, longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Of each 4 trusted documents one is never fitted on; it and all beyond the bounds set the threshold.
 HELD_OUT = 4
 #: Times that trusted text of a language must have a word for it to be known.
@@ -58,20 +72,44 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
 
 
+def _row() -> Column:
+    """A hash of what a score depends on: equal rows have equal scores."""
+    return F.xxhash64("doc_id", "lang", "text")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 def training_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, lang of what the model is fitted on: at most TRUSTED_DOCUMENTS of each language, in the order of a hash of the id.
+    """doc_id, text, lang of what the model is fitted on: all trusted documents but one of each HELD_OUT, in the order of a hash of the id.
 
-    Of each HELD_OUT one is left out, the second first: a language of two trusted documents has a model and a limit.
+    The second is the first to be left out: a language of two trusted documents has a model and a limit.
+    Where a bound is set, those beyond it are left out, too.
     """
-    most = int(TRUSTED_WORDS * LARGEST_SHARE * WORD_SIZE)
-    known = docs.select("doc_id", "lang", F.length("text").alias("size")).join(trusted_ids(labels), "doc_id").dropDuplicates(["doc_id"])
-    order = F.xxhash64("doc_id", F.lit(3))
-    some = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(RANKED_APART))).orderBy(order, "doc_id")
-    known = known.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= TRUSTED_DOCUMENTS)  # bounds what is ranked together
-    by_lang = Window.partitionBy("lang").orderBy(order, "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(by_lang)).withColumn("words", F.sum(F.least("size", F.lit(most)) / WORD_SIZE).over(by_lang)).where((F.col("nth") <= TRUSTED_DOCUMENTS) & (F.col("words") <= TRUSTED_WORDS))
-    ids = chosen.where(F.col("nth") % HELD_OUT != 2).select("doc_id")
-    return docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("text", F.substring("text", 1, most))
+    docs = docs.select("doc_id", "text", "lang")
+    order, bits = F.xxhash64("doc_id", F.lit(3)), RANKED_APART.bit_length() - 1
+    known = docs.select("doc_id", "lang", F.length("text").alias("size"), _row().alias("row")).join(trusted_ids(labels), "doc_id")
+    known = known.groupBy("doc_id").agg(F.min_by(F.struct("lang", "size", "row"), "row").alias("x"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies", "x.*")
+    # the parts are ranges of the hash: a rank is that within its part after all of the parts before
+    known = written(known.withColumn("part", F.shiftright(order, 64 - bits)))
+    ranked = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy(order, "doc_id")))
+    before = known.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("lang", "part", (F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")).alias("before"))  # RANKED_APART rows of a language
+    chosen = ranked.join(before, ["lang", "part"]).withColumn("nth", F.col("nth") + F.col("before"))
+    most = None
+    if TRUSTED_DOCUMENTS is not None:
+        chosen = chosen.where(F.col("nth") <= TRUSTED_DOCUMENTS)
+    if TRUSTED_WORDS is not None:
+        most = int(TRUSTED_WORDS * LARGEST_SHARE * WORD_SIZE)
+        words = F.sum(F.least("size", F.lit(most)) / WORD_SIZE).over(Window.partitionBy("lang").orderBy("nth"))
+        chosen = chosen.withColumn("words", words).where(F.col("words") <= TRUSTED_WORDS)
+    ids = written(chosen.where(F.col("nth") % HELD_OUT != 2).select(F.col("row").alias("its_row"), "copies"))
+    once = ids.where("copies = 1")
+    out = docs.join(_small(once, once.count()), _row() == F.col("its_row")).select("doc_id", "text", "lang")
+    if again := (repeated := ids.where("copies > 1")).count():
+        out = out.union(docs.join(_small(repeated, again), _row() == F.col("its_row")).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]))
+    return out if most is None else out.withColumn("text", F.substring("text", 1, most))
 
 
 def _lang_hash(lang: str) -> np.uint64:
@@ -89,137 +127,240 @@ def _word_counts(batches: Batches) -> Batches:
     for batch in batches:
         langs = np.array([_lang_hash(x) for x in batch.column(1).to_pylist()], np.uint64)
         for i, _, data, ends in text_steps(batch, "text"):
-            word, _, _, doc = shaped(data, ends)
-            pairs, n = np.unique(np.stack([langs[i + doc], word]), axis=1, return_counts=True) if len(word) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "w", "n"])
+            word, shape, _, doc = shaped(data, ends)
+            if len(word):
+                _, first, n = np.unique(_key(langs[i + doc], word), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (langs[i + doc[first]], word[first], shape[first], n.astype(np.int64))], ["lang", "w", "shape", "n"])
 
 
 @dataclass
-class Tables:
-    """Sorted keys and values of the smoothed model."""
+class Vocabulary:
+    """Words that stand for themselves, by language; the sorted keys of all signs of trusted text, whose places are their numbers."""
 
     known: dict[str, np.ndarray]
-    full: dict[str, tuple[np.ndarray, np.ndarray]]
+    signs: np.ndarray
+
+    def numbered(self, data: np.ndarray, ends: np.ndarray, langs: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, u, v, w) of every word of texts laid end to end, as numbers of signs; -1: not in trusted text.  Before a text's start is a sign of its own."""
+        word, shape, again, doc = shaped(data, ends)
+        token = np.empty(len(word), np.uint64)
+        name_of = np.array(names, object)[doc] if len(doc) else np.zeros(0, object)
+        for name in set(names):
+            its = name_of == name
+            token[its] = known_or_shape(word[its], shape[its], again[its], self.known.get(name, word[:0]))
+        w, start = self.find(_key(langs[doc], token)), self.find(_key(langs, np.full(len(langs), _PAD)))[doc]
+        v, u = start.copy(), start
+        same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+        v[1:][same1] = w[:-1][same1]
+        u[2:][same2] = w[:-2][same2]
+        return doc, u, v, w
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.signs):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.signs, keys), len(self.signs) - 1)
+        return np.where(self.signs[at] == keys, at, -1).astype(np.int32)
+
+
+@dataclass
+class Local:
+    """What every task knows of the model: terms of signs by their numbers, what an unseen word of a language has, terms of the most frequent n-grams."""
+
+    words: Vocabulary
+    own: np.ndarray
+    back: np.ndarray
+    unseen: dict[int, float]
+    keys: np.ndarray
+    terms: np.ndarray
     rest: float = -20.0
 
-    def look(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have, values = self.full[name]
-        if not len(have):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return have[at] == keys, values[at]
-
-    def log_p(self, lang: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(w), np.float64)
-        yes, p = self.look("p3", _key(lang, u, v, w))
-        out[yes] = p[yes]
-        left = np.flatnonzero(~yes)
-        if len(left):
-            yes, back = self.look("b3", _key(lang[left], u[left], v[left]))
-            out[left] += np.where(yes, back, 0)
-            yes, p = self.look("p2", _key(lang[left], v[left], w[left]))
-            out[left] += np.where(yes, p, 0)
-            left = left[~yes]
-        if len(left):
-            yes, back = self.look("b2", _key(lang[left], v[left]))
-            out[left] += np.where(yes, back, 0)
-            yes, p = self.look("p1", _key(lang[left], w[left]))
-            unseen = self.look("p0", _key(lang[left], np.full(len(left), _PAD)))
-            out[left] += np.where(yes, p, np.where(unseen[0], unseen[1], self.rest))
-        return out
-
-
-def _trigrams(data: np.ndarray, ends: np.ndarray, langs: np.ndarray, known: dict[str, np.ndarray], names: list[str]):
-    """(document, u, v, w) of every word of texts laid end to end, padded at each text's start."""
-    word, shape, again, doc = shaped(data, ends)
-    token = np.empty(len(word), np.uint64)
-    name_of = np.array(names, object)[doc] if len(doc) else np.zeros(0, object)
-    for name in set(names):
-        its = name_of == name
-        token[its] = known_or_shape(word[its], shape[its], again[its], known.get(name, word[:0]))
-    v, u = np.full(len(token), _PAD), np.full(len(token), _PAD)
-    same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-    v[1:][same1] = token[:-1][same1]
-    u[2:][same2] = token[:-2][same2]
-    return doc, u, v, token
-
-
-def fit(train: DataFrame) -> Tables:
-    """Modified Kneser-Ney tables of the documents, for each language."""
-    spark = train.sparkSession
-    train = train.select("text", "lang")
+    def base(self, lang: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Terms of the word itself and of the one before."""
+        if not len(self.own):
+            return np.full(len(w), self.rest)
+        kinds, at = np.unique(lang, return_inverse=True)
+        unseen = np.array([self.unseen.get(k, self.rest) for k in kinds.tolist()])[at]
+        own = self.own[w]  # of signs without a count of their own: NaN
+        return np.where((w < 0) | np.isnan(own), unseen, own) + np.where(v < 0, 0, self.back[v])
+
+    def frequent(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the task knows the term, the term)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        yes = self.keys[at] == keys
+        return yes, np.where(yes, self.terms[at], 0)
+
+
+@dataclass
+class Model:
+    """``local``, and the table of the terms of all n-grams: key, x."""
+
+    local: Local
+    terms: DataFrame
+    parts: int
+    table: str
+
+    def forget(self) -> None:
+        """Delete the table."""
+        dropped(self.terms)
+        self.terms.sparkSession.sql(f"DROP TABLE {self.table}")
+
+
+#: Kinds of n-grams: pairs (v, w), contexts (u, v), trigrams.
+_PAIR, _CONTEXT, _TRIGRAM = (np.uint64(k) for k in (2, 3, 4))
+
+
+def _gram_key(kind: np.uint64, *numbers: np.ndarray) -> np.ndarray:
+    return _key(np.full(len(numbers[0]), kind), *[x.astype(np.uint64) for x in numbers])
+
+
+def _keyed(batches: Batches) -> Batches:
+    """Rows of u, v, w (absent ones: -1), x, n with their keys."""
+    for batch in batches:
+        u, v, w = (batch.column(k).to_numpy() for k in range(3))
+        key = np.where(u < 0, _gram_key(_PAIR, v, w), np.where(w < 0, _gram_key(_CONTEXT, u, v), _gram_key(_TRIGRAM, u, v, w)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(3), batch.column(4)], ["key", "x", "n"])
+
+
+def _vocabulary(train: DataFrame) -> Vocabulary:
     names = [r[0] for r in train.select("lang").distinct().collect()]
     of_hash = {int(_lang_hash(n).view(np.int64)): n for n in names}
-    words = train.select("text", "lang").mapInArrow(_word_counts, "lang long, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_KNOWN).toArrow()
-    lang, word = words["lang"].to_numpy(), words["w"].to_numpy().view(np.uint64)
+    words = written(train.mapInArrow(_word_counts, "lang long, w long, shape long, n long").groupBy("lang", "w").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")))
+    kept, rare = (x.toArrow() for x in (words.where(F.col("n") >= LEAST_KNOWN).select("lang", "w"), words.where(F.col("n") < LEAST_KNOWN).select("lang", F.col("shape").alias("w")).distinct()))
+    dropped(words)
+    lang, word = kept["lang"].to_numpy(), kept["w"].to_numpy().view(np.uint64)
     known = {of_hash[h]: np.sort(word[lang == h]) for h in np.unique(lang).tolist()}
-    sent = spark.sparkContext.broadcast(known)
+    signs = [_key(np.array([_lang_hash(n) for n in names], np.uint64), np.full(len(names), _PAD))]
+    for some in (kept, rare):
+        lang, word = (some[c].to_numpy().view(np.uint64) for c in ("lang", "w"))
+        signs += [_key(lang, word), _key(lang, mix(word ^ AGAIN))]
+    return Vocabulary(known, np.unique(np.concatenate(signs)))
+
+
+def fit(train: DataFrame) -> Model:
+    """Modified Kneser-Ney terms of the documents, for each language."""
+    spark = train.sparkSession
+    train = train.select("text", "lang")
+    vocabulary = _vocabulary(train)
+    sent = spark.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Batches) -> Batches:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             hashes = np.array([_lang_hash(x) for x in langs], np.uint64)
             for i, j, data, ends in text_steps(batch, "text"):
-                doc, u, v, w = _trigrams(data, ends, hashes[i:j], sent.value, langs[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (hashes[i:j][doc], u, v, w)], ["lang", "u", "v", "w"])
+                doc, u, v, w = sent.value.numbered(data, ends, hashes[i:j], langs[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[i:j][doc].view(np.int64)), pa.array(u), pa.array(v), pa.array(w)], ["lang", "u", "v", "w"])
 
-    n3 = written(train.mapInArrow(counted, "lang long, u long, v long, w long").groupBy("lang", "u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
+    n3 = written(train.mapInArrow(counted, "lang long, u int, v int, w int").groupBy("lang", "u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
     # each table is written once: planned anew for every use, its joins would fill the driver with exchanges
     n2 = written(n3.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("c")))  # continuation counts
     n1 = written(n2.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
+    size = n3.count()
+    parts, buckets = min(PARTS, max(1, -(-size // PART_ROWS))), max(8, -(-size // BUCKET_ROWS))
 
-    def discounted(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-        """(counts with their discounted share ``a``, contexts with the mass ``g`` that is left to lower orders)."""
+    def discounts(counts: DataFrame) -> DataFrame:
+        """One row for each language."""
         of = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
         y = F.col("t1") / F.greatest(F.col("t1") + 2 * F.col("t2"), F.lit(1))
         d = [F.greatest(F.lit(0.1), F.lit(float(k)) - (k + 1) * y * F.col(f"t{k + 1}") / F.greatest(F.col(f"t{k}"), F.lit(1))) for k in (1, 2, 3)]
-        of = of.select("lang", *[F.least(x, F.lit(k - 0.05)).alias(f"d{k}") for k, x in enumerate(d, 1)])
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = counts.join(F.broadcast(of), "lang").withColumn("cut", cut)  # one row for each language
-        totals = written(rows.groupBy("lang", *context).agg(F.sum("c").alias("total"), F.sum("cut").alias("mass")))
-        share = written(rows.join(totals, ["lang", *context]).withColumn("a", (F.col("c") - F.col("cut")) / F.col("total")))
-        return share, totals.withColumn("g", F.col("mass") / F.col("total"))
-
-    r1, g1 = discounted(n1, [])
-    size = n1.groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("types"))
-    unseen = written(g1.join(size, "lang").select("lang", (F.col("g") / F.col("types")).alias("p0")))
-    p1 = written(r1.join(F.broadcast(unseen), "lang").select("lang", "w", (F.col("a") + F.col("p0")).alias("p")))
-    r2, g2 = discounted(n2, ["v"])
-    p2 = written(r2.join(g2.select("lang", "v", "g"), ["lang", "v"]).join(p1.withColumnRenamed("p", "low"), ["lang", "w"]).select("lang", "v", "w", (F.col("a") + F.col("g") * F.col("low")).alias("p")))
-    r3, g3 = discounted(n3, ["u", "v"])
-    p3 = r3.join(g3.select("lang", "u", "v", "g"), ["lang", "u", "v"]).join(p2.withColumnRenamed("p", "low"), ["lang", "v", "w"]).select("lang", "u", "v", "w", (F.col("a") + F.col("g") * F.col("low")).alias("p"))
-
-    def table(df: DataFrame, keys: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
-        got = df.select("lang", *keys, F.log(value).cast("float").alias("x")).toArrow()
-        cols = [got[c].to_numpy().view(np.uint64) for c in ("lang", *keys)]
-        if value == "p0":
-            cols.append(np.full(len(got), _PAD))
-        key = _key(*cols)
-        at = np.argsort(key)
-        return key[at], got["x"].to_numpy()[at]
-
-    return Tables(known, {"p3": table(p3, ["u", "v", "w"], "p"), "p2": table(p2, ["v", "w"], "p"), "p1": table(p1, ["w"], "p"), "p0": table(unseen, [], "p0"), "b3": table(g3, ["u", "v"], "g"), "b2": table(g2, ["v"], "g")})
-
-
-def _scores(batch: pa.RecordBatch, langs: list[str], model: Tables) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, words, summed log-probabilities) of the texts of parts of a batch."""
-    hashes = np.array([_lang_hash(x) for x in langs], np.uint64)
-    for i, j, data, ends in text_steps(batch, "text"):
-        doc, u, v, w = _trigrams(data, ends, hashes[i:j], model.known, langs[i:j])
-        yield i, j, np.bincount(doc, minlength=j - i), np.bincount(doc, model.log_p(hashes[i:j][doc], u, v, w), minlength=j - i)
-
-
-def perplexities(docs: DataFrame, model: Tables) -> DataFrame:
-    """doc_id, lang, n_words and log_perplexity (null without words) of every row of doc_id, text, lang."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+        return written(of.select("lang", *[F.least(x, F.lit(k - 0.05)).alias(f"d{k}") for k, x in enumerate(d, 1)]))
 
-    def scored(batches: Batches) -> Batches:
+    def discounted(counts: DataFrame, of: DataFrame, context: list[str]) -> DataFrame:
+        """Counts with their discounted share ``a`` and the mass ``g`` that their context, seen ``total`` times, leaves to lower orders."""
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = counts.join(F.broadcast(of), "lang").withColumn("cut", cut)
+        totals = rows.groupBy("lang", *context).agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("g"))
+        return rows.join(totals, ["lang", *context]).withColumn("a", (F.col("c") - F.col("cut")) / F.col("total"))
+
+    one = written(discounted(n1, discounts(n1), []))
+    unseen = written(one.groupBy("lang").agg((F.first("g") / (F.count(F.lit(1)) + 1)).alias("p0")))
+    p1 = written(one.join(F.broadcast(unseen), "lang").select("lang", "w", (F.col("a") + F.col("p0")).alias("p1")))
+    own, back = np.full(len(vocabulary.signs), np.nan), np.zeros(len(vocabulary.signs))
+    got = p1.select("w", F.log("p1").alias("x")).toArrow()  # a row for each sign
+    own[got["w"].to_numpy()] = got["x"].to_numpy()
+    of2, of3 = discounts(n2), discounts(n3)
+    path, name = scratch(spark), f"tarnflow_terms_{uuid.uuid4().hex}"
+    for part in range(parts):
+        its = F.pmod("v", F.lit(parts)) == part
+        two = discounted(n2.where(its), of2, ["v"]).join(p1, ["lang", "w"]).withColumn("p2", F.col("a") + F.col("g") * F.col("p1"))
+        two = written(two.select("lang", "v", "w", "p2", "g", F.col("p1"), "total"))
+        got = two.groupBy("v").agg(F.log(F.first("g")).alias("x")).toArrow()  # a row for each sign
+        back[got["v"].to_numpy()] = got["x"].to_numpy()
+        three = written(discounted(n3.where(its), of3, ["u", "v"]).select("lang", "u", "v", "w", "c", "a", "g", "total"))
+        p3 = F.col("a") + F.col("g") * F.col("p2")
+        no = F.lit(-1)
+        pairs = two.select(no.alias("u"), "v", "w", (F.log("p2") - F.log("g") - F.log("p1")).alias("x"))
+        pairs = pairs.join(three.groupBy("v", "w").agg(F.sum("c").alias("n")), ["v", "w"]).select("u", "v", "w", "x", "n")
+        around = three.groupBy("u", "v").agg(F.log(F.first("g")).alias("x"), F.first("total").alias("n")).select("u", "v", no.alias("w"), "x", "n")
+        grams = three.join(two.select("lang", "v", "w", "p2"), ["lang", "v", "w"]).select("u", "v", "w", (F.log(p3) - F.log("g") - F.log("p2")).alias("x"), F.col("c").alias("n"))
+        rows = pairs.union(around).union(grams).select("u", "v", "w", F.col("x").cast("float").alias("x"), F.col("n").cast("long").alias("n"))
+        rows.mapInArrow(_keyed, "key long, x float, n long").repartition(buckets, "key").write.mode("append").bucketBy(buckets, "key").option("path", path).saveAsTable(name)
+        dropped(two)
+        dropped(three)
+        _shuffles_freed(spark)
+    dropped(n3)
+    dropped(n2)
+    terms = spark.table(name)
+    often, _ = frequent_head(terms, "n", F.lit(12), HEAD_ROWS, HEAD_BYTES)
+    head = terms.where(often).select("key", "x").toArrow()
+    keys = head["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    p0 = {int(np.int64(r["lang"]).view(np.uint64)): r["x"] for r in unseen.select("lang", F.log("p0").alias("x")).collect()}
+    return Model(Local(vocabulary, own, back, p0, keys[order], head["x"].to_numpy()[order]), terms.select("key", "x"), parts, name)
+
+
+def _shuffles_freed(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that nothing refers to when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _asked(local: Broadcast) -> Callable[[Batches], Batches]:
+    """Of each row its known terms and words in one row of ``row, x, n_words``, and the keys of the terms to be joined, one in a row."""
+
+    def asked(batches: Batches) -> Batches:
+        model = local.value
         for batch in batches:
-            for i, j, n, total in _scores(batch, batch.column(2).to_pylist(), sent.value):
-                mean = pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), mean], ["doc_id", "lang", "n_words", "log_perplexity"])
+            langs = batch.column(2).to_pylist()
+            hashes = np.array([_lang_hash(x) for x in langs], np.uint64)
+            row = batch.column(0).to_numpy()
+            for i, j, data, ends in text_steps(batch, "text"):
+                doc, u, v, w = model.words.numbered(data, ends, hashes[i:j], langs[i:j])
+                total = np.bincount(doc, model.base(hashes[i:j][doc], v, w), minlength=j - i)
+                left = []
+                for kind, parts in ((_PAIR, (v, w)), (_CONTEXT, (u, v)), (_TRIGRAM, (u, v, w))):
+                    seen = np.logical_and.reduce([x >= 0 for x in parts])
+                    key, its = _gram_key(kind, *[x[seen] for x in parts]), doc[seen]
+                    yes, x = model.frequent(key)
+                    total += np.bincount(its, x, minlength=j - i)
+                    left.append((key[~yes], its[~yes]))
+                key, its = (np.concatenate(x) for x in zip(*left))
+                none = len(key)
+                rows = np.concatenate([row[i:j], row[i:j][its]])
+                key = np.concatenate([row[i:j], key.view(np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows), pa.concat_arrays([pa.array(total), pa.nulls(none, pa.float64())]), pa.concat_arrays([pa.array(np.bincount(doc, minlength=j - i).astype(np.int64)), pa.nulls(none, pa.int64())])], ["key", "row", "known", "n_words"])
+        memory_returned()
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(scored, "doc_id long, lang string, n_words long, log_perplexity double")
+    return asked
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, n_words and log_perplexity (null without words) of every row of doc_id, text, lang."""
+    spark = docs.sparkSession
+    rows = docs.select(_row().alias("row"), "doc_id", "text", "lang")
+    asked, path = _asked(spark.sparkContext.broadcast(model.local)), scratch(spark)
+    x = F.when(F.col("n_words").isNull(), F.coalesce("x", F.lit(0.0))).otherwise(F.col("known"))
+    for part in range(model.parts):
+        some = rows.where(F.pmod("row", F.lit(model.parts)) == part).select("row", "text", "lang")
+        found = some.mapInArrow(asked, "key long, row long, known double, n_words long").join(model.terms.hint("shuffle_hash"), "key", "left")
+        # equal rows are summed together: their mean is that of one
+        found.groupBy("row").agg(F.sum(x).alias("total"), F.sum("n_words").alias("words"), F.count("n_words").alias("copies")).write.mode("append").parquet(path)
+        _shuffles_freed(spark)
+    sums = spark.read.schema("row long, total double, words long, copies long").parquet(path)
+    mean = F.when(F.col("words") > 0, -F.col("total") / F.col("words"))
+    return rows.drop("text").join(sums, "row").select("doc_id", "lang", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), mean.alias("log_perplexity"), "row")
 
 
 def limits_of(scores: DataFrame, labels: DataFrame, trained: DataFrame) -> dict[str, float]:
@@ -227,7 +368,7 @@ def limits_of(scores: DataFrame, labels: DataFrame, trained: DataFrame) -> dict[
 
     Warns of languages that have trusted text and no limit, as all their documents are kept.
     """
-    unseen = scores.where("log_perplexity IS NOT NULL").join(F.broadcast(trained.select("doc_id")), "doc_id", "left_anti").join(trusted_ids(labels), "doc_id", "left_semi")  # trained: bounded
+    unseen = scores.where("log_perplexity IS NOT NULL").join(trained.select("doc_id"), "doc_id", "left_anti").join(trusted_ids(labels), "doc_id", "left_semi")
     values = unseen.groupBy("lang", F.round("log_perplexity", PLACES).alias("x")).agg(F.count(F.lit(1)).alias("n"))
     limits = {r["lang"]: r["limit"] for r in values.groupBy("lang").agg(F.percentile("x", QUANTILE, F.col("n")).alias("limit")).collect()}  # one row for each language with trusted text
     if without := sorted({r[0] for r in trained.select("lang").distinct().collect()} - set(limits)):
@@ -235,10 +376,16 @@ def limits_of(scores: DataFrame, labels: DataFrame, trained: DataFrame) -> dict[
     return limits
 
 
-def _model(docs: DataFrame, labels: DataFrame) -> tuple[Tables, DataFrame]:
-    """The fitted tables, and the documents that they were fitted on."""
-    trained = written(training_documents(docs, labels))
-    return fit(trained), trained
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, n_words, log_perplexity, row, threshold and keep of every row of :func:`_documents`."""
+    trained = training_documents(docs, labels)
+    model = fit(trained)
+    scores = written(perplexities(docs, model))  # narrow rows, read for the limits and for the result
+    limits = docs.sparkSession.createDataFrame(list(limits_of(scores, labels, written(trained.select("doc_id", "lang"))).items()), "lang string, limit double")
+    model.forget()
+    scored = scores.join(F.broadcast(limits), "lang", "left")  # one row for each language with trusted text
+    scored = scored.withColumn("threshold", F.col("limit") + MARGIN + FEW_WORDS / F.sqrt(F.greatest("n_words", F.lit(1))))
+    return scored.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)))
 
 
 def classify(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,31 +395,11 @@ def classify(df: DataFrame, labels: DataFrame) -> DataFrame:
     as are documents of languages without trusted text.  A null language counts
     as a language of its own.  Repeated rows stay repeated; an empty table works.
     """
-    docs = _documents(df)
-    model, trained = _model(docs, labels)
-    scores = written(perplexities(docs, model))  # narrow rows, read for the limits and for the result
-    limits = df.sparkSession.createDataFrame(list(limits_of(scores, labels, trained).items()), "lang string, limit double")
-    scored = scores.join(F.broadcast(limits), "lang", "left")  # one row for each language with trusted text
-    scored = scored.withColumn("threshold", F.col("limit") + MARGIN + FEW_WORDS / F.sqrt(F.greatest("n_words", F.lit(1))))
-    return scored.select("doc_id", "lang", "n_words", "log_perplexity", "threshold", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    return _judged(_documents(df), labels).select("doc_id", "lang", "n_words", "log_perplexity", "threshold", "keep")
 
 
 def good_documents(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``df`` that :func:`classify` keeps, with all their columns; a scan for the limits and one to filter, no shuffle of texts."""
-    docs = _documents(df)
-    model, trained = _model(docs, labels)
-    most = limits_of(perplexities(docs, model), labels, trained)
-    sent = df.sparkSession.sparkContext.broadcast((model, most))
-
-    def kept(batches: Batches) -> Batches:
-        model, most = sent.value
-        for batch in batches:
-            langs = ["" if x is None else str(x) for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()]
-            limit = np.array([most.get(x, np.inf) for x in langs])
-            keep = np.ones(len(langs), bool)
-            for i, j, n, total in _scores(batch, langs, model):
-                keep[i:j] = (n == 0) | (-total / np.maximum(n, 1) <= limit[i:j] + MARGIN + FEW_WORDS / np.sqrt(np.maximum(n, 1)))
-            yield batch.filter(pa.array(keep))
-        memory_returned()
-
-    return df.mapInArrow(kept, df.schema)
+    """The rows of ``df`` that :func:`classify` keeps, with all their columns; texts are shuffled only where more than BROADCAST_IDS are rejected."""
+    bad = written(_judged(_documents(df), labels).where("NOT keep").select(F.col("row").alias("bad_row")).distinct())
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return df.join(_small(bad, bad.count()), own == F.col("bad_row"), "left_anti")

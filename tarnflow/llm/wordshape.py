@@ -13,7 +13,7 @@ _CLASS[65:91] = _UPPER
 _CLASS[48:58] = _DIGIT
 _CLASS[128:] = _LOWER
 _CASE = np.uint64(0x5851F42D4C957F2D)
-_AGAIN = np.uint64(0xD6E8FEB86659FD93)
+AGAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shaped(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,4 +45,4 @@ def known_or_shape(word: np.ndarray, shape: np.ndarray, again: np.ndarray, known
     if len(known):
         at = np.minimum(np.searchsorted(known, word), len(known) - 1)
         out = np.where(known[at] == word, word, shape)
-    return np.where(again, mix(out ^ _AGAIN), out)
+    return np.where(again, mix(out ^ AGAIN), out)

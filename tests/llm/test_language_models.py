@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnflow.llm import pseudo_likelihood, quality
 
@@ -97,6 +98,30 @@ def test_classify_is_that_of_plain_counts(spark, corpus):
             assert out[i].keep == (out[i].log_perplexity <= out[i].threshold)
 
 
+def test_all_trusted_documents_are_fitted_on_or_set_the_limit(spark):
+    rows = [(i, f"bar fen {i}", ("xx", "yy")[i % 20 == 0]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    trained = quality.training_documents(docs.union(docs.where("doc_id < 100")), labels).collect()
+    assert Counter(r.lang for r in trained) == {"xx": 2850, "yy": 150} and len({r.doc_id for r in trained}) == 3000
+
+
+def test_kneser_ney_by_parts_and_joins_is_that_of_plain_counts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(quality, "PART_ROWS", 1)
+    monkeypatch.setattr(quality, "PARTS", 3)
+    monkeypatch.setattr(quality, "HEAD_ROWS", 40)
+    train = corpus[:160]
+    model = quality.fit(frame(spark, train).repartition(5))
+    assert len(model.local.keys) <= 40 and model.parts == 3
+    plain = {lang: Plain([w for _, w, x in train if x == lang]) for lang in ("xx", "yy")}
+    rows = quality.perplexities(frame(spark, corpus + corpus[:5]), model).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _, _ in corpus + corpus[:5])
+    words = {i: (w, lang) for i, w, lang in corpus}
+    for r in rows:
+        w, lang = words[r.doc_id]
+        assert r.n_words == len(w) and r.log_perplexity == pytest.approx(plain[lang].log_perplexity(w), abs=2e-6)
+
+
 def test_nine_of_ten_bad_documents_are_rejected(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
