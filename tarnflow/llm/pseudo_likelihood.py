@@ -38,7 +38,7 @@ ROUNDS, BATCH, RATE = 3, 1024, 0.08
 #: Words counted together before their counts are handed on, and rows of counts handed on at once.
 BLOCK_WORDS, COUNT_ROWS = 2_000_000, 1 << 16
 #: Places that are scored at once.
-SCORE_STEP = 16_384
+SCORE_STEP = 4_096
 _COLUMNS = [f"c{i}" for i in range(WIDTH)]
 Batches = Iterator[pa.RecordBatch]
 
@@ -130,32 +130,32 @@ class Network:
             at += old.size
         return self
 
-    def _outputs(self, h: np.ndarray, target: np.ndarray):
-        """Yields (rows, class, log-probabilities over the class's words) and gives those of the classes first."""
-        logits = h @ self.uc.T + self.bc
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        yield logits
-        kind = target // CLASS_WORDS
+    def _outputs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class logits of every place, places in the order of their class, first of each class in it, logits over the class's words in that order)."""
+        kind = (target // CLASS_WORDS).astype(np.int8)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        sorted_h, inner = h[order], np.empty((len(h), CLASS_WORDS), np.float32)
         for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
+            if cuts[c] < cuts[c + 1]:
                 own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-                inner = h[rows] @ self.uw[own].T + self.bw[own]
-                inner -= inner.max(1, keepdims=True)
-                inner -= np.log(np.exp(inner).sum(1, keepdims=True))
-                yield rows, c, inner
+                np.matmul(sorted_h[cuts[c] : cuts[c + 1]], self.uw[own].T, out=inner[cuts[c] : cuts[c + 1]])
+        inner += self.bw.reshape(CLASSES, CLASS_WORDS)[kind[order]]
+        return h @ self.uc.T + self.bc, order, cuts, inner
 
     def log_p(self, context: np.ndarray, target: np.ndarray, mixed: list[np.ndarray]) -> np.ndarray:
         """Log-probability of each target between its neighbours; ``mixed``: :meth:`mix_tables`."""
         h = np.tanh(sum((mixed[k][context[:, k]] for k in range(1, len(SIDES))), mixed[0][context[:, 0]]) + self.b)
-        parts = self._outputs(h, target)
-        classes = next(parts)
-        out = classes[np.arange(len(target)), target // CLASS_WORDS].astype(np.float64)
-        for rows, c, inner in parts:
-            out[rows] += inner[np.arange(len(rows)), target[rows] - c * CLASS_WORDS]
+        logits, order, _, inner = self._outputs(h, target)
+        rows, sorted_target = np.arange(len(target)), target[order]
+        out = np.empty(len(target), np.float64)
+        for x, at, here in ((inner, sorted_target % CLASS_WORDS, order), (logits, target // CLASS_WORDS, None)):
+            x -= x.max(1, keepdims=True)
+            one = x[rows, at] - np.log(np.exp(x, out=x).sum(1))
+            if here is None:
+                out += one
+            else:
+                out[here] = one
         return out
 
     def mix_tables(self) -> list[np.ndarray]:
@@ -178,25 +178,33 @@ class Trainer:
         net, n = self.net, len(target)
         x = net.e[context].reshape(n, -1)
         h = np.tanh(x @ net.w + net.b)
-        parts = net._outputs(h, target)
-        d = np.exp(next(parts))
-        d[np.arange(n), target // CLASS_WORDS] -= 1
-        d /= n
+        d, order, cuts, inner = net._outputs(h, target)
+        rows, sorted_target, sorted_h = np.arange(n), target[order], h[order]
+        for p, at in ((d, target // CLASS_WORDS), (inner, sorted_target % CLASS_WORDS)):
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p *= 1 / (p.sum(1, keepdims=True) * np.float32(n))
+            p[rows, at] -= np.float32(1 / n)
+        sorted_dh = np.empty_like(h)
+        uw, bw = np.zeros_like(net.uw), np.zeros((CLASSES, CLASS_WORDS), np.float32)
+        for c in range(CLASSES):
+            its = slice(cuts[c], cuts[c + 1])
+            if cuts[c] < cuts[c + 1]:
+                own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
+                np.matmul(inner[its], net.uw[own], out=sorted_dh[its])
+                np.matmul(inner[its].T, sorted_h[its], out=uw[own])
+        some = np.flatnonzero(np.diff(cuts))
+        bw[some] = np.add.reduceat(inner, cuts[some], axis=0)
         dh = d @ net.uc
-        moves = [("uc", slice(None), d.T @ h), ("bc", slice(None), d.sum(0))]
-        for rows, c, inner in parts:
-            d = np.exp(inner)
-            d[np.arange(len(rows)), target[rows] - c * CLASS_WORDS] -= 1
-            d /= n
-            own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            dh[rows] += d @ net.uw[own]
-            moves += [("uw", own, d.T @ h[rows]), ("bw", own, d.sum(0))]
+        dh[order] += sorted_dh
         dh *= 1 - h * h
         dx = (dh @ net.w.T).reshape(-1, WIDTH)
-        flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        moves += [("w", slice(None), x.T @ dh), ("b", slice(None), dh.sum(0)), ("e", flat[order][first], np.add.reduceat(dx[order], first, axis=0))]
+        flat = context.ravel().astype(np.int16)  # numbers of 16 bits are sorted by radix
+        by = np.argsort(flat, kind="stable")
+        flat = flat[by]
+        first = np.flatnonzero(np.diff(flat, prepend=np.int16(-1)))
+        moves = [("uc", slice(None), d.T @ h), ("bc", slice(None), d.sum(0)), ("uw", slice(None), uw), ("bw", slice(None), bw.ravel())]
+        moves += [("w", slice(None), x.T @ dh), ("b", slice(None), dh.sum(0)), ("e", flat[first], np.add.reduceat(dx[by], first, axis=0))]
         for part, at, grad in moves:
             self._move(part, at, grad)
 

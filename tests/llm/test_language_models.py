@@ -150,3 +150,15 @@ def test_every_place_of_a_text_is_trained_on(spark):
     p = net.log_p(pseudo_likelihood.contexts(token, doc), token, net.mix_tables())
     by_place = [float(p[k::4].mean()) for k in range(4)]
     assert len(token) == 40 and min(by_place) > -1, by_place
+
+
+def test_a_step_takes_all_classes_at_once(monkeypatch):
+    rng, calls, exp = np.random.RandomState(3), [], np.exp
+    net = pseudo_likelihood.Network(np.arange(pseudo_likelihood.VOCABULARY) + 1.0)
+    context, target = (rng.randint(0, pseudo_likelihood.VOCABULARY, size).astype(np.int32) for size in ((1024, 4), 1024))
+    trainer = pseudo_likelihood.Trainer(net)
+    before = net.log_p(context, target, net.mix_tables()).mean()
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+    for _ in range(5):
+        trainer.step(context, target)
+    assert len(calls) == 10 and net.log_p(context, target, net.mix_tables()).mean() > before + 0.1
