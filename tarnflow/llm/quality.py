@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney trigrams of trusted text.
 
 Trusted documents (labelled good and not toxic) of each language give trigram
-counts; the smoothed probabilities come from count joins of the sharded n-gram
-tables (continuation counts, counts of counts, context totals).  Every document
+counts; the smoothed probabilities come from the n-grams grouped by context and
+then by pair (continuation counts, counts of counts, context totals).  Every document
 is scored by its perplexity under its language's model and rejected above a
 quantile of the perplexities of all trusted documents that the model was not
 fitted on.
@@ -16,13 +16,17 @@ grow with the corpus and stay a table of Spark.  The log-probability of a word i
 a sum of four terms: of its unigram and its context word, which depend on the
 vocabulary only and are known to every task, and of its pair, of its context pair
 and of its trigram, where trusted text has them.  Terms of the most frequent
-n-grams are known to every task, too; all others are found by one join.  Large
-fits and joins go by parts, so that only a part's shuffle lies on disk at once.
+n-grams are known to every task, too; all others are found by one join.
+
+N-grams travel in rows of arrays, one row for each bucket that a block of text
+has n-grams in.  A bucket of a hash of two signs holds the terms of that pair, of
+the trigrams that end in it and of the context that it is to the next word, so
+each word asks one bucket.  Scoring goes by parts of the documents, so that only
+a part's shuffle lies on disk at once.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 import warnings
 import zlib
@@ -35,8 +39,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import bounded_batches, dropped, frequent_head, memory_returned, mix, scratch, text_steps, written
-from tarnflow.llm.wordshape import AGAIN, known_or_shape, shaped
+from tarnflow.llm.shared import bounded_batches, dropped, memory_returned, mix, scratch, shuffles_deleted, text_steps, written
+from tarnflow.llm.wordshape import AGAIN, shaped
 
 #: Labelled documents of a language that the model is fitted on at most, and words of them; None: all.
 TRUSTED_DOCUMENTS: int | None = None
@@ -45,8 +49,12 @@ TRUSTED_WORDS: int | None = None
 WORD_SIZE, LARGEST_SHARE = 6, 0.05
 #: Parts by a hash of the id in which a language's labelled documents are ranked.
 RANKED_APART = 64
-#: Parts of a fit and of a scoring at most, trigrams of trusted text for each, and trigrams of a bucket of the model.
+#: Parts of a scoring at most, words of trusted text for each and for a bucket of the model.
 PARTS, PART_ROWS, BUCKET_ROWS = 8, 3_000_000, 400_000
+#: Shares in which trigrams by pair turn into terms.
+SHARES = 4
+#: Words whose trigrams a task counts together before it hands them on.
+BLOCK_WORDS = 1 << 19
 #: N-grams that every task knows at most, the most frequent ones, and their bytes.
 HEAD_ROWS, HEAD_BYTES = 1 << 20, 16 << 20
 #: Lists of ids up to this length are sent to every task, longer ones are joined by a shuffle.
@@ -133,12 +141,46 @@ def _word_counts(batches: Batches) -> Batches:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (langs[i + doc[first]], word[first], shape[first], n.astype(np.int64))], ["lang", "w", "shape", "n"])
 
 
+class Places:
+    """Places of 64-bit hashes in a sorted array of them, which an index over their first bits leads to."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
+        self.tries = int(counts.max())
+        self.keys = np.append(keys, np.uint64(0))  # one more, so that every place can be looked at
+
+    def __len__(self) -> int:
+        return len(self.keys) - 1
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1: it is not there."""
+        n = len(self)
+        out = np.full(len(keys), -1, np.int32)
+        at, left = self.first[(keys >> self.shift).astype(np.int64)], None  # None: all
+        for _ in range(self.tries):
+            its, asked = self.keys[at], keys if left is None else keys[left]
+            inside = at < n
+            hit = np.flatnonzero((its == asked) & inside)
+            out[hit if left is None else left[hit]] = at[hit]
+            more = np.flatnonzero((its < asked) & inside)
+            if not len(more):
+                break
+            at, left = at[more] + np.int32(1), more if left is None else left[more]
+        return out
+
+
 @dataclass
 class Vocabulary:
-    """Words that stand for themselves, by language; the sorted keys of all signs of trusted text, whose places are their numbers."""
+    """Words that stand for themselves, by language; the keys of all signs of trusted text, whose places are their numbers, and the number of each one's language; words of trusted text."""
 
-    known: dict[str, np.ndarray]
-    signs: np.ndarray
+    known: dict[str, Places]
+    signs: Places
+    lang: np.ndarray
+    langs: list[str]
+    size: int
 
     def numbered(self, data: np.ndarray, ends: np.ndarray, langs: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, u, v, w) of every word of texts laid end to end, as numbers of signs; -1: not in trusted text.  Before a text's start is a sign of its own."""
@@ -147,7 +189,7 @@ class Vocabulary:
         name_of = np.array(names, object)[doc] if len(doc) else np.zeros(0, object)
         for name in set(names):
             its = name_of == name
-            token[its] = known_or_shape(word[its], shape[its], again[its], self.known.get(name, word[:0]))
+            token[its] = self.known_or_shape(name, word[its], shape[its], again[its])
         w, start = self.find(_key(langs[doc], token)), self.find(_key(langs, np.full(len(langs), _PAD)))[doc]
         v, u = start.copy(), start
         same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
@@ -155,11 +197,12 @@ class Vocabulary:
         u[2:][same2] = w[:-2][same2]
         return doc, u, v, w
 
+    def known_or_shape(self, name: str, word: np.ndarray, shape: np.ndarray, again: np.ndarray) -> np.ndarray:
+        out = np.where(self.known[name].places(word) >= 0, word, shape) if name in self.known else shape
+        return np.where(again, mix(out ^ AGAIN), out)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.signs):
-            return np.full(len(keys), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.signs, keys), len(self.signs) - 1)
-        return np.where(self.signs[at] == keys, at, -1).astype(np.int32)
+        return self.signs.places(keys)
 
 
 @dataclass
@@ -170,7 +213,7 @@ class Local:
     own: np.ndarray
     back: np.ndarray
     unseen: dict[int, float]
-    keys: np.ndarray
+    keys: Places
     terms: np.ndarray
     rest: float = -20.0
 
@@ -185,20 +228,21 @@ class Local:
 
     def frequent(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether the task knows the term, the term)."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        yes = self.keys[at] == keys
-        return yes, np.where(yes, self.terms[at], 0)
+        at = self.keys.places(keys)
+        yes = at >= 0
+        x = np.zeros(len(keys))
+        x[yes] = self.terms[at[yes]]
+        return yes, x
 
 
 @dataclass
 class Model:
-    """``local``, and the table of the terms of all n-grams: key, x."""
+    """``local``, and the table of the terms of all n-grams: bucket, then arrays of key, x, n in the order of the keys."""
 
     local: Local
     terms: DataFrame
     parts: int
+    buckets: int
     table: str
 
     def forget(self) -> None:
@@ -207,35 +251,102 @@ class Model:
         self.terms.sparkSession.sql(f"DROP TABLE {self.table}")
 
 
-#: Kinds of n-grams: pairs (v, w), contexts (u, v), trigrams.
-_PAIR, _CONTEXT, _TRIGRAM = (np.uint64(k) for k in (2, 3, 4))
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of two signs; its rest by the number of buckets is their bucket."""
+    return mix(mix(v.astype(np.uint64)) ^ w.astype(np.uint64))
+
+
+def _trigram_key(u: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return mix(pair + (u.astype(np.uint64) + np.uint64(1)) * _PAD)
+
+
+#: A pair's key as a context.
+_CONTEXT = np.uint64(0x94D049BB133111EB)
+
+
+def _rows(keys: np.ndarray, buckets: int, **columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(buckets that have any of the keys, cuts between them, the columns in that order)."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int64)  # numbers of 16 bits are sorted by radix
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype if buckets < 1 << 15 else np.int64))
+    some = np.flatnonzero(np.diff(cuts))
+    return some, np.append(cuts[some], len(keys)), {k: x[order] for k, x in columns.items()}
+
 
+def _binary(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The bytes of the values between each cut and the next."""
+    values = np.ascontiguousarray(values)
+    offsets = (np.asarray(cuts) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
-def _gram_key(kind: np.uint64, *numbers: np.ndarray) -> np.ndarray:
-    return _key(np.full(len(numbers[0]), kind), *[x.astype(np.uint64) for x in numbers])
 
+def _packed(some: np.ndarray, cuts: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(some, np.int32)), *(_binary(cuts, x) for x in columns.values())], ["bucket", *columns])
 
-def _keyed(batches: Batches) -> Batches:
-    """Rows of u, v, w (absent ones: -1), x, n with their keys."""
+
+def _one(bucket: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return _packed(np.array([bucket]), np.array([0, len(next(iter(columns.values())))]), columns)
+
+
+_TYPES = {"u": np.int32, "v": np.int32, "w": np.int32, "c": np.int64, "a": np.float32, "g": np.float32, "key": np.uint64, "x": np.float32, "n": np.int64}
+
+
+def _values(rows: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    """The arrays of all rows, one after the other."""
+    return [np.frombuffer(b"".join(rows.column(k).to_pylist()), _TYPES[k]) for k in names]
+
+
+def _each(batches: Batches) -> Batches:
+    """One row at a time."""
     for batch in batches:
-        u, v, w = (batch.column(k).to_numpy() for k in range(3))
-        key = np.where(u < 0, _gram_key(_PAIR, v, w), np.where(w < 0, _gram_key(_CONTEXT, u, v), _gram_key(_TRIGRAM, u, v, w)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(3), batch.column(4)], ["key", "x", "n"])
+        for i in range(len(batch)):
+            yield batch.slice(i, 1)
+    memory_returned()
+
+
+def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns])
+    return np.flatnonzero(new)
+
+
+def _summed(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+    """Distinct trigrams in the order of their contexts, and their counts."""
+    order = np.lexsort((w, (u.astype(np.int64) << 32) | v))
+    u, v, w = u[order], v[order], w[order]
+    first = _firsts(u, v, w)
+    return {"u": u[first], "v": v[first], "w": w[first], "c": np.add.reduceat(c[order], first)}
+
+
+def _discounts(t: np.ndarray) -> np.ndarray:
+    """The discounts of counts 1, 2 and above of each language, by how many n-grams of it occur 1, 2, 3 and 4 times."""
+    y = t[:, 0] / np.maximum(t[:, 0] + 2 * t[:, 1], 1)
+    d = [np.maximum(0.1, k - (k + 1) * y * t[:, k] / np.maximum(t[:, k - 1], 1)) for k in (1, 2, 3)]
+    return np.stack([np.minimum(x, k - 0.05) for k, x in enumerate(d, 1)], 1)
+
+
+def _cut(d: np.ndarray, lang: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return d[lang, np.minimum(c, 3) - 1]
 
 
 def _vocabulary(train: DataFrame) -> Vocabulary:
-    names = [r[0] for r in train.select("lang").distinct().collect()]
-    of_hash = {int(_lang_hash(n).view(np.int64)): n for n in names}
+    names = sorted(r[0] for r in train.select("lang").distinct().collect())
+    of_hash = {int(_lang_hash(n).view(np.int64)): i for i, n in enumerate(names)}
     words = written(train.mapInArrow(_word_counts, "lang long, w long, shape long, n long").groupBy("lang", "w").agg(F.first("shape").alias("shape"), F.sum("n").alias("n")))
     kept, rare = (x.toArrow() for x in (words.where(F.col("n") >= LEAST_KNOWN).select("lang", "w"), words.where(F.col("n") < LEAST_KNOWN).select("lang", F.col("shape").alias("w")).distinct()))
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dropped(words)
     lang, word = kept["lang"].to_numpy(), kept["w"].to_numpy().view(np.uint64)
-    known = {of_hash[h]: np.sort(word[lang == h]) for h in np.unique(lang).tolist()}
-    signs = [_key(np.array([_lang_hash(n) for n in names], np.uint64), np.full(len(names), _PAD))]
+    known = {names[of_hash[h]]: Places(np.sort(word[lang == h])) for h in np.unique(lang).tolist()}
+    signs, of = [_key(np.array([_lang_hash(n) for n in names], np.uint64), np.full(len(names), _PAD))], [np.arange(len(names))]
     for some in (kept, rare):
         lang, word = (some[c].to_numpy().view(np.uint64) for c in ("lang", "w"))
         signs += [_key(lang, word), _key(lang, mix(word ^ AGAIN))]
-    return Vocabulary(known, np.unique(np.concatenate(signs)))
+        kinds, at = np.unique(lang.view(np.int64), return_inverse=True)
+        of += 2 * [np.array([of_hash[h] for h in kinds.tolist()], np.int64)[at]]
+    signs, first = np.unique(np.concatenate(signs), return_index=True)
+    return Vocabulary(known, Places(signs), np.concatenate(of)[first].astype(np.int32), names, size)
 
 
 def fit(train: DataFrame) -> Model:
@@ -243,82 +354,185 @@ def fit(train: DataFrame) -> Model:
     spark = train.sparkSession
     train = train.select("text", "lang")
     vocabulary = _vocabulary(train)
+    count = len(vocabulary.signs)
+    parts, buckets = min(PARTS, max(1, -(-vocabulary.size // PART_ROWS))), max(8, -(-vocabulary.size // BUCKET_ROWS))
     sent = spark.sparkContext.broadcast(vocabulary)
+    trigrams = "bucket int, u binary, v binary, w binary, c binary"
+
+    def by_language(sign: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(vocabulary.lang[sign], values, minlength=len(vocabulary.langs))
 
     def counted(batches: Batches) -> Batches:
+        waiting, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            u, v, w = (np.concatenate(x) for x in zip(*waiting))
+            out = _summed(u, v, w, np.ones(len(u), np.int64))
+            return _packed(*_rows(_pair_key(out["u"], out["v"]), buckets, **out))
+
         for batch in batches:
             langs = batch.column(1).to_pylist()
             hashes = np.array([_lang_hash(x) for x in langs], np.uint64)
             for i, j, data, ends in text_steps(batch, "text"):
-                doc, u, v, w = sent.value.numbered(data, ends, hashes[i:j], langs[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[i:j][doc].view(np.int64)), pa.array(u), pa.array(v), pa.array(w)], ["lang", "u", "v", "w"])
-
-    n3 = written(train.mapInArrow(counted, "lang long, u int, v int, w int").groupBy("lang", "u", "v", "w").agg(F.count(F.lit(1)).alias("c")))
-    # each table is written once: planned anew for every use, its joins would fill the driver with exchanges
-    n2 = written(n3.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("c")))  # continuation counts
-    n1 = written(n2.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
-    size = n3.count()
-    parts, buckets = min(PARTS, max(1, -(-size // PART_ROWS))), max(8, -(-size // BUCKET_ROWS))
-
-    def discounts(counts: DataFrame) -> DataFrame:
-        """One row for each language."""
-        of = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
-        y = F.col("t1") / F.greatest(F.col("t1") + 2 * F.col("t2"), F.lit(1))
-        d = [F.greatest(F.lit(0.1), F.lit(float(k)) - (k + 1) * y * F.col(f"t{k + 1}") / F.greatest(F.col(f"t{k}"), F.lit(1))) for k in (1, 2, 3)]
-        return written(of.select("lang", *[F.least(x, F.lit(k - 0.05)).alias(f"d{k}") for k, x in enumerate(d, 1)]))
-
-    def discounted(counts: DataFrame, of: DataFrame, context: list[str]) -> DataFrame:
-        """Counts with their discounted share ``a`` and the mass ``g`` that their context, seen ``total`` times, leaves to lower orders."""
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = counts.join(F.broadcast(of), "lang").withColumn("cut", cut)
-        totals = rows.groupBy("lang", *context).agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("g"))
-        return rows.join(totals, ["lang", *context]).withColumn("a", (F.col("c") - F.col("cut")) / F.col("total"))
-
-    one = written(discounted(n1, discounts(n1), []))
-    unseen = written(one.groupBy("lang").agg((F.first("g") / (F.count(F.lit(1)) + 1)).alias("p0")))
-    p1 = written(one.join(F.broadcast(unseen), "lang").select("lang", "w", (F.col("a") + F.col("p0")).alias("p1")))
-    own, back = np.full(len(vocabulary.signs), np.nan), np.zeros(len(vocabulary.signs))
-    got = p1.select("w", F.log("p1").alias("x")).toArrow()  # a row for each sign
-    own[got["w"].to_numpy()] = got["x"].to_numpy()
-    of2, of3 = discounts(n2), discounts(n3)
-    path, name = scratch(spark), f"tarnflow_terms_{uuid.uuid4().hex}"
-    for part in range(parts):
-        its = F.pmod("v", F.lit(parts)) == part
-        two = discounted(n2.where(its), of2, ["v"]).join(p1, ["lang", "w"]).withColumn("p2", F.col("a") + F.col("g") * F.col("p1"))
-        two = written(two.select("lang", "v", "w", "p2", "g", F.col("p1"), "total"))
-        got = two.groupBy("v").agg(F.log(F.first("g")).alias("x")).toArrow()  # a row for each sign
-        back[got["v"].to_numpy()] = got["x"].to_numpy()
-        three = written(discounted(n3.where(its), of3, ["u", "v"]).select("lang", "u", "v", "w", "c", "a", "g", "total"))
-        p3 = F.col("a") + F.col("g") * F.col("p2")
-        no = F.lit(-1)
-        pairs = two.select(no.alias("u"), "v", "w", (F.log("p2") - F.log("g") - F.log("p1")).alias("x"))
-        pairs = pairs.join(three.groupBy("v", "w").agg(F.sum("c").alias("n")), ["v", "w"]).select("u", "v", "w", "x", "n")
-        around = three.groupBy("u", "v").agg(F.log(F.first("g")).alias("x"), F.first("total").alias("n")).select("u", "v", no.alias("w"), "x", "n")
-        grams = three.join(two.select("lang", "v", "w", "p2"), ["lang", "v", "w"]).select("u", "v", "w", (F.log(p3) - F.log("g") - F.log("p2")).alias("x"), F.col("c").alias("n"))
-        rows = pairs.union(around).union(grams).select("u", "v", "w", F.col("x").cast("float").alias("x"), F.col("n").cast("long").alias("n"))
-        rows.mapInArrow(_keyed, "key long, x float, n long").repartition(buckets, "key").write.mode("append").bucketBy(buckets, "key").option("path", path).saveAsTable(name)
-        dropped(two)
-        dropped(three)
-        _shuffles_freed(spark)
+                _, *signs = sent.value.numbered(data, ends, hashes[i:j], langs[i:j])
+                waiting.append(signs)
+                size += len(signs[0])
+                if size >= BLOCK_WORDS:
+                    yield block()
+                    waiting, size = [], 0
+        if size:
+            yield block()
+        memory_returned()
+
+    def by_context(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_one(rows["bucket"][0].as_py(), _summed(*_values(rows, "u", "v", "w", "c")))])
+
+    n3 = written(train.mapInArrow(counted, trigrams).groupBy("bucket").applyInArrow(by_context, trigrams))
+
+    def often(batches: Batches) -> Batches:
+        for row in _each(batches):
+            w, c = _values(row, "w", "c")
+            lang, its = sent.value.lang[w], c <= 4
+            n = np.bincount(lang[its] * 4 + c[its] - 1, minlength=4 * len(sent.value.langs))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    t3 = np.zeros(4 * len(vocabulary.langs))
+    for r in n3.mapInArrow(often, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # four rows of a language
+        t3[r["at"]] = r["n"]
+    d3 = _discounts(t3.reshape(-1, 4))
+
+    def shares(row: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Trigrams with first of each context, its total, the mass it leaves to lower orders, and the cut of every trigram."""
+        u, v, w, c = _values(row, "u", "v", "w", "c")
+        first, cut = _firsts(u, v), _cut(d3, sent.value.lang[w], c)
+        total = np.add.reduceat(c, first)
+        return u, v, w, c, first, total, np.add.reduceat(cut, first) / total, cut
+
+    def to_pairs(batches: Batches) -> Batches:
+        for row in _each(batches):
+            u, v, w, c, first, total, g, cut = shares(row)
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
+            columns = {"u": u, "v": v, "w": w, "c": c, "a": ((c - cut) / total[of]).astype(np.float32), "g": g[of].astype(np.float32)}
+            yield _packed(*_rows(_pair_key(v, w), buckets, **columns))
+
+    def by_pair(rows: pa.Table) -> pa.Table:
+        names = ["u", "v", "w", "c", "a", "g"]
+        columns = dict(zip(names, _values(rows, *names)))
+        order = np.argsort((columns["v"].astype(np.int64) << 32) | columns["w"], kind="stable")
+        return pa.Table.from_batches([_one(rows["bucket"][0].as_py(), {k: x[order] for k, x in columns.items()})])
+
+    paired = trigrams + ", a binary, g binary"
+    # in shares, each deleted when its terms are stored
+    n2 = written(n3.mapInArrow(to_pairs, paired).groupBy("bucket").applyInArrow(by_pair, paired).withColumn("share", F.pmod("bucket", F.lit(SHARES))), "share")
+    terms, path, name = "bucket int, key binary, x binary, n binary", scratch(spark), f"tarnflow_terms_{uuid.uuid4().hex}"
+
+    def stored(rows: DataFrame) -> None:
+        """Rows of few buckets in each task: a file for each bucket without a shuffle."""
+        rows.write.mode("append").bucketBy(buckets, "bucket").option("path", path).saveAsTable(name)
+
+    def context_terms(batches: Batches) -> Batches:
+        for row in _each(batches):
+            u, v, _, _, first, total, g, _ = shares(row)
+            key = _pair_key(u[first], v[first]) ^ _CONTEXT
+            order = np.argsort(key)
+            yield _one(row["bucket"][0].as_py(), {"key": key[order], "x": np.log(g)[order].astype(np.float32), "n": total[order]})
+
+    stored(n3.mapInArrow(context_terms, terms))
     dropped(n3)
-    dropped(n2)
-    terms = spark.table(name)
-    often, _ = frequent_head(terms, "n", F.lit(12), HEAD_ROWS, HEAD_BYTES)
-    head = terms.where(often).select("key", "x").toArrow()
+
+    def sign_counts(batches: Batches) -> Batches:
+        """Of each first sign of pairs their continuation counts' sum, how many are 1, 2, 3 and 4, and how many there are; of each second sign how many there are."""
+        for row in _each(batches):
+            v, w = _values(row, "v", "w")
+            first = _firsts(v, w)
+            c = np.diff(np.append(first, len(v)))
+            v, w, n = v[first], w[first], np.ones(len(first), np.int64)
+            at = _firsts(v)
+            sums = [np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c == 3, c == 4, n)]
+            second, k = np.unique(w, return_counts=True)
+            none = np.zeros(len(second), np.int64)
+            columns = [np.append(v[at], second), *(np.append(x, none) for x in sums), np.append(np.zeros(len(at), np.int64), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sign", "c", "t1", "t2", "t3", "t4", "n", "before"])
+
+    names = ["c", "t1", "t2", "t3", "t4", "n", "before"]
+    got = n2.select("v", "w").mapInArrow(sign_counts, "sign int, " + ", ".join(f"{k} long" for k in names)).groupBy("sign").agg(*[F.sum(k).alias(k) for k in names]).toArrow()  # a row for each sign
+    sign, sums = got["sign"].to_numpy(), {k: got[k].to_numpy() for k in names}
+    d2 = _discounts(np.stack([by_language(sign, sums[f"t{k}"]) for k in (1, 2, 3, 4)], 1))
+    total2, g2, p1 = np.ones(count), np.ones(count), np.full(count, np.nan)
+    ahead = sums["n"] > 0
+    its = sign[ahead]
+    of = d2[vocabulary.lang[its]]
+    t1, t2, n, c = (sums[k][ahead] for k in ("t1", "t2", "n", "c"))
+    total2[its], g2[its] = c, (of[:, 0] * t1 + of[:, 1] * t2 + of[:, 2] * (n - t1 - t2)) / c
+    after = sums["before"] > 0
+    its, c = sign[after], sums["before"][after]
+    d1 = _discounts(np.stack([by_language(its, c == k) for k in (1, 2, 3, 4)], 1))
+    cut, total1 = _cut(d1, vocabulary.lang[its], c), np.maximum(by_language(its, c), 1)
+    p0 = by_language(its, cut) / total1 / (by_language(its, np.ones(len(its))) + 1)
+    p1[its] = (c - cut) / total1[vocabulary.lang[its]] + p0[vocabulary.lang[its]]
+    lower = spark.sparkContext.broadcast((total2, g2, p1))
+
+    def pair_terms(batches: Batches) -> Batches:
+        total2, g2, p1 = lower.value
+        for row in _each(batches):
+            u, v, w, c, a, g = _values(row, "u", "v", "w", "c", "a", "g")
+            first = _firsts(v, w)
+            n = np.diff(np.append(first, len(v)))
+            x, y = v[first], w[first]
+            p2 = (n - _cut(d2, sent.value.lang[y], n)) / total2[x] + g2[x] * p1[y]
+            pair, low = _pair_key(x, y), np.repeat(p2, n)
+            key = np.append(pair, _trigram_key(u, np.repeat(pair, n)))
+            term = np.append(np.log(p2 / (g2[x] * p1[y])), np.log((a + g * low) / (g * low)))
+            order = np.argsort(key)
+            yield _one(row["bucket"][0].as_py(), {"key": key[order], "x": term[order].astype(np.float32), "n": np.append(np.add.reduceat(c, first), c)[order]})
+
+    for folder in sorted({f.rsplit("/", 1)[0] for f in n2.inputFiles()}):
+        its = spark.read.schema(paired).parquet(folder)
+        stored(its.mapInArrow(pair_terms, terms))
+        dropped(its)
+    table = spark.table(name)
+    head = _head(table)
     keys = head["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    p0 = {int(np.int64(r["lang"]).view(np.uint64)): r["x"] for r in unseen.select("lang", F.log("p0").alias("x")).collect()}
-    return Model(Local(vocabulary, own, back, p0, keys[order], head["x"].to_numpy()[order]), terms.select("key", "x"), parts, name)
+    unseen = {int(_lang_hash(k)): float(np.log(x)) for k, x in zip(vocabulary.langs, p0) if x > 0}
+    return Model(Local(vocabulary, np.log(p1), np.log(g2), unseen, Places(keys[order]), head["x"].to_numpy()[order]), table.select("bucket", "key", "x"), parts, buckets, name)
+
+
+def _head(terms: DataFrame) -> pa.Table:
+    """key and x of the most frequent n-grams, as many as both bounds allow: by levels of their counts, sixteen to each doubling, the last of them whole."""
+
+    def level(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log2(n) * 16).astype(np.int64)
+
+    def levels(batches: Batches) -> Batches:
+        for row in _each(batches):
+            at, n = np.unique(level(*_values(row, "n")), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["level", "n"])
 
+    rows, cut = 0, None
+    for r in terms.select("n").mapInArrow(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
+        rows += r["n"]
+        if rows > HEAD_ROWS or rows * 12 > HEAD_BYTES:
+            break
+        cut = r["level"]
 
-def _shuffles_freed(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of plans that nothing refers to when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    def chosen(batches: Batches) -> Batches:
+        for row in _each(batches):
+            key, x, n = _values(row, "key", "x", "n")
+            its = np.zeros(len(n), bool) if cut is None else level(n) >= cut
+            yield pa.RecordBatch.from_arrays([pa.array(key[its].view(np.int64)), pa.array(x[its])], ["key", "x"])
 
+    return terms.select("key", "x", "n").mapInArrow(chosen, "key long, x float").toArrow()
 
-def _asked(local: Broadcast) -> Callable[[Batches], Batches]:
-    """Of each row its known terms and words in one row of ``row, x, n_words``, and the keys of the terms to be joined, one in a row."""
+
+#: What a word asks of its bucket: the terms of its pair, of its trigram, and of the pair as the context of the next word.
+_ASKS_PAIR, _ASKS_TRIGRAM, _ASKS_CONTEXT = 1, 2, 4
+_ASKED = "bucket int, pair binary, u binary, asks binary, row binary, times binary, known binary, n_words binary"
+
+
+def _asked(local: Broadcast, buckets: int) -> Callable[[Batches], Batches]:
+    """For each bucket what words ask it, in the order of their rows, with the rows and how many words each has here; in rows of their own the sums of known terms and the words of each row."""
 
     def asked(batches: Batches) -> Batches:
         model = local.value
@@ -328,37 +542,90 @@ def _asked(local: Broadcast) -> Callable[[Batches], Batches]:
             row = batch.column(0).to_numpy()
             for i, j, data, ends in text_steps(batch, "text"):
                 doc, u, v, w = model.words.numbered(data, ends, hashes[i:j], langs[i:j])
-                total = np.bincount(doc, model.base(hashes[i:j][doc], v, w), minlength=j - i)
-                left = []
-                for kind, parts in ((_PAIR, (v, w)), (_CONTEXT, (u, v)), (_TRIGRAM, (u, v, w))):
-                    seen = np.logical_and.reduce([x >= 0 for x in parts])
-                    key, its = _gram_key(kind, *[x[seen] for x in parts]), doc[seen]
-                    yes, x = model.frequent(key)
-                    total += np.bincount(its, x, minlength=j - i)
-                    left.append((key[~yes], its[~yes]))
-                key, its = (np.concatenate(x) for x in zip(*left))
-                none = len(key)
-                rows = np.concatenate([row[i:j], row[i:j][its]])
-                key = np.concatenate([row[i:j], key.view(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rows), pa.concat_arrays([pa.array(total), pa.nulls(none, pa.float64())]), pa.concat_arrays([pa.array(np.bincount(doc, minlength=j - i).astype(np.int64)), pa.nulls(none, pa.int64())])], ["key", "row", "known", "n_words"])
+                x, asks = model.base(hashes[i:j][doc], v, w), np.zeros(len(doc), np.uint8)
+                starts = _firsts(doc)
+                pair = _pair_key(v, w)
+                around = np.empty_like(pair)
+                around[1:] = pair[:-1]
+                around[starts] = _pair_key(u[starts], v[starts])
+                extra = np.zeros(0, np.int64)
+                for ask, seen, keys in ((_ASKS_PAIR, (v >= 0) & (w >= 0), pair), (_ASKS_CONTEXT, (u >= 0) & (v >= 0), around ^ _CONTEXT), (_ASKS_TRIGRAM, (u >= 0) & (v >= 0) & (w >= 0), None)):
+                    at = np.flatnonzero(seen)
+                    yes, term = model.frequent(_trigram_key(u[at], pair[at]) if keys is None else keys[at])
+                    x[at[yes]] += term[yes]
+                    at = at[~yes]
+                    if ask == _ASKS_CONTEXT:  # of the pair before; a text's first context is no pair of it
+                        first = np.zeros(len(doc), bool)
+                        first[starts] = True
+                        extra = at[first[at]]
+                        at = at[~first[at]] - 1
+                    asks[at] |= ask
+                at = np.flatnonzero(asks)
+                doc_of = np.append(doc[at], doc[extra])
+                columns = {"pair": np.append(pair[at], around[extra]), "u": np.append(u[at], u[extra]), "asks": np.append(asks[at], np.full(len(extra), _ASKS_CONTEXT, np.uint8)), "doc": doc_of}
+                by = np.argsort(doc_of, kind="stable") if len(extra) else slice(None)
+                columns = {k: c[by] for k, c in columns.items()}
+                some, cuts, columns = _rows(columns["pair"], buckets, **columns)
+                its = columns.pop("doc")
+                new = np.zeros(len(its), bool)
+                new[_firsts(its)] = True
+                new[cuts[:-1]] = True
+                first = np.flatnonzero(new)
+                runs = np.searchsorted(first, cuts)
+                none = np.zeros(len(some) + 1, np.int64)
+                arrays = [pa.array(some.astype(np.int32)), *(_binary(cuts, c) for c in columns.values()), _binary(runs, row[i:j][its[first]]), _binary(runs, np.diff(np.append(first, len(its)))), _binary(none, none), _binary(none, none)]
+                yield pa.RecordBatch.from_arrays(arrays, _NAMES)
+                total, words = np.bincount(doc, x, minlength=j - i), np.bincount(doc, minlength=j - i).astype(np.int64)
+                nothing, whole = _binary([0, 0], none[:0]), [0, j - i]
+                yield pa.RecordBatch.from_arrays([pa.array([int(row[i]) % buckets], pa.int32()), nothing, nothing, nothing, _binary(whole, row[i:j]), nothing, _binary(whole, total), _binary(whole, words)], _NAMES)
         memory_returned()
 
     return asked
 
 
+_NAMES = [c.split()[0] for c in _ASKED.split(", ")]
+
+
+def _answered(asks: pa.Table, terms: pa.Table) -> pa.Table:
+    """row, x, n_words: sums of the terms that words ask of one bucket, and what is known of rows without it."""
+    out = [[np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]]
+    plain = []
+    read = lambda name, kind: np.frombuffer(b"".join(asks[name].to_pylist()), kind)
+    if len(asks):
+        has = [len(x) > 0 for x in asks["known"].to_pylist()]
+        rows = asks["row"].to_pylist()
+        ids = np.frombuffer(b"".join(r for r, k in zip(rows, has) if k), np.int64)
+        plain = [ids, read("known", np.float64), read("n_words", np.int64)]
+        pair, u, what, times = read("pair", np.uint64), read("u", np.int32), read("asks", np.uint8), read("times", np.int64)
+        if len(pair):
+            x = np.zeros(len(pair))
+            for row in terms.to_batches():
+                for i in range(len(row)):
+                    key, term = _values(row.slice(i, 1), "key", "x")
+                    known = Places(key)
+                    for ask in (_ASKS_PAIR, _ASKS_TRIGRAM, _ASKS_CONTEXT):
+                        its = np.flatnonzero(what & ask)
+                        keys = pair[its] if ask == _ASKS_PAIR else pair[its] ^ _CONTEXT if ask == _ASKS_CONTEXT else _trigram_key(u[its], pair[its])
+                        at = known.places(keys)
+                        x[its[at >= 0]] += term[at[at >= 0]]
+            ids = np.frombuffer(b"".join(r for r, k in zip(rows, has) if not k), np.int64)
+            out.append([ids, np.add.reduceat(x, np.cumsum(times) - times), np.zeros(len(ids), np.int64)])
+    sums = [np.concatenate(c) for c in zip(*out)]
+    words = pa.concat_arrays([pa.nulls(len(sums[0]), pa.int64()), pa.array(plain[2] if plain else np.zeros(0, np.int64))])
+    return pa.table([pa.array(np.append(sums[0], plain[0]) if plain else sums[0]), pa.array(np.append(sums[1], plain[1]) if plain else sums[1]), words], ["row", "x", "n_words"])
+
+
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words and log_perplexity (null without words) of every row of doc_id, text, lang."""
     spark = docs.sparkSession
     rows = docs.select(_row().alias("row"), "doc_id", "text", "lang")
-    asked, path = _asked(spark.sparkContext.broadcast(model.local)), scratch(spark)
-    x = F.when(F.col("n_words").isNull(), F.coalesce("x", F.lit(0.0))).otherwise(F.col("known"))
+    asked, path = _asked(spark.sparkContext.broadcast(model.local), model.buckets), scratch(spark)
     for part in range(model.parts):
         some = rows.where(F.pmod("row", F.lit(model.parts)) == part).select("row", "text", "lang")
-        found = some.mapInArrow(asked, "key long, row long, known double, n_words long").join(model.terms.hint("shuffle_hash"), "key", "left")
+        found = some.mapInArrow(asked, _ASKED).groupBy("bucket").cogroup(model.terms.groupBy("bucket")).applyInArrow(_answered, "row long, x double, n_words long")
         # equal rows are summed together: their mean is that of one
-        found.groupBy("row").agg(F.sum(x).alias("total"), F.sum("n_words").alias("words"), F.count("n_words").alias("copies")).write.mode("append").parquet(path)
-        _shuffles_freed(spark)
-    sums = spark.read.schema("row long, total double, words long, copies long").parquet(path)
+        found.groupBy("row").agg(F.sum("x").alias("total"), F.sum("n_words").alias("words"), F.count("n_words").alias("copies")).write.mode("append").parquet(path)
+        sums = spark.read.schema("row long, total double, words long, copies long").parquet(path)
     mean = F.when(F.col("words") > 0, -F.col("total") / F.col("words"))
     return rows.drop("text").join(sums, "row").select("doc_id", "lang", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), mean.alias("log_perplexity"), "row")
 
@@ -379,8 +646,9 @@ def limits_of(scores: DataFrame, labels: DataFrame, trained: DataFrame) -> dict[
 def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words, log_perplexity, row, threshold and keep of every row of :func:`_documents`."""
     trained = training_documents(docs, labels)
-    model = fit(trained)
-    scores = written(perplexities(docs, model))  # narrow rows, read for the limits and for the result
+    with shuffles_deleted(docs.sparkSession):
+        model = fit(trained)
+        scores = written(perplexities(docs, model))  # narrow rows, read for the limits and for the result
     limits = docs.sparkSession.createDataFrame(list(limits_of(scores, labels, written(trained.select("doc_id", "lang"))).items()), "lang string, limit double")
     model.forget()
     scored = scores.join(F.broadcast(limits), "lang", "left")  # one row for each language with trusted text

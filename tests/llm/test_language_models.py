@@ -3,8 +3,10 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,30 @@ def test_kneser_ney_by_parts_and_joins_is_that_of_plain_counts(spark, corpus, mo
         assert r.n_words == len(w) and r.log_perplexity == pytest.approx(plain[lang].log_perplexity(w), abs=2e-6)
 
 
+def test_words_ask_their_buckets_in_packed_rows(spark, corpus, monkeypatch):
+    """A block of text sends one row for each bucket and one of its own, however many words it has, and no term twice."""
+    monkeypatch.setattr(quality, "HEAD_ROWS", 0)
+    model = quality.fit(frame(spark, corpus).repartition(5))
+    assert len(model.local.keys) == 0
+    words = sum(len(w) for _, w, _ in corpus)
+    rows = pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in corpus]), pa.array([" ".join(w) for _, w, _ in corpus]), pa.array([x for _, _, x in corpus])], ["row", "text", "lang"])
+    sent = pa.Table.from_batches(list(quality._asked(SimpleNamespace(value=model.local), model.buckets)(iter([rows]))))
+    assert len(sent) <= model.buckets + 1
+    asks = np.frombuffer(b"".join(sent["asks"].to_pylist()), np.uint8)
+    # pairs and trigrams of every word; contexts of every word, the first one of a text by a row of its own
+    assert len(asks) == words + len(corpus) and [int((asks & k > 0).sum()) for k in (1, 2, 4)] == [words] * 3
+
+
+def test_places_of_hashes():
+    rng = np.random.RandomState(2)
+    keys = np.unique(np.concatenate([rng.randint(0, 2**63, 5000).astype(np.uint64) * np.uint64(2), np.arange(300, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(300, dtype=np.uint64)]))
+    some = np.concatenate([keys, keys + np.uint64(1), rng.randint(0, 2**63, 999).astype(np.uint64)])
+    at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+    for n in (0, 1, len(keys)):
+        want = np.where((at < n) & (keys[at] == some), at, -1)
+        assert (quality.Places(keys[:n]).places(some) == want).all()
+
+
 def test_nine_of_ten_bad_documents_are_rejected(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
