@@ -50,13 +50,15 @@ WORD_SIZE, LARGEST_SHARE = 6, 0.05
 #: Parts by a hash of the id in which a language's labelled documents are ranked.
 RANKED_APART = 64
 #: Parts of a scoring at most, words of trusted text for each and for a bucket of the model.
-PARTS, PART_ROWS, BUCKET_ROWS = 8, 3_000_000, 400_000
+PARTS, PART_ROWS, BUCKET_ROWS = 8, 3_000_000, 1_000_000
+#: Buckets of a model at least.
+BUCKETS = 16
 #: Shares in which trigrams by pair turn into terms.
 SHARES = 4
 #: Words whose trigrams a task counts together before it hands them on.
 BLOCK_WORDS = 1 << 19
 #: N-grams that every task knows at most, the most frequent ones, and their bytes.
-HEAD_ROWS, HEAD_BYTES = 1 << 20, 16 << 20
+HEAD_ROWS, HEAD_BYTES = 1 << 16, 16 << 20
 #: Lists of ids up to this length are sent to every task, longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Of each 4 trusted documents one is never fitted on; it and all beyond the bounds set the threshold.
@@ -355,7 +357,7 @@ def fit(train: DataFrame) -> Model:
     train = train.select("text", "lang")
     vocabulary = _vocabulary(train)
     count = len(vocabulary.signs)
-    parts, buckets = min(PARTS, max(1, -(-vocabulary.size // PART_ROWS))), max(8, -(-vocabulary.size // BUCKET_ROWS))
+    parts, buckets = min(PARTS, max(1, -(-vocabulary.size // PART_ROWS))), max(BUCKETS, -(-vocabulary.size // BUCKET_ROWS))
     sent = spark.sparkContext.broadcast(vocabulary)
     trigrams = "bucket int, u binary, v binary, w binary, c binary"
 
@@ -586,33 +588,39 @@ def _asked(local: Broadcast, buckets: int) -> Callable[[Batches], Batches]:
 _NAMES = [c.split()[0] for c in _ASKED.split(", ")]
 
 
-def _answered(asks: pa.Table, terms: pa.Table) -> pa.Table:
-    """row, x, n_words: sums of the terms that words ask of one bucket, and what is known of rows without it."""
-    out = [[np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]]
-    plain = []
-    read = lambda name, kind: np.frombuffer(b"".join(asks[name].to_pylist()), kind)
-    if len(asks):
-        has = [len(x) > 0 for x in asks["known"].to_pylist()]
-        rows = asks["row"].to_pylist()
-        ids = np.frombuffer(b"".join(r for r, k in zip(rows, has) if k), np.int64)
-        plain = [ids, read("known", np.float64), read("n_words", np.int64)]
+_ANSWERED = "block int, row binary, sum binary, n_words binary"
+
+
+def _answered(blocks: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For each block of rows the sums of the terms that words ask of one bucket, and what is known of rows without it; n_words is -1 in the former."""
+
+    def answered(asks: pa.Table, terms: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(b"".join(asks[name].to_pylist()), kind)
         pair, u, what, times = read("pair", np.uint64), read("u", np.int32), read("asks", np.uint8), read("times", np.int64)
-        if len(pair):
-            x = np.zeros(len(pair))
-            for row in terms.to_batches():
-                for i in range(len(row)):
-                    key, term = _values(row.slice(i, 1), "key", "x")
-                    known = Places(key)
-                    for ask in (_ASKS_PAIR, _ASKS_TRIGRAM, _ASKS_CONTEXT):
-                        its = np.flatnonzero(what & ask)
-                        keys = pair[its] if ask == _ASKS_PAIR else pair[its] ^ _CONTEXT if ask == _ASKS_CONTEXT else _trigram_key(u[its], pair[its])
-                        at = known.places(keys)
-                        x[its[at >= 0]] += term[at[at >= 0]]
-            ids = np.frombuffer(b"".join(r for r, k in zip(rows, has) if not k), np.int64)
-            out.append([ids, np.add.reduceat(x, np.cumsum(times) - times), np.zeros(len(ids), np.int64)])
-    sums = [np.concatenate(c) for c in zip(*out)]
-    words = pa.concat_arrays([pa.nulls(len(sums[0]), pa.int64()), pa.array(plain[2] if plain else np.zeros(0, np.int64))])
-    return pa.table([pa.array(np.append(sums[0], plain[0]) if plain else sums[0]), pa.array(np.append(sums[1], plain[1]) if plain else sums[1]), words], ["row", "x", "n_words"])
+        x = np.zeros(len(pair))
+        for row in _each(terms.to_batches()) if len(pair) else ():
+            key, term = _values(row, "key", "x")
+            known = Places(key)
+            for ask in (_ASKS_PAIR, _ASKS_TRIGRAM, _ASKS_CONTEXT):
+                its = np.flatnonzero(what & ask)
+                keys = pair[its] if ask == _ASKS_PAIR else pair[its] ^ _CONTEXT if ask == _ASKS_CONTEXT else _trigram_key(u[its], pair[its])
+                at = known.places(keys)
+                x[its[at >= 0]] += term[at[at >= 0]]
+        rows, whole = asks["row"].to_pylist(), [len(k) > 0 for k in asks["known"].to_pylist()]
+        row = np.frombuffer(b"".join([r for r, k in zip(rows, whole) if not k] + [r for r, k in zip(rows, whole) if k]), np.int64)
+        sums = np.add.reduceat(x, np.cumsum(times) - times) if len(times) else np.zeros(0)
+        columns = {"row": row, "sum": np.append(sums, read("known", np.float64)), "n_words": np.append(np.full(len(sums), -1), read("n_words", np.int64))}
+        return pa.Table.from_batches([_packed(*_rows(row.view(np.uint64), blocks, **columns)).rename_columns([c.split()[0] for c in _ANSWERED.split(", ")])])
+
+    return answered
+
+
+def _summed_rows(answers: pa.Table) -> pa.Table:
+    """row, total, words and copies of the rows of one block; equal rows are summed together: their mean is that of one."""
+    row, x, n = (np.frombuffer(b"".join(answers[k].to_pylist()), kind) for k, kind in (("row", np.int64), ("sum", np.float64), ("n_words", np.int64)))
+    row, at = np.unique(row, return_inverse=True)
+    sums = [np.bincount(at, y, minlength=len(row)) for y in (np.maximum(n, 0), n >= 0)]
+    return pa.table([pa.array(row), pa.array(np.bincount(at, x, minlength=len(row))), *(pa.array(y.astype(np.int64)) for y in sums)], ["row", "total", "words", "copies"])
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -622,10 +630,9 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     asked, path = _asked(spark.sparkContext.broadcast(model.local), model.buckets), scratch(spark)
     for part in range(model.parts):
         some = rows.where(F.pmod("row", F.lit(model.parts)) == part).select("row", "text", "lang")
-        found = some.mapInArrow(asked, _ASKED).groupBy("bucket").cogroup(model.terms.groupBy("bucket")).applyInArrow(_answered, "row long, x double, n_words long")
-        # equal rows are summed together: their mean is that of one
-        found.groupBy("row").agg(F.sum("x").alias("total"), F.sum("n_words").alias("words"), F.count("n_words").alias("copies")).write.mode("append").parquet(path)
-        sums = spark.read.schema("row long, total double, words long, copies long").parquet(path)
+        found = some.mapInArrow(asked, _ASKED).groupBy("bucket").cogroup(model.terms.groupBy("bucket")).applyInArrow(_answered(model.buckets), _ANSWERED)
+        found.groupBy("block").applyInArrow(_summed_rows, "row long, total double, words long, copies long").write.mode("append").parquet(path)
+    sums = spark.read.schema("row long, total double, words long, copies long").parquet(path)
     mean = F.when(F.col("words") > 0, -F.col("total") / F.col("words"))
     return rows.drop("text").join(sums, "row").select("doc_id", "lang", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), mean.alias("log_perplexity"), "row")
 
