@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import id_and_text, text_steps
+from tarnflow.llm.shared import Places, id_and_text, text_steps
 from tarnflow.llm.wordshape import shaped
 
 CLASSES, CLASS_WORDS, SHAPES = 32, 64, 256
@@ -51,13 +51,16 @@ class Vocabulary:
     ids: np.ndarray
     counts: np.ndarray
 
+    def __post_init__(self):
+        self.places = Places(self.known)
+
     def tokens(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, document) of every word of texts laid end to end."""
         word, shape, _, doc = shaped(data, ends)
         out = (VOCABULARY - SHAPES + (shape % np.uint64(SHAPES)).astype(np.int64)).astype(np.int32)
         if len(self.known) and len(word):
-            at = np.minimum(np.searchsorted(self.known, word), len(self.known) - 1)
-            out = np.where(self.known[at] == word, self.ids[at], out)
+            at = self.places.places(word)
+            out = np.where(at >= 0, self.ids[at], out)
         return out, doc
 
 

@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import bounded_batches, dropped, memory_returned, mix, scratch, shuffles_deleted, text_steps, written
+from tarnflow.llm.shared import Places, bounded_batches, dropped, memory_returned, mix, scratch, shuffles_deleted, text_steps, written
 from tarnflow.llm.wordshape import AGAIN, shaped
 
 #: Labelled documents of a language that the model is fitted on at most, and words of them; None: all.
@@ -143,37 +143,6 @@ def _word_counts(batches: Batches) -> Batches:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (langs[i + doc[first]], word[first], shape[first], n.astype(np.int64))], ["lang", "w", "shape", "n"])
 
 
-class Places:
-    """Places of 64-bit hashes in a sorted array of them, which an index over their first bits leads to."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(1, len(keys).bit_length())
-        self.shift = np.uint64(64 - bits)
-        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
-        self.first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
-        self.tries = int(counts.max())
-        self.keys = np.append(keys, np.uint64(0))  # one more, so that every place can be looked at
-
-    def __len__(self) -> int:
-        return len(self.keys) - 1
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key; -1: it is not there."""
-        n = len(self)
-        out = np.full(len(keys), -1, np.int32)
-        at, left = self.first[(keys >> self.shift).astype(np.int64)], None  # None: all
-        for _ in range(self.tries):
-            its, asked = self.keys[at], keys if left is None else keys[left]
-            inside = at < n
-            hit = np.flatnonzero((its == asked) & inside)
-            out[hit if left is None else left[hit]] = at[hit]
-            more = np.flatnonzero((its < asked) & inside)
-            if not len(more):
-                break
-            at, left = at[more] + np.int32(1), more if left is None else left[more]
-        return out
-
-
 @dataclass
 class Vocabulary:
     """Words that stand for themselves, by language; the keys of all signs of trusted text, whose places are their numbers, and the number of each one's language; words of trusted text."""

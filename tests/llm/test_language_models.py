@@ -148,6 +148,21 @@ def test_places_of_hashes():
         assert (quality.Places(keys[:n]).places(some) == want).all()
 
 
+def test_known_words_are_found_by_an_index(monkeypatch):
+    """Ids are those of a search through the sorted words, which is not made."""
+    text = np.frombuffer(("bar fen gim unheard " * 50 + "bar").encode(), np.uint8)
+    ends = np.array([400, len(text)])
+    word, shape, _, _ = pseudo_likelihood.shaped(text, ends)
+    known = np.unique(word[:3])
+    words = pseudo_likelihood.Vocabulary(known, np.arange(3, dtype=np.int32), np.ones(pseudo_likelihood.VOCABULARY))
+    bucket = pseudo_likelihood.VOCABULARY - pseudo_likelihood.SHAPES + (shape % np.uint64(pseudo_likelihood.SHAPES)).astype(np.int64)
+    want = np.where(np.isin(word, known), np.searchsorted(known, word), bucket)
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, *b, **c: pytest.fail("searched") if len(a) == len(known) and a is not ends else search(a, *b, **c))
+    got, _ = words.tokens(text, ends)
+    assert (got == want).all() and got.dtype == np.int32
+
+
 def test_nine_of_ten_bad_documents_are_rejected(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
